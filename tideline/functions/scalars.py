@@ -45,6 +45,8 @@ def epoch_seconds(time: Column, time_type: str) -> Column:
     A zone-less time is taken apart into day and clock so that the session
     zone (and its summer time) cannot reorder rows.
     """
+    if time_type in ("int", "bigint"):  # a counter serves as its own clock
+        return time.cast("long")
     if time_type == "timestamp":
         return F.unix_seconds(time)
     day = F.unix_date(F.to_date(time)).cast("long") * SECONDS_PER_DAY

@@ -97,6 +97,10 @@ def fit_predict(
             "prediction double, prediction_sd double, error string",
         ]
     )
-    run = partial(_fit_fold, keys=keys, configs=configs, custom=dict(custom or {}))
+    own = dict(custom or {})
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _fit_fold(pdf, keys, configs, own)
+
     made = rows.groupBy(*keys, "fold").applyInPandas(run, schema)
     return made.na.replace(float("nan"), None, ["prediction", "prediction_sd"])

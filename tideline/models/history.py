@@ -7,7 +7,6 @@ matrices, Spark sums them, and only the d x d result of a series is solved.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -69,9 +68,11 @@ def moments(rows: DataFrame, keys: Sequence[str], epsilon: float | None = None)
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "i int, part array<double>"])
     blocks = rows.withColumn("_block", F.floor(F.col("idx") / BLOCK_ROWS))
-    parts = blocks.groupBy(*keys, "_block").applyInPandas(
-        partial(_partial, keys=keys, epsilon=epsilon), schema
-    )
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _partial(pdf, keys, epsilon)
+
+    parts = blocks.groupBy(*keys, "_block").applyInPandas(run, schema)
     cells = parts.select(*keys, "i", F.posexplode("part").alias("j", "v"))
     summed = cells.groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"))
     return summed.groupBy(*keys, "i").agg(
@@ -123,6 +124,10 @@ def _robust(z: DataFrame, start: DataFrame, keys: list[str], model: str, rounds:
     """Iteratively reweighted fit: one distributed moment matrix per round."""
     epsilon = solvers.DEFAULTS[model]["epsilon"]
     line = start
+
+    def refit(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _refit(pdf, keys, model)
+
     for _ in range(rounds):
         now = line.select(*keys, F.col("coefficients").alias("b"), F.col("intercept").alias("c"))
         rows = z.join(_lookup(now), keys)
@@ -135,9 +140,7 @@ def _robust(z: DataFrame, start: DataFrame, keys: list[str], model: str, rounds:
         size = z.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"))
         matrix = moments(rows, keys, epsilon).join(now, keys).join(scale, keys).join(size, keys)
         new = materialize(
-            matrix.groupBy(*keys).applyInPandas(
-                partial(_refit, keys=keys, model=model), _model_schema(z, keys)
-            )
+            matrix.groupBy(*keys).applyInPandas(refit, _model_schema(z, keys))
         )
         change = F.expr(
             "aggregate(zip_with(b, coefficients, (p, q) -> abs(p - q)), abs(c - intercept),"
@@ -196,11 +199,12 @@ def fit_history(
     squared = [m for m in models if m in SQUARED]
     robust = [m for m in models if m in ROBUST]
     base = moments(z, keys)
-    first = squared or ["Ridge"]
-    solved = base.groupBy(*keys).applyInPandas(
-        partial(_solve, keys=keys, models=sorted({*first, *(["Ridge"] if robust else [])})),
-        _model_schema(z, keys),
-    )
+    wanted = sorted({*(squared or ["Ridge"]), *(["Ridge"] if robust else [])})
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _solve(pdf, keys, wanted)
+
+    solved = base.groupBy(*keys).applyInPandas(solve, _model_schema(z, keys))
     if robust:
         solved = materialize(solved)
     made = solved.filter(F.col("model").isin(squared))

@@ -124,7 +124,13 @@ def _rolling(digits, source=PRIORITY, windows=WINDOWS) -> str:
     return f"WITH {source}\nSELECT {KEY},\n  {columns}\nFROM d"
 
 
-ORACLES["rolling_mean_std"] = _rolling({"mean": 3, "std": 2, "volatility": 2})
+MEAN_TO_PRICE = "avg(price) OVER {} / price"
+ORACLES["rolling_mean_std"] = f"""WITH {PRIORITY}
+SELECT {KEY}, {listed(rnd(MEAN_TO_PRICE.format(back(n)), 6, f'price_rolling_mean_{n}') for n in WINDOWS)},
+  {listed(rnd(STATISTICS['mean']('cov1', n), 6, f'cov1_rolling_mean_{n}') for n in WINDOWS)},
+  {listed(rnd(STATISTICS[s](c, n), 2, f'{c}_rolling_{s}_{n}')
+          for c in ('price', 'cov1') for s in ('std', 'volatility') for n in WINDOWS)}
+FROM d"""
 ORACLES["rolling_range"] = _rolling({"min": 2, "max": 2})
 ORACLES["rolling_quantiles"] = _rolling({"median": 5, "iqr": 5})
 ORACLES["rolling_documented_windows"] = _rolling({"median": 5, "max": 2}, windows=(5, 10, 20, 60))
@@ -174,7 +180,7 @@ def _band(n: int, sign: str) -> str:
 
 ORACLES["moving_average_bands"] = f"""WITH {PRIORITY}
 SELECT {KEY},
-  {listed(rnd(f'avg(price) OVER {back(n)}', 3, f'price_sma_{n}') for n in WINDOWS)},
+  {listed(rnd(MEAN_TO_PRICE.format(back(n)), 6, f'price_sma_{n}') for n in WINDOWS)},
   {listed(rnd(_band(n, '+'), 2, f'price_bb_upper_{n}') for n in WINDOWS)},
   {listed(rnd(_band(n, '-'), 2, f'price_bb_lower_{n}') for n in WINDOWS)},
   {listed(rnd(f'4 * stddev_samp(price) OVER {back(n)}', 2, f'price_bb_width_{n}') for n in WINDOWS)}
@@ -270,7 +276,7 @@ FROM k"""
 
 ORACLES["interactions"] = f"""WITH {PRIORITY}
 SELECT {KEY},
-  {listed(rnd(f'price * {c}', 2, f'price_x_{c}') for c in ('cov1', 'cov2'))},
+  {listed(rnd(f'price * {c}', 0, f'price_x_{c}') for c in ('cov1', 'cov2'))},
   {listed(rnd(f'price / ({c} + 1e-8)', 4, f'price_ratio_{c}') for c in ('cov1', 'cov2'))},
   {listed(rnd(f'price - {c}', 2, f'price_diff_{c}') for c in ('cov1', 'cov2'))} FROM d"""
 

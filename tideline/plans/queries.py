@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +40,9 @@ def shown(df: DataFrame, digits: dict[str, int], *others) -> DataFrame:
     return df.select("series_id", day(), *others, *values)
 
 
-def names(pattern: str, windows: Sequence[int]) -> list[str]:
-    return [pattern.format(n=n) for n in windows]
+def relative(pattern: str) -> list:
+    """Averages as a share of the price: cents divided by a count often end in a 5."""
+    return [F.round(F.col(c) / F.col("price"), 6).alias(c) for c in (pattern.format(n=n) for n in ft.WINDOWS)]
 
 
 # Sources and checks ---------------------------------------------------------
@@ -119,7 +120,10 @@ def _rolling(spark, sf, digits: dict[str, int], source=daily_by_priority, window
 
 @query
 def rolling_mean_std(spark, sf):
-    return _rolling(spark, sf, {"mean": 3, "std": 2, "volatility": 2})
+    made = ft.create_rolling_statistics(daily_by_priority(spark, sf), ["price", "cov1"], ft.WINDOWS)
+    digits = {f"cov1_rolling_mean_{n}": 6 for n in ft.WINDOWS}
+    digits |= {f"{c}_rolling_{s}_{n}": 2 for c in ("price", "cov1") for s in ("std", "volatility") for n in ft.WINDOWS}
+    return shown(made, digits, *relative("price_rolling_mean_{n}"))
 
 
 @query
@@ -159,7 +163,9 @@ def _technical(spark, sf, digits: dict[str, int], windows=ft.WINDOWS, **options)
 
 @query
 def moving_average_bands(spark, sf):
-    return _technical(spark, sf, {"sma": 3, "bb_upper": 2, "bb_lower": 2, "bb_width": 2})
+    made = ft.create_technical_indicators(daily_by_priority(spark, sf), "price", ft.WINDOWS)
+    digits = {f"price_bb_{s}_{n}": 2 for s in ("upper", "lower", "width") for n in ft.WINDOWS}
+    return shown(made, digits, *relative("price_sma_{n}"))
 
 
 @query
@@ -237,7 +243,7 @@ def drawdown(spark, sf):
 @query
 def interactions(spark, sf):
     made = ft.create_interaction_features(daily_by_priority(spark, sf), "price", ["cov1", "cov2"])
-    digits = {"x": 2, "ratio": 4, "diff": 2}
+    digits = {"x": 0, "ratio": 4, "diff": 2}
     return shown(made, {f"price_{k}_{c}": d for k, d in digits.items() for c in ("cov1", "cov2")})
 
 

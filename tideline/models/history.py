@@ -49,28 +49,33 @@ def scaled(rows: DataFrame, scaler: DataFrame, keys: Sequence[str]) -> DataFrame
     return rows.join(_lookup(scaler), list(keys)).select(*keys, "idx", "target", z.alias("z"))
 
 
-def _partial(pdf: pd.DataFrame, keys: list[str], epsilon: float | None) -> pd.DataFrame:
+def _partial(pdf: pd.DataFrame, keys: list[str], robust: bool) -> pd.DataFrame:
+    """Moment matrix of one block of rows, and its part of the residual scale."""
     Z = np.vstack(pdf["z"].to_numpy())
     y = pdf["target"].to_numpy(float)
-    w = np.ones(len(y))
-    if epsilon is not None:
-        r = y - Z @ np.asarray(pdf["b"].iloc[0]) - pdf["c"].iloc[0]
-        w = np.minimum(1.0, epsilon * pdf["s"].iloc[0] / np.maximum(np.abs(r), 1e-300))
+    head = {k: pdf[k].iloc[0] for k in keys}
+    w, scale = np.ones(len(y)), [float(len(y))]
+    if robust:
+        epsilon = solvers.DEFAULTS[head["model"]]["epsilon"]
+        s = pdf["s"].iloc[0]
+        r = np.abs(y - Z @ np.asarray(pdf["coefficients"].iloc[0]) - pdf["intercept"].iloc[0])
+        w = np.minimum(1.0, epsilon * s / np.maximum(r, 1e-300))
+        inside = r <= epsilon * s
+        scale += [float((r[inside] ** 2).sum()), float((~inside).sum())]
     A = np.column_stack([np.ones(len(y)), Z, y])
     M = (A * w[:, None]).T @ A
-    head = {k: pdf[k].iloc[0] for k in keys}
-    return pd.DataFrame({**head, "i": np.arange(len(M)), "part": list(M)})
+    return pd.DataFrame({**head, "i": np.arange(-1, len(M)), "part": [scale, *M]})
 
 
-def moments(rows: DataFrame, keys: Sequence[str], epsilon: float | None = None) -> DataFrame:
-    """Row i of the (weighted) moment matrix of [1, z, y] per series."""
+def moments(rows: DataFrame, keys: Sequence[str], robust: bool = False) -> DataFrame:
+    """Row i of the (weighted) moment matrix of [1, z, y] per group; -1 is the scale."""
     keys = list(keys)
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "i int, part array<double>"])
     blocks = rows.withColumn("_block", F.floor(F.col("idx") / BLOCK_ROWS))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _partial(pdf, keys, epsilon)
+        return _partial(pdf, keys, robust)
 
     parts = blocks.groupBy(*keys, "_block").applyInPandas(run, schema)
     cells = parts.select(*keys, "i", F.posexplode("part").alias("j", "v"))
@@ -81,15 +86,16 @@ def moments(rows: DataFrame, keys: Sequence[str], epsilon: float | None = None)
 
 
 def _centred(pdf: pd.DataFrame):
-    M = np.vstack(pdf.sort_values("i")["row"].to_numpy())
+    ordered = pdf.sort_values("i")["row"].to_list()
+    M = np.vstack(ordered[1:])
     total = M[0, 0]
     m = M[0] / total
     C = M / total - np.outer(m, m)
-    return C[1:-1, 1:-1], C[1:-1, -1], C[-1, -1], total, m[1:-1], m[-1]
+    return C[1:-1, 1:-1], C[1:-1, -1], C[-1, -1], total, m[1:-1], m[-1], ordered[0]
 
 
 def _solve(pdf: pd.DataFrame, keys: list[str], models: list[str]) -> pd.DataFrame:
-    G, g, syy, n, mx, my = _centred(pdf)
+    G, g, syy, n, mx, my, _ = _centred(pdf)
     head = {k: pdf[k].iloc[0] for k in keys}
     out = []
     for model in models:
@@ -104,80 +110,46 @@ def _model_schema(rows: DataFrame, keys: Sequence[str]) -> str:
     return ", ".join([*head, "model string, intercept double, coefficients array<double>"])
 
 
-def _refit(pdf: pd.DataFrame, keys: list[str], model: str) -> pd.DataFrame:
-    G, g, _, total, mx, my = _centred(pdf)
-    p, n, s = solvers.DEFAULTS[model], pdf["n"].iloc[0], pdf["s"].iloc[0]
+def _refit(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """One reweighted step; the next round's scale comes from the same pass."""
+    G, g, _, total, mx, my, (n, squares, outside) = _centred(pdf)
+    head = {k: pdf[k].iloc[0] for k in keys}
+    model, s = head["model"], pdf["s"].iloc[0]
+    p, old = solvers.DEFAULTS[model], np.asarray(pdf["coefficients"].iloc[0])
     share = total / n  # the loss is averaged over rows, not over weights
     G, g = G * share, g * share
     if model == "HuberRegressor":
+        room = n - p["epsilon"] ** 2 * outside
+        s = max(float(np.sqrt(squares / room)) if room > 0 else 2 * s, 1e-12)
         b = solvers.ridge(G, g, p["alpha"] * s / n)
     else:
-        b = solvers.elastic_net(
-            G, g, p["alpha"] * p["l1_ratio"], p["alpha"] * (1 - p["l1_ratio"]),
-            np.asarray(pdf["b"].iloc[0]),
-        )
-    head = {k: pdf[k].iloc[0] for k in keys}
-    return pd.DataFrame([{**head, "model": model, "intercept": my - mx @ b, "coefficients": b}])
-
-
-def _robust(z: DataFrame, start: DataFrame, keys: list[str], model: str, rounds: int, tol: float):
-    """Iteratively reweighted fit: one distributed moment matrix per round."""
-    epsilon = solvers.DEFAULTS[model]["epsilon"]
-    line = start
+        l1 = p["alpha"] * p["l1_ratio"]
+        b = solvers.elastic_net(G, g, l1, p["alpha"] - l1, old)
+    c = my - mx @ b
+    moved = max(np.abs(b - old).max(initial=0.0), abs(c - pdf["intercept"].iloc[0]))
+    return pd.DataFrame([{**head, "intercept": c, "coefficients": b, "s": s, "moved": moved}])
+
+
+def _robust(z: DataFrame, start: DataFrame, keys: list[str], models, rounds: int, tol: float):
+    """Iteratively reweighted fits: one distributed pass per round for all models."""
+    by = [*keys, "model"]
+    each = F.explode(F.array(*[F.lit(m) for m in models])).alias("model")
+    line = materialize(
+        start.select(*keys, each, "intercept", "coefficients").withColumn("s", F.lit(1.0))
+    )
+    schema = f"{_model_schema(z, keys)}, s double, moved double"
 
     def refit(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _refit(pdf, keys, model)
+        return _refit(pdf, by)
 
     for _ in range(rounds):
-        now = line.select(*keys, F.col("coefficients").alias("b"), F.col("intercept").alias("c"))
-        rows = z.join(_lookup(now), keys)
-        if model == "HuberRegressor":
-            scale = _huber_scales(rows, keys, epsilon)
-        else:
-            scale = now.select(*keys).withColumn("s", F.lit(1.0))
-        scale = materialize(scale)
-        rows = rows.join(_lookup(scale), keys)
-        size = z.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"))
-        matrix = moments(rows, keys, epsilon).join(now, keys).join(scale, keys).join(size, keys)
-        new = materialize(
-            matrix.groupBy(*keys).applyInPandas(refit, _model_schema(z, keys))
-        )
-        change = F.expr(
-            "aggregate(zip_with(b, coefficients, (p, q) -> abs(p - q)), abs(c - intercept),"
-            " (a, v) -> greatest(a, v))"
-        )
-        moved = new.join(now, keys).agg(F.max(change)).first()[0]
-        line = new
-        if moved is None or moved <= tol:
+        matrix = moments(z.join(_lookup(line), keys), by, robust=True)
+        made = matrix.join(_lookup(line), by).groupBy(*by).applyInPandas(refit, schema)
+        made = materialize(made)
+        line = made.drop("moved")
+        if made.agg(F.max("moved")).first()[0] <= tol:
             break
-    return line
-
-
-def _huber_scales(rows: DataFrame, keys: list[str], epsilon: float, rounds: int = 8) -> DataFrame:
-    """Per-series scale by repeated aggregation over the residuals."""
-    fitted = F.expr("aggregate(zip_with(z, b, (p, q) -> p * q), c, (a, v) -> a + v)")
-    r = rows.select(*keys, (F.col("target") - fitted).alias("r"))
-    scale = r.groupBy(*keys).agg(F.sqrt(F.avg(F.col("r") * F.col("r"))).alias("s"))
-    for _ in range(rounds):
-        scale = materialize(scale)
-        inside = F.abs("r") <= F.col("s") * epsilon
-        room = F.count(F.lit(1)) - F.count_if(~inside) * F.lit(epsilon**2)
-        squares = F.sum(F.when(inside, F.col("r") * F.col("r")).otherwise(0.0))
-        scale = (
-            r.join(_lookup(scale), keys)
-            .groupBy(*keys, "s")
-            .agg(squares.alias("_q"), room.alias("_room"))
-            .select(
-                *keys,
-                F.greatest(
-                    F.when(F.col("_room") > 0, F.sqrt(F.try_divide("_q", "_room"))).otherwise(
-                        F.col("s") * 2
-                    ),
-                    F.lit(1e-12),
-                ).alias("s"),
-            )
-        )
-    return scale
+    return line.drop("s")
 
 
 def fit_history(
@@ -196,6 +168,8 @@ def fit_history(
     keys = list(keys)
     scaler = materialize(scalers(rows, keys))
     z = scaled(rows, scaler, keys)
+    if set(models) & set(ROBUST):
+        z = materialize(z)  # read once per round
     squared = [m for m in models if m in SQUARED]
     robust = [m for m in models if m in ROBUST]
     base = moments(z, keys)
@@ -208,9 +182,9 @@ def fit_history(
     if robust:
         solved = materialize(solved)
     made = solved.filter(F.col("model").isin(squared))
-    for model in robust:
+    if robust:
         start = solved.filter(F.col("model") == "Ridge").drop("model")
-        made = made.unionByName(_robust(z, start, keys, model, rounds, tol))
+        made = made.unionByName(_robust(z, start, keys, robust, rounds, tol))
     if "QuantileRegressor" in models:
         level = solvers.DEFAULTS["QuantileRegressor"]["quantile"]
         center = exact_quantiles(rows, keys, "target", {"intercept": level})

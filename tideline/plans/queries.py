@@ -12,6 +12,7 @@ from tideline.operators import ensemble, quality, report, sequences
 from tideline.operators.folds import folds, scale
 from tideline.operators.layout import Series, with_positions
 from tideline.operators.metrics import evaluate, rmse_and_mae
+from tideline.operators.storage import materialize
 from tideline.plans import backtest as bt
 from tideline.plans import features as ft
 from tideline.sources import readers
@@ -525,13 +526,14 @@ def history_models(spark, sf):
 @query
 def robust_history_models(spark, sf):
     """Reweighted whole-history fits: Huber and the robust elastic nets."""
-    made = history.fit_history(_rows_with_input(spark, sf), ["series_id"], history.ROBUST, rounds=15)
+    made = history.fit_history(_rows_with_input(spark, sf), ["series_id"], history.ROBUST, rounds=10)
     return made.select("series_id", "model", "intercept", "coefficients")
 
 
 def _tree_rows(spark, sf):
     one = ft.feature_set(daily_all(spark, sf), "price", 21, target_type="log_return")
-    return trees.with_vector(one.rows).select("series_id", "time", "features", "target"), one.names
+    rows = materialize(one.rows.select("series_id", "time", "x", "target"))
+    return trees.with_vector(rows), one.names
 
 
 @query

@@ -6,8 +6,9 @@ from frames import expected, to_spark, walk
 from tideline.operators.layout import Series, lay_out
 from tideline.plans import features as ft
 
+DAY = 86_400_000_000
 WHOLE = Series()
-CUT = Series(chunk_rows=200, bucket_seconds=7 * 86_400)
+CUT = Series(chunk_rows=200, bucket=7 * DAY)
 TOLERANCE = {"skew": 1e-7, "kurt": 1e-6}
 
 
@@ -80,7 +81,7 @@ def test_feature_set_keeps_complete_rows(table, series):
 def test_cut_and_whole_agree_on_long_null_runs(spark):
     pdf = walk(3000, 5, "n", nulls=[(0, 40), (300, 2600)])
     df = to_spark(spark, pdf)
-    series = Series(chunk_rows=250, bucket_seconds=5 * 86_400)
+    series = Series(chunk_rows=250, bucket=5 * DAY)
     for fill in (None, "pad"):
         frames = [
             ft.create_technical_indicators(df, "price", [5, 63], s, fill).toPandas()
@@ -95,6 +96,20 @@ def test_cut_and_whole_agree_on_long_null_runs(spark):
             compare(frame, want, names)
 
 
+def test_buckets_narrow_until_a_chunk_fits(spark):
+    """Ticks half a millisecond apart: the default bucket would hold them all."""
+    pdf = walk(1500, 9, "ticks")
+    pdf["time"] = pd.Timestamp("2024-03-10 02:30:00") + pd.to_timedelta(np.arange(1500) * 500, "us")
+    pdf.loc[1400:, "time"] += pd.Timedelta(days=40)
+    df = to_spark(spark, pdf)
+    series = Series(chunk_rows=200)
+    layout = lay_out(df, series)
+    assert layout.is_cut and layout.series.bucket < 200 * 500
+    assert layout.spread(df).groupBy("_chunk").count().agg({"count": "max"}).first()[0] <= 400
+    got = ft.create_lagged_features(df, ["price"], [1, 5], series).toPandas()
+    compare(got, expected(pdf), ["price_lag_1", "price_lag_5"])
+
+
 def test_missing_columns_are_skipped(table):
     _, df = table
     assert ft.create_lagged_features(df, ["nope", "price"], [1]).columns[-1] == "price_lag_1"

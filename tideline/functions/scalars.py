@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
+MICROS_PER_SECOND = 1_000_000
 SECONDS_PER_DAY = 86_400
 
 
@@ -39,17 +40,19 @@ def sorted_quantile_sql(values: str, p: float) -> str:
     return f"({low} + ({high} - {low}) * ({rank} - floor({rank})))"
 
 
-def epoch_seconds(time: Column, time_type: str) -> Column:
-    """Whole seconds since 1970, non-decreasing in ``time``.
+def clock(name: str, kind: str) -> Column:
+    """Whole microseconds (or counts) that never decrease with column ``name``.
 
     A zone-less time is taken apart into day and clock so that the session
     zone (and its summer time) cannot reorder rows.
     """
-    if time_type in ("int", "bigint"):  # a counter serves as its own clock
+    time = F.col(name)
+    if kind in ("int", "bigint"):  # a counter serves as its own clock
         return time.cast("long")
-    if time_type == "timestamp":
-        return F.unix_seconds(time)
-    day = F.unix_date(F.to_date(time)).cast("long") * SECONDS_PER_DAY
-    if time_type == "date":
+    if kind == "timestamp":
+        return F.unix_micros(time)
+    day = F.unix_date(F.to_date(time)).cast("long") * (SECONDS_PER_DAY * MICROS_PER_SECOND)
+    if kind == "date":
         return day
-    return day + F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time)
+    minutes = (F.hour(time) * 60 + F.minute(time)).cast("long") * (60 * MICROS_PER_SECOND)
+    return day + minutes + F.expr(f"CAST(extract(SECOND FROM `{name}`) * {MICROS_PER_SECOND} AS LONG)")

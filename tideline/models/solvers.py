@@ -126,7 +126,9 @@ def fit(model, X, y, params):
             a = np.maximum(np.abs(r), floor)
             return 0.5 / a, a * (2 * q - 1)
 
-        b, c = reweighted(X, y, pinball, lambda G, g, b: elastic_net(G, g, alpha, 0.0, b))
+        b, c = reweighted(
+            X, y, pinball, lambda G, g, b: elastic_net(G, g, alpha, 0.0, b), rounds=1000, tol=1e-8
+        )
         return b, c, None
     epsilon, alpha = params["epsilon"], params["alpha"]
     if model == "HuberRegressor":

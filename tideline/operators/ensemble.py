@@ -29,7 +29,7 @@ def weighted(
     series with the fold as its clock, so long histories are cut as well.
     """
     by = [*series_keys, "model"]
-    series = Series(tuple(by), "fold", bucket_seconds=1024)
+    series = Series(tuple(by), "fold", bucket=1024)
     layout = lay_out(fold_mae, series)
     past = layout.window().rowsBetween(-trailing_folds, -1)
     recent = F.coalesce(ratio(F.lit(1.0), F.avg("mae").over(past)), F.lit(1.0))

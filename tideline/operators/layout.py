@@ -13,19 +13,19 @@ large part of the data would never finish. A layout avoids that:
 The cut is made on calendar buckets. The row count per ``(series, bucket)`` is a
 small table: its running sum per series gives the position of every bucket, and
 from it the chunk of every bucket and the neighbours that must borrow its rows.
-Only this table is ever windowed by series, and its rows per series are bounded
-by the number of calendar buckets in the time range, whatever the row count.
+Only this table is ever windowed by series. Its rows per series are bounded by the
+number of buckets in the time range, and it holds long series only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tideline.functions.scalars import SECONDS_PER_DAY, epoch_seconds, running
+from tideline.functions.scalars import MICROS_PER_SECOND, SECONDS_PER_DAY, clock, running
 from tideline.operators.storage import materialize
 
 BUCKET, CHUNK, HOME, OWN = "_bucket", "_chunk", "_home", "_own"
@@ -38,24 +38,20 @@ BROADCAST_ROWS = 500_000
 class Series:
     """Names the key and time columns and the cutting sizes.
 
-    ``bucket_seconds`` must be small enough for the rows of one series in one
-    bucket to fit a task, e.g. 30 days for daily rows, one minute for ticks.
+    ``bucket`` is the first width tried for the calendar buckets, in microseconds
+    of the time column (or in units of an integer time column). It is narrowed
+    until the rows of one long series in one bucket fit a chunk.
     """
 
     keys: tuple[str, ...] = ("series_id",)
     time: str = "time"
     chunk_rows: int = 16_384
-    bucket_seconds: int = 30 * SECONDS_PER_DAY
+    bucket: int = 30 * SECONDS_PER_DAY * MICROS_PER_SECOND
 
-    def with_keys(self, *keys: str) -> Series:
-        return Series(keys, self.time, self.chunk_rows, self.bucket_seconds)
-
-    def bucket(self, df: DataFrame) -> Column:
-        kind = df.schema[self.time].dataType.simpleString()
-        seconds = epoch_seconds(F.col(self.time), kind)
-        return F.coalesce(
-            F.floor(seconds / F.lit(self.bucket_seconds)), F.lit(NO_TIME)
-        ).cast("long")
+    def bucket_of(self, df: DataFrame) -> Column:
+        ticks = clock(self.time, df.schema[self.time].dataType.simpleString())
+        slot = F.floor(ticks / F.lit(self.bucket)) if self.bucket > 1 else ticks
+        return F.coalesce(slot, F.lit(NO_TIME)).cast("long")
 
     def order(self) -> Column:
         return F.col(self.time).asc_nulls_last()
@@ -96,7 +92,7 @@ class Layout:
         cut = _neighbours(self.index, keys, before, after)
         if self.small_index:
             cut = F.broadcast(cut)
-        rows = df.withColumn(BUCKET, self.series.bucket(df)).join(cut, [*keys, BUCKET], "left")
+        rows = df.withColumn(BUCKET, self.series.bucket_of(df)).join(cut, [*keys, BUCKET], "left")
         return rows.withColumns(
             {
                 CHUNK: F.explode(F.coalesce("_targets", F.array(F.lit(0)))),
@@ -137,8 +133,9 @@ class Layout:
 def lay_out(df: DataFrame, series: Series = Series(), carry: Sequence[str] = ()) -> Layout:
     """Measure the table once and decide how to spread it.
 
-    Runs one aggregation over the key and time columns. ``carry`` names columns
-    whose last non-null value must reach later chunks.
+    Counts the rows per series. If some series are long, their rows per bucket are
+    counted too, with narrower buckets until none holds more than a chunk. ``carry``
+    names columns whose last non-null value must reach later chunks.
     """
     keys = list(series.keys)
     long_series = df.groupBy(*keys).count().filter(F.col("count") > series.chunk_rows)
@@ -152,22 +149,30 @@ def lay_out(df: DataFrame, series: Series = Series(), carry: Sequence[str] = ())
     per_series = Window.partitionBy(*keys)
     by_bucket = per_series.orderBy(BUCKET)
     earlier = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
-    counted = (
-        df.groupBy(*keys, series.bucket(df).alias(BUCKET))
-        .agg(F.count(F.lit(1)).alias("_rows"), *last_value)
-        .withColumns(
-            {
-                "_end": F.sum("_rows").over(running(by_bucket)),
-                TOTAL: F.sum("_rows").over(per_series),
-                **{
-                    f"_carry_{c}": F.last(f"_last_{c}", ignorenulls=True).over(earlier)
-                    for c in carry
-                },
-            }
+    hot = materialize(long_series.drop("count"))
+    if hot.count() <= BROADCAST_ROWS:
+        hot = F.broadcast(hot)
+    rows = df.join(hot, keys, "left_semi")
+    while True:
+        counts = rows.groupBy(*keys, series.bucket_of(df).alias(BUCKET)).agg(
+            F.count(F.lit(1)).alias("_rows"), *last_value
         )
-        .filter(F.col(TOTAL) > series.chunk_rows)
-        .withColumn(START, F.col("_end") - F.col("_rows"))
-    )
+        counts = materialize(counts)
+        fullest = counts.agg(F.max("_rows")).first()[0]
+        if fullest <= series.chunk_rows or series.bucket <= 1:
+            break
+        # Narrow by the overfill, at least by half.
+        narrower = series.bucket * series.chunk_rows // fullest
+        series = replace(series, bucket=max(1, min(narrower, series.bucket // 2)))
+    counted = counts.withColumns(
+        {
+            "_end": F.sum("_rows").over(running(by_bucket)),
+            TOTAL: F.sum("_rows").over(per_series),
+            **{
+                f"_carry_{c}": F.last(f"_last_{c}", ignorenulls=True).over(earlier) for c in carry
+            },
+        }
+    ).withColumn(START, F.col("_end") - F.col("_rows"))
     slot = F.floor(F.col(START) / F.lit(series.chunk_rows))
     index = materialize(
         counted.withColumn(HOME, F.dense_rank().over(per_series.orderBy(slot)) - F.lit(1)).select(

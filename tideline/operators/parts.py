@@ -1,7 +1,7 @@
 """Feature families as steps: windows first, then expressions over them.
 
 A feature may need a lag, then a window over that lag, then a window over that
-window; ``prior`` to ``windowed`` are these levels. The final
+window; ``prior`` to ``windowed`` are these levels. ``derived`` and the final
 expressions are SQL text over the named columns, and ``kept`` names window
 columns that a later family uses again.
 
@@ -27,6 +27,7 @@ class Step:
     middle: dict[str, Column] = field(default_factory=dict)
     shifted: dict[str, Column] = field(default_factory=dict)
     windowed: dict[str, Column] = field(default_factory=dict)
+    derived: dict[str, str] = field(default_factory=dict)
     features: dict[str, str] = field(default_factory=dict)
     kept: list[str] = field(default_factory=list)
 
@@ -35,6 +36,8 @@ def _levels(df: DataFrame, step: Step) -> DataFrame:
     for level in (step.prior, step.inner, step.middle, step.shifted, step.windowed):
         if level:
             df = df.withColumns(level)
+    if step.derived:
+        df = df.withColumns({n: F.expr(e) for n, e in step.derived.items()})
     return df
 
 

@@ -14,11 +14,12 @@ from tideline.operators.parts import Step
 TAIL = 0.05
 
 
-def _tail_mean_sql(frame: str) -> str:
-    """Mean of the values up to the tail quantile of an ascending frame."""
-    tail = f"filter({frame}, v -> v <= {sorted_quantile_sql(frame, TAIL)})"
+def _tail_mean_sql(frame: str, limit: str) -> str:
+    """Mean of the values of ``frame`` up to the column ``limit``."""
     fold = "(a, v) -> named_struct('s', a.s + v, 'k', a.k + 1D)"
-    return f"aggregate({tail}, named_struct('s', 0D, 'k', 0D), {fold}, a -> try_divide(a.s, a.k))"
+    tail = f"filter({frame}, v -> v <= {limit})"
+    mean = f"aggregate({tail}, named_struct('s', 0D, 'k', 0D), {fold}, a -> try_divide(a.s, a.k))"
+    return f"CASE WHEN {limit} IS NOT NULL THEN {mean} END"
 
 
 def returns(p: str, windows: Sequence[int], w: WindowSpec) -> Step:
@@ -39,12 +40,13 @@ def returns(p: str, windows: Sequence[int], w: WindowSpec) -> Step:
             frame: F.sort_array(F.collect_list(r).over(f)),
             f"_peak_{p}_{n}": F.max(wealth).over(f),
         }
+        step.derived[f"_var_{p}_{n}"] = sorted_quantile_sql(quoted(frame), TAIL)
         step.features |= {
             f"{p}_vol_cluster_{n}": f"`_spread_{p}_{n}`",
             f"{p}_downside_risk_{n}": f"`_down_{p}_{n}`",
             f"{p}_upside_potential_{n}": f"`_up_{p}_{n}`",
-            f"{p}_var_5_{n}": sorted_quantile_sql(quoted(frame), TAIL),
-            f"{p}_cvar_5_{n}": _tail_mean_sql(quoted(frame)),
+            f"{p}_var_5_{n}": f"`_var_{p}_{n}`",
+            f"{p}_cvar_5_{n}": _tail_mean_sql(quoted(frame), f"`_var_{p}_{n}`"),
             f"{p}_max_drawdown_{n}": f"try_divide(`{wealth}` - `_peak_{p}_{n}`, `_peak_{p}_{n}`)",
         }
     return step

@@ -19,7 +19,7 @@ from tideline.sources import readers
 from tideline.sources.tables import by_supplier, by_user, daily_all, daily_by_priority, table
 
 # Small chunks, so that the queries named "cut_" split every series over tasks.
-CUT = Series(chunk_rows=400, bucket_seconds=30 * 86_400)
+CUT = Series(chunk_rows=400)
 ALPHA = 0.05
 
 Query = Callable[[SparkSession, str], DataFrame]

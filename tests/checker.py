@@ -8,6 +8,7 @@ import time
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
@@ -40,17 +41,30 @@ def normal(pdf):
     return out.sort_values(list(out.columns)).reset_index(drop=True)
 
 
-def differences(got, want):
-    """Empty when equal, else a short description."""
+def differences(got, want, tolerance=0.0):
+    """Empty when equal, else a short description.
+
+    With a tolerance, numbers may differ by the last rounded digit: a value that
+    ends in a 5 there is rounded up by one engine and down by the other.
+    """
     if sorted(got.columns) != sorted(want.columns):
         return f"columns {sorted(got.columns)} != {sorted(want.columns)}"
     if len(got) != len(want):
         return f"{len(got)} rows != {len(want)}"
+    if tolerance:
+        text = [c for c in sorted(got.columns) if not pd.api.types.is_float_dtype(got[c])]
+        a, b = (d.sort_values(text).reset_index(drop=True) for d in (got, want))
+        for c in got.columns:
+            if c in text:
+                if (a[c].astype(str) != b[c].astype(str)).any():
+                    return f"{c} differs"
+            elif not np.allclose(a[c].astype(float), b[c].astype(float), rtol=0, atol=tolerance, equal_nan=True):
+                return f"{c} differs"
+        return ""
     a, b = normal(got), normal(want)
     bad = {c: int((a[c] != b[c]).sum()) for c in a.columns if (a[c] != b[c]).any()}
     if not bad:
         return ""
-    c = next(iter(bad))
     rows = (a != b).any(axis=1)
     return f"{bad}\n{a[rows].head(3).to_string()}\n{b[rows].head(3).to_string()}"
 

@@ -51,8 +51,13 @@ def ema_name(c: str, span: int) -> str:
     return f"_ema_{c}_{span}"
 
 
-def with_ema(df: DataFrame, c: str, spans: Sequence[int], layout: Layout) -> DataFrame:
-    """Add ``_ema_{c}_{span}`` columns; ``df`` must already be spread."""
+def with_ema(
+    df: DataFrame, c: str, spans: Sequence[int], layout: Layout, variant: int = 0
+) -> DataFrame:
+    """Add ``_ema_{c}_{span}`` columns; ``df`` must already be spread.
+
+    ``variant`` is the row order of the last window, which later windows reuse.
+    """
     keep = df.columns
     df = df.withColumn("_row", layout.position())
     x = F.col(c)
@@ -83,7 +88,7 @@ def with_ema(df: DataFrame, c: str, spans: Sequence[int], layout: Layout) -> Dat
     known = x.isNotNull() & layout.is_own()
     df = df.withColumns({ema_name(c, s): F.when(known, e) for s, e in out.items()})
     names = [ema_name(c, s) for s in out]
-    w = running(layout.window())
+    w = running(layout.window(variant))
     df = df.withColumns({name: F.last(name, ignorenulls=True).over(w) for name in names})
     if layout.is_cut:
         df = _carry_between_chunks(df, names, layout)

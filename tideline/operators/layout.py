@@ -110,12 +110,13 @@ class Layout:
     def is_own(self) -> Column:
         return F.col(OWN) if self.is_cut else F.lit(True)
 
-    def position(self) -> Column:
+    def position(self, variant: int = 0) -> Column:
         """Zero-based row position in the whole series."""
-        rank = F.row_number().over(self.window()).cast("long") - F.lit(1)
+        w = self.window(variant)
+        rank = F.row_number().over(w).cast("long") - F.lit(1)
         if not self.is_cut:
             return rank
-        return F.first(START).over(running(self.window())) + rank
+        return F.first(START).over(running(w)) + rank
 
     def total(self) -> Column:
         """Rows in the whole series."""

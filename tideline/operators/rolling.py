@@ -47,7 +47,7 @@ def base_frame(c: str, n: int, w: WindowSpec) -> dict[str, Column]:
     return {frame_name(c, n): F.sort_array(F.collect_list(c).over(trailing(w, n)))}
 
 
-def _reference(step: Step, c: str, block: int, layout: Layout, w: WindowSpec) -> None:
+def _reference(step: Step, c: str, block: int, layout: Layout, variant: int) -> None:
     """Give every row the reference value of its block and of the next block.
 
     ``skewness`` and ``kurtosis`` over a sliding frame are many times slower than
@@ -56,8 +56,8 @@ def _reference(step: Step, c: str, block: int, layout: Layout, w: WindowSpec) ->
     of a block of rows. A frame spans at most two neighbouring blocks, one even
     and one odd, so each row carries its distance to the reference of either.
     """
-    x, row = F.col(c), layout.position()
-    run = running(w)
+    w = layout.window(variant)
+    x, row, run = F.col(c), layout.position(variant), running(w)
     at_start = F.when(row % block == 0, x)
     step.prior |= {f"_odd_{c}": F.floor(row / F.lit(block)) % 2 == 1, f"_start_{c}": at_start}
     step.inner[f"_ref_{c}"] = F.coalesce(
@@ -119,7 +119,7 @@ def rolling(
 ) -> Step:
     """All statistics of column ``c``; ``keep`` leaves mean and deviation behind."""
     w, step = layout.window(variant), Step()
-    _reference(step, c, max([*windows, 1]) + 1, layout, w)
+    _reference(step, c, max([*windows, 1]) + 1, layout, variant)
     for n in windows:
         step.windowed |= base_mean(c, n, w) | base_std(c, n, w) | base_frame(c, n, w)
         step.windowed |= base_powers(c, n, w)

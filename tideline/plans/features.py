@@ -93,7 +93,7 @@ def create_technical_indicators(
     rows = layout.spread(df, _reach([], windows, ema=True))
     spread = rows.columns
     rows, filled = _fill(rows, price_col, layout, fill)
-    rows = with_ema(rows, price_col, windows, layout)
+    rows = with_ema(rows, price_col, windows, layout, variant=1)
     step = technical(price_col, windows, layout.window(), filled)
     return layout.own(attach(rows, [step]).select(*spread, *step.features))
 
@@ -196,10 +196,12 @@ def feature_set(
     rows = layout.spread(df.select(*series.keys, series.time, *columns), before, horizon)
     own = [c for c in rows.columns if c not in columns]
     rows, filled = _fill(rows, target_col, layout, fill)
-    rows = with_ema(rows, target_col, windows, layout)
+    # Each window uses a shorter order than the one before it: one sort serves all.
+    variant = iter(range(2 * len(columns) + 4, -1, -1))
+    rows = with_ema(rows, target_col, windows, layout, next(variant))
+    goal = target(target_col, layout.window(next(variant)), target_type, horizon, filled)
     time_type = df.schema[series.time].dataType.simpleString()
     others = [c for c in columns if c != target_col]
-    variant = iter(range(2 * len(columns) + 3, -1, -1))
     calendar_step = calendar(series.time, time_type)
     order = [target_col, *others]
     steps = [
@@ -210,7 +212,6 @@ def feature_set(
         *[interactions(target_col, c, layout.window(next(variant))) for c in others],
         calendar_step,
     ]
-    goal = target(target_col, layout.window(next(variant)), target_type, horizon, filled)
     rows = attach(rows, [goal])
     rows = attach_array(rows, steps, columns).select(*own, "target", "x")
     complete = F.col("target").isNotNull() & F.expr("forall(x, v -> v IS NOT NULL)")

@@ -469,7 +469,7 @@ ORACLES["model_results"] = f"""WITH {PREDICTED}, {MEASURED}, {RESULTS}
 SELECT series_id, model, lookback, n_folds, beats_baseline, {rnd('avg_mae', 6, 'avg_mae')},
   {rnd('std_mae', 6, 'std_mae')}, {rnd('baseline_mae', 6, 'baseline_mae')}, {rnd('improvement', 6, 'improvement')},
   {listed(rnd(f'avg_{m}', 6, f'avg_{m}') for m in AVERAGED)},
-  0.0 AS avg_prediction_std, 0.0 AS avg_prediction_uncertainty FROM s"""
+  CAST(0 AS DOUBLE) AS avg_prediction_std, CAST(0 AS DOUBLE) AS avg_prediction_uncertainty FROM s"""
 ORACLES["result_totals"] = f"""WITH {PREDICTED}, {MEASURED}, {RESULTS}
 SELECT lookback, count(*) AS total_models, count(*) FILTER (WHERE beats_baseline) AS beating_baseline,
   round(count(*) FILTER (WHERE beats_baseline) / count(*), 6) AS success_rate FROM s GROUP BY ROLLUP (lookback)"""

@@ -32,6 +32,7 @@ BUCKET, CHUNK, HOME, OWN = "_bucket", "_chunk", "_home", "_own"
 START, TOTAL = "_start", "_total"
 NO_TIME = 2**62
 BROADCAST_ROWS = 500_000
+BUCKETS_PER_CHUNK = 8  # whole buckets are borrowed, so they must be small against a chunk
 
 
 @dataclass(frozen=True)
@@ -40,7 +41,7 @@ class Series:
 
     ``bucket`` is the first width tried for the calendar buckets, in microseconds
     of the time column (or in units of an integer time column). It is narrowed
-    until the rows of one long series in one bucket fit a chunk.
+    until the rows of one long series in one bucket are a small part of a chunk.
     """
 
     keys: tuple[str, ...] = ("series_id",)
@@ -135,7 +136,7 @@ def lay_out(df: DataFrame, series: Series = Series(), carry: Sequence[str] = ())
     """Measure the table once and decide how to spread it.
 
     Counts the rows per series. If some series are long, their rows per bucket are
-    counted too, with narrower buckets until none holds more than a chunk. ``carry``
+    counted too, with narrower buckets until each is small against a chunk. ``carry``
     names columns whose last non-null value must reach later chunks.
     """
     keys = list(series.keys)
@@ -154,16 +155,17 @@ def lay_out(df: DataFrame, series: Series = Series(), carry: Sequence[str] = ())
     if hot.count() <= BROADCAST_ROWS:
         hot = F.broadcast(hot)
     rows = df.join(hot, keys, "left_semi")
+    share = max(1, series.chunk_rows // BUCKETS_PER_CHUNK)
     while True:
         counts = rows.groupBy(*keys, series.bucket_of(df).alias(BUCKET)).agg(
             F.count(F.lit(1)).alias("_rows"), *last_value
         )
         counts = materialize(counts)
         fullest = counts.agg(F.max("_rows")).first()[0]
-        if fullest <= series.chunk_rows or series.bucket <= 1:
+        if fullest <= share or series.bucket <= 1:
             break
         # Narrow by the overfill, at least by half.
-        narrower = series.bucket * series.chunk_rows // fullest
+        narrower = series.bucket * share // fullest
         series = replace(series, bucket=max(1, min(narrower, series.bucket // 2)))
     counted = counts.withColumns(
         {

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tideline.llm.common import pieces, texts_of
 from tideline.llm.hashing import run_hashes, word_hashes
@@ -120,10 +121,11 @@ def contaminated(
     groups = max(1, math.ceil(size / 2 / BROADCAST))
     kinds = [source.schema["doc_id"].dataType.simpleString(), named.schema["item_id"].dataType.simpleString()]
     shape = "doc_id {}, item_id {}, matched long, tokens long".format(*kinds)
+    arrow = to_arrow_type(named.schema["item_id"].dataType)
     out = None
     for group in range(groups):
         part = named.where(F.pmod(F.xxhash64("item_id", "body"), F.lit(groups)) == group).collect()
-        found = source.mapInArrow(_tiler([(r[0], cleaned(r[1].encode())) for r in part], seed), shape)
+        found = source.mapInArrow(_tiler([(r[0], cleaned(r[1].encode())) for r in part], seed, arrow), shape)
         out = found if out is None else out.union(found)
     coverage = F.col("matched") / F.col("tokens")
     best = (
@@ -133,11 +135,11 @@ def contaminated(
     return best.select("doc_id", "item_id", "best.matched", "best.tokens", "best.coverage")
 
 
-def _tiler(items: list[tuple[object, bytes]], seed: int):
+def _tiler(items: list[tuple[object, bytes]], seed: int, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _finder(items, seed)
         tokens = [t.split() for _, t in items]
-        ids = pa.array([i for i, _ in items])
+        ids = pa.array([i for i, _ in items], kind)
         for batch in pieces(batches, "body"):
             texts = [cleaned(t) for t in texts_of(batch.column("body"))]
             at, which, matched = [], [], []

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.llm.common import crc_of_id, pieces, store, texts_of
 from tideline.shipping import ship_package
@@ -65,6 +66,11 @@ def width() -> int:
     return vectors([b""]).shape[1] + 1
 
 
+def fields_of(df: DataFrame, columns: list[str]) -> T.StructType:
+    """The fields of the given columns."""
+    return T.StructType([df.schema[c] for c in columns])
+
+
 def featurize(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
     """The given columns and ``x``, the vector of the text."""
     ship_package(docs.sparkSession)
@@ -75,8 +81,8 @@ def featurize(docs: DataFrame, columns: list[str], text: str = "text") -> DataFr
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], flat], names=[*columns, "x"])
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*dict.fromkeys([*columns, text])).mapInArrow(run, f"{fields}, x array<float>")
+    fields = fields_of(docs, columns)
+    return docs.select(*dict.fromkeys([*columns, text])).mapInArrow(run, fields.add("x", T.ArrayType(T.FloatType())))
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -195,8 +201,8 @@ def score(vectors_: DataFrame, model: dict, columns: list[str]) -> DataFrame:
             s = _score(_matrix(batch), model) if batch.num_rows else np.empty(0)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(s)], names=[*columns, "score"])
 
-    fields = ", ".join(f"`{c}` {vectors_.schema[c].dataType.simpleString()}" for c in columns)
-    return vectors_.select(*columns, "x").mapInArrow(run, f"{fields}, score double")
+    fields = fields_of(vectors_, columns)
+    return vectors_.select(*columns, "x").mapInArrow(run, fields.add("score", T.DoubleType()))
 
 
 def held_out() -> Column:
@@ -204,10 +210,22 @@ def held_out() -> Column:
     return crc_of_id("doc_id") % 5 == 0
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id``, ``held_out`` and ``score`` of every row."""
+def _trained(data: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict]:
+    """Rows with ``doc_id`` and ``x``, written with ``positive``, and the model they give."""
     good = labels.where((F.col("quality") == 1) & ~held_out()).select(F.col("doc_id").alias("_good")).distinct()
-    data = featurize(docs.select("doc_id", "text"), ["doc_id"])
     data = data.join(good, F.col("doc_id") == F.col("_good"), "left")
-    data = store(data.select("doc_id", "x", F.col("_good").isNotNull().alias("positive")), "quality")
-    return score(data, fit(data), ["doc_id"]).select("doc_id", held_out().alias("held_out"), "score")
+    data = store(data.withColumn("positive", F.col("_good").isNotNull()).drop("_good"), "quality")
+    return data, fit(data)
+
+
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id``, ``held_out`` and ``score`` of every row."""
+    data, model = _trained(featurize(docs.select("doc_id", "text"), ["doc_id"]), labels)
+    return score(data, model, ["doc_id"]).select("doc_id", held_out().alias("held_out"), "score")
+
+
+def classify_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Whole rows as ``doc`` with their ``score``; the vectors are made again rather than written with the texts."""
+    _, model = _trained(featurize(docs.select("doc_id", "text"), ["doc_id"]), labels)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
+    return score(featurize(packed, ["doc"]), model, ["doc"])

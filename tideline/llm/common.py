@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,34 +70,38 @@ def text_size(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     return rows, size
 
 
-def to_blocks(docs: DataFrame, tag: str, size: int, block_bytes: int = 16 << 20, text: str = "text") -> DataFrame:
-    """Cut each partition into blocks of about ``block_bytes`` of text, numbered in ``src``, and write them.
+def to_blocks(
+    docs: DataFrame, tag: str, size: int, block_bytes: int = 16 << 20, text: str = "text",
+    derive: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: T.StructType | None = None,
+) -> DataFrame:
+    """Cut each partition into blocks of about ``block_bytes`` of text and write them.
 
-    The table is bucketed by ``src``, so grouping or cogrouping by it moves no text again. ``size`` is the text in
-    all, which sets the number of buckets. A block holds whole documents, at least one.
+    ``src`` numbers the block and ``place`` the row within it. The table is bucketed by ``src``, so grouping or
+    cogrouping by it moves no text again. ``size`` is the text in all, which sets the number of buckets. A block holds
+    whole documents, at least one. ``derive`` may turn batches into others of ``schema``, row by row.
     """
     spark = docs.sparkSession
     ship_package(spark)
     buckets = max(2, math.ceil(2 * size / block_bytes))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, block, filled = TaskContext.get().partitionId() << 32, 0, 0
+        src, filled, place = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = np.empty(batch.num_rows, np.int64)
+            ids, places = np.empty((2, batch.num_rows), np.int64)
             for i, n in enumerate(lengths(batch.column(text))):
                 n += 64  # a row is never free
                 if filled and filled + n > block_bytes:
-                    block, filled = block + 1, 0
-                filled += n
-                ids[i] = first + block
-            yield pa.RecordBatch.from_arrays([pa.array(ids), *batch.columns], names=["src", *batch.schema.names])
-
-    schema = T.StructType([T.StructField("src", T.LongType()), *docs.schema.fields])
+                    src, filled, place = src + 1, 0, 0
+                ids[i], places[i] = src, place
+                filled, place = filled + n, place + 1
+            out = derive(batch) if derive else batch
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(places), *out.columns], names=["src", "place", *out.schema.names])
+
+    shape = T.StructType.fromDDL("src long, place long")
+    shape = T.StructType([*shape.fields, *(schema or docs.schema).fields])
     path, name = scratch(spark, tag), f"blocks_{uuid.uuid4().hex}"
     (
-        docs.mapInArrow(cut, schema).write.bucketBy(buckets, "src").option("compression", "zstd")
+        docs.mapInArrow(cut, shape).write.bucketBy(buckets, "src").option("compression", "zstd")
         .option("path", path).format("parquet").saveAsTable(name)
     )
     blocks = spark.table(name)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, decontaminate, lines, neardup, quality, sharding
+from tideline.llm import bpe, decontaminate, exactdup, lines, neardup, quality, sharding, substrings, warc
 from tideline.llm.common import table
 
 #: The least score of a document that is kept.
@@ -39,6 +39,19 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    made = substrings.remove_repeated(table(spark, folder, "documents"))
+    return made.select("doc_id", "n_words", "n_removed", sha256(F.col("kept")).alias("kept_sha256"))
+
+
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    made = warc.deduplicated(table(spark, folder, "pages"))
+    return made.select(
+        F.col("source").cast("long").alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+        F.col("type").alias("record_type"), F.col("origin").cast("long").alias("refers_to"),
+    )
+
+
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     made = lines.drop_recurring_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return made.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), sha256(F.col("text")).alias("kept_sha256"))
@@ -52,5 +65,15 @@ def op8_bpe(spark: SparkSession, folder: str, path: str | None = None) -> DataFr
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_ngram_jaccard_join, op3_quality_classifier, op4_decontamination, op7_line_dedup, op8_bpe)}
+def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exactdup.exact_duplicates(table(spark, folder, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sharding, op2_ngram_jaccard_join, op3_quality_classifier, op4_decontamination, op5_substring_dedup, op6_warc,
+        op7_line_dedup, op8_bpe, op10_exact_dedup,
+    )
+}
 ORACLES: dict[str, str] = {}

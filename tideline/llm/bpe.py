@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from tideline.llm.common import pieces
+from tideline.llm.common import Codes, pieces
 from tideline.shipping import ship_package
 
 #: Words that a worker remembers; beyond them it starts anew.
@@ -59,14 +59,6 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total[-1] if len(total) else 0) + np.repeat(starts - total + sizes, sizes)
 
 
-class Codes(dict):
-    """Numbers each new key in turn."""
-
-    def __missing__(self, key):
-        self[key] = code = len(self)
-        return code
-
-
 class Vocabulary:
     """Tables of a vocabulary file, and the words met so far."""
 

@@ -21,6 +21,14 @@ from tideline.shipping import ship_package
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+class Codes(dict):
+    """Numbers each new key in turn."""
+
+    def __missing__(self, key):
+        self[key] = code = len(self)
+        return code
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

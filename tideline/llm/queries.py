@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, decontaminate, exactdup, lines, neardup, quality, sharding, substrings, warc
+from tideline.llm import bpe, decontaminate, exactdup, lines, lm, neardup, quality, sharding, substrings, warc
 from tideline.llm.common import table
 
 #: The least score of a document that is kept.
@@ -65,6 +65,10 @@ def op8_bpe(spark: SparkSession, folder: str, path: str | None = None) -> DataFr
     )
 
 
+def op9_recurrent_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.scores(table(spark, folder, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exactdup.exact_duplicates(table(spark, folder, "documents"))
 
@@ -73,7 +77,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_sharding, op2_ngram_jaccard_join, op3_quality_classifier, op4_decontamination, op5_substring_dedup, op6_warc,
-        op7_line_dedup, op8_bpe, op10_exact_dedup,
+        op7_line_dedup, op8_bpe, op9_recurrent_scores, op10_exact_dedup,
     )
 }
 ORACLES: dict[str, str] = {}

@@ -27,8 +27,8 @@ from tideline.llm.common import Codes, crc_of_id, store, text_size, texts_of, to
 from tideline.llm.hashing import word_hashes
 from tideline.llm.recurrent import WINDOW, Layout, Trainer, score
 
-FREQUENT = 1024
-CLASSES = 32
+FREQUENT = 512
+CLASSES = 24
 KINDS = 18
 ROUNDS = 4
 BLOCK = 12 << 20

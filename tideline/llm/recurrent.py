@@ -13,6 +13,8 @@ import heapq
 import numpy as np
 
 HIDDEN = 16
+#: Bound of what goes into an exponential: sums of such stay within single precision.
+LARGE = 60.0
 WINDOW = 16
 
 
@@ -46,6 +48,7 @@ class Layout:
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     np.negative(x, out=x)
+    np.minimum(x, np.float32(LARGE), out=x)
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
@@ -55,22 +58,28 @@ def step(m: dict, e: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """The next state from the inputs' rows of E; also what the way back needs."""
     k = HIDDEN
     u = h @ m["U"]
-    gates = _sigmoid(np.clip(e[:, : 2 * k] + u[:, : 2 * k], -30, 30))
+    gates = _sigmoid(e[:, : 2 * k] + u[:, : 2 * k])
     z, r = gates[:, :k], gates[:, k:]
     un = u[:, 2 * k :] + m["b"]
-    n = np.tanh(e[:, 2 * k :] + r * un)
-    return n + z * (h - n), z, r, n, un
+    n = r * un
+    n += e[:, 2 * k :]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    return new, z, r, n, un
 
 
 def output(m: dict, layout: Layout, states: np.ndarray, symbols: np.ndarray, grads: dict | None = None):
     """Log-probabilities of symbols after states; with ``grads`` also the gradient by the states."""
     cls = layout.of[symbols]
     rows = np.arange(len(symbols))
-    a = states @ m["C"] + m["c"]
-    a -= a.max(1, keepdims=True)
+    a = states @ m["C"]
+    a += m["c"]
+    np.minimum(a, np.float32(LARGE), out=a)
     picked = a[rows, cls]
     np.exp(a, out=a)
-    total = a.sum(1)
+    total = a @ np.ones(layout.classes, np.float32)
     logp = picked - np.log(total)
     back = None
     if grads is not None:
@@ -79,7 +88,7 @@ def output(m: dict, layout: Layout, states: np.ndarray, symbols: np.ndarray, gra
         grads["C"] += states.T @ a
         grads["c"] += a.sum(0)
         back = a @ m["C"].T
-    order = np.argsort(cls, kind="stable")
+    order = np.argsort(cls.astype(np.int16), kind="stable")
     cuts = np.searchsorted(cls[order], np.arange(layout.first + 1))
     for i in range(layout.first):
         lo, hi = layout.bounds[i], layout.bounds[i + 1]
@@ -87,12 +96,13 @@ def output(m: dict, layout: Layout, states: np.ndarray, symbols: np.ndarray, gra
         if hi - lo < 2 or not len(at):
             continue
         s = states[at]
-        a = s @ m["W"][lo:hi].T + m["w"][lo:hi]
-        a -= a.max(1, keepdims=True)
+        a = s @ m["W"][lo:hi].T
+        a += m["w"][lo:hi]
+        np.minimum(a, np.float32(LARGE), out=a)
         target, rows = symbols[at] - lo, np.arange(len(at))
         picked = a[rows, target]
         np.exp(a, out=a)
-        total = a.sum(1)
+        total = a @ np.ones(hi - lo, np.float32)
         logp[at] += picked - np.log(total)
         if grads is not None:
             a /= total[:, None]

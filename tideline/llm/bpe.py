@@ -29,7 +29,7 @@ from tideline.llm.common import Codes, pieces
 from tideline.shipping import ship_package
 
 #: Words that a worker remembers; beyond them it starts anew.
-CACHE = 400_000
+CACHE = 200_000
 #: A fixed value of the vocabulary's format: white space of its patterns.
 BLANK = r"\t-\r \x85\xa0  -     　"
 
@@ -209,7 +209,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for batch in pieces(batches, text):
+        for batch in pieces(batches, text, 2 << 20):
             ids = vocab.encode([x or "" for x in batch.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(key), ids, vocab.decode(ids)], names=[key, "ids", "decoded"])
 

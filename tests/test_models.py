@@ -169,7 +169,8 @@ def test_grouped_fits_cover_all_models_and_isolate_errors(spark):
 def test_history_fit_equals_a_direct_fit(spark):
     df = fold_table(spark, 400, 5)
     models = [*history.SQUARED, *history.ROBUST, "QuantileRegressor"]
-    made = history.fit_history(df, ["series_id"], models, rounds=12).toPandas().set_index("model")
+    made = history.fit_history(df, ["series_id"], models).toPandas().set_index("model")
+    assert made["converged"].all() and made.loc["RobustLasso", "rounds"] > 1
     pdf = df.toPandas()
     x, y = np.vstack(pdf["x"]), pdf["target"].to_numpy()
     X = (x - x.mean(0)) / x.std(0)
@@ -183,6 +184,18 @@ def test_history_fit_equals_a_direct_fit(spark):
     assert np.allclose(got, X @ b + c)
 
 
+def test_robust_fits_by_passes_equal_those_in_one_task(spark, monkeypatch):
+    df = fold_table(spark, 300, 2)
+    fit = lambda n: history.fit_history(df, ["series_id"], history.ROBUST, rounds=n).toPandas().set_index("model")
+    whole, short = fit(8), fit(1)
+    monkeypatch.setattr(history, "WHOLE_CELLS", 0)
+    passes = fit(8)
+    for model in history.ROBUST:
+        assert np.allclose(passes.loc[model, "coefficients"], whole.loc[model, "coefficients"], atol=1e-9)
+        assert passes.loc[model, "rounds"] <= 8
+    assert not short["converged"].any()  # one round is told apart from a finished fit
+
+
 def test_autoregression(spark):
     with pytest.raises(ValueError):
         autoregression.check_order((1, 1))
@@ -229,7 +242,7 @@ def test_report(spark):
     fm = spark.createDataFrame(rows, "series_id string, lookback int, model string, fold int, mae double")
     keys = ["series_id", "lookback", "model"]
     results = report.compare(report.average_folds(fm, keys), report.baseline_table(spark)).toPandas().set_index("model")
-    assert set(results.index) == {"OLS", "Ridge"}  # a model without a baseline drops out
+    assert not results.loc["Other", "has_baseline"] and not results.loc["Other", "beats_baseline"]
     assert results.loc["OLS", "avg_mae"] == pytest.approx(0.02) and results.loc["OLS", "std_mae"] == pytest.approx(0.01)
     assert results.loc["OLS", "beats_baseline"] and not results.loc["Ridge", "beats_baseline"]
     assert results.loc["OLS", "improvement"] == pytest.approx((0.02505 - 0.02) / 0.02505 * 100)
@@ -239,6 +252,14 @@ def test_report(spark):
     assert total == {21: (2, 1, 0.5), None: (2, 1, 0.5)}
 
 
+def test_configurations_keep_their_baseline(spark):
+    df = to_spark(spark, walk(340, 7, "a"))
+    run = bt.evaluate_models(df, "price", [21], ["Ridge", *grouped.grid("Ridge", alpha=[0.1, 10.0])])
+    got = run.results.toPandas()
+    assert set(got["model"]) == {"Ridge", "Ridge(alpha=0.1)", "Ridge(alpha=10.0)"}
+    assert got["has_baseline"].all() and set(got["baseline_mae"]) == {0.024659}
+
+
 def test_evaluation_from_rows_to_final_models(spark):
     df = to_spark(spark, pd.concat([walk(340, 7, "a"), walk(60, 8, "short")]))
     big = {m: (9.0, 9.0, 9.0) for m in report.BASELINES}

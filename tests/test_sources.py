@@ -44,6 +44,30 @@ def test_load_failures(spark, tmp_path):
         readers.load_data(spark, str(tmp_path / "missing.csv"))
 
 
+def test_text_is_kept_or_reported(spark, tmp_path, caplog):
+    path = write(tmp_path, "time,series_id,price\n2020-01-01,A,1\n2020-01-02,B,NaN\n2020-01-03,B,\n")
+    rows = readers.read_table(spark, path, keys=["series_id"]).orderBy("time").collect()
+    assert [r.series_id for r in rows] == ["A", "B", "B"] and [r.price for r in rows] == [1.0, None, None]
+    with pytest.raises(ValueError, match="series_id"):
+        readers.read_table(spark, path)
+    with caplog.at_level(logging.WARNING):
+        assert readers.read_table(spark, path, lost="report").filter("series_id IS NULL").count() == 3
+    assert "3 cells" in caplog.text
+
+
+def test_folders_without_a_telling_name(spark, tmp_path):
+    spark.createDataFrame([(1.0, "a")], "price double, k string").write.partitionBy("k").parquet(str(tmp_path / "p"))
+    assert readers.read_table(spark, str(tmp_path / "p")).first().price == 1.0
+    write(tmp_path, "time,gold\n2020-01-01,2\n", "plain")
+    made = readers.load_data(spark, str(tmp_path / "plain"), series_id="one").first()
+    assert made.series_id == "one" and made.Gold_Price_USD == 2.0
+
+
+def test_duplicate_times(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 1)], "series_id string, time int")
+    assert [tuple(r) for r in quality.duplicate_times(df).collect()] == [("a", 1, 2)]
+
+
 def test_parquet_source_turns_nan_into_null(spark, tmp_path):
     path = str(tmp_path / "t.parquet")
     spark.createDataFrame([(float("nan"),), (1.0,)], "price double").write.parquet(path)

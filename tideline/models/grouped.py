@@ -57,7 +57,9 @@ def _fit_fold(
     test = pdf.loc[~fitted, [*keys, "fold", "idx", "target"]]
     out = []
     for label, model, params in configs:
-        rows = test.assign(model=label, prediction=np.nan, prediction_sd=np.nan, error=None)
+        rows = test.assign(
+            model=label, prediction=np.nan, prediction_sd=np.nan, error=None, base_model=model
+        )
         try:
             run = custom.get(model) or partial(solver, model)
             made = run(X, y[fitted], Z, params)
@@ -69,7 +71,8 @@ def _fit_fold(
             rows["error"] = f"{type(failure).__name__}: {failure}"
         out.append(rows)
     made = pd.concat(out, ignore_index=True)
-    return made[[*keys, "fold", "idx", "model", "target", "prediction", "prediction_sd", "error"]]
+    names = ["model", "target", "prediction", "prediction_sd", "error", "base_model"]
+    return made[[*keys, "fold", "idx", *names]]
 
 
 def fit_predict(
@@ -82,7 +85,8 @@ def fit_predict(
 
     ``models`` holds names or ``(label, model, params)`` rows, e.g. from
     :func:`grid`. ``custom`` adds own models: ``f(X, y, Z, params)`` gets the
-    scaled train rows, their targets and the scaled test rows.
+    scaled train rows, their targets and the scaled test rows. ``model`` is the
+    label of a configuration, ``base_model`` the model it configures.
     """
     ship_package(fold_rows.sparkSession)
     configs = [(m, m, {}) if isinstance(m, str) else tuple(m) for m in models]
@@ -94,7 +98,7 @@ def fit_predict(
         [
             *[f"{k} {types[k]}" for k in keys],
             f"fold {types['fold']}, idx {types['idx']}, model string, target double",
-            "prediction double, prediction_sd double, error string",
+            "prediction double, prediction_sd double, error string, base_model string",
         ]
     )
     own = dict(custom or {})

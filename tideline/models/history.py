@@ -20,6 +20,7 @@ from tideline.shipping import ship_package
 
 BLOCK_ROWS = 2048
 SMALL_TABLE_ROWS = 20_000
+WHOLE_CELLS = 4_000_000
 SQUARED = ("OLS", "Ridge", "Lasso", "ElasticNet", "BayesianRidge")
 ROBUST = ("HuberRegressor", "RobustElasticNet", "RobustLasso")
 
@@ -87,11 +88,14 @@ def moments(rows: DataFrame, keys: Sequence[str], robust: bool = False) -> DataF
 
 def _centred(pdf: pd.DataFrame):
     ordered = pdf.sort_values("i")["row"].to_list()
-    M = np.vstack(ordered[1:])
+    return _centred_matrix(np.vstack(ordered[1:]), ordered[0])
+
+
+def _centred_matrix(M: np.ndarray, scale):
     total = M[0, 0]
     m = M[0] / total
     C = M / total - np.outer(m, m)
-    return C[1:-1, 1:-1], C[1:-1, -1], C[-1, -1], total, m[1:-1], m[-1], ordered[0]
+    return C[1:-1, 1:-1], C[1:-1, -1], C[-1, -1], total, m[1:-1], m[-1], scale
 
 
 def _solve(pdf: pd.DataFrame, keys: list[str], models: list[str]) -> pd.DataFrame:
@@ -110,12 +114,10 @@ def _model_schema(rows: DataFrame, keys: Sequence[str]) -> str:
     return ", ".join([*head, "model string, intercept double, coefficients array<double>"])
 
 
-def _refit(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    """One reweighted step; the next round's scale comes from the same pass."""
-    G, g, _, total, mx, my, (n, squares, outside) = _centred(pdf)
-    head = {k: pdf[k].iloc[0] for k in keys}
-    model, s = head["model"], pdf["s"].iloc[0]
-    p, old = solvers.DEFAULTS[model], np.asarray(pdf["coefficients"].iloc[0])
+def _advance(model: str, centred: tuple, s: float, old: np.ndarray, old_c: float):
+    """One reweighted step: intercept, coefficients, scale, and how far they moved."""
+    G, g, _, total, mx, my, (n, squares, outside) = centred
+    p = solvers.DEFAULTS[model]
     share = total / n  # the loss is averaged over rows, not over weights
     G, g = G * share, g * share
     if model == "HuberRegressor":
@@ -126,12 +128,65 @@ def _refit(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
         l1 = p["alpha"] * p["l1_ratio"]
         b = solvers.elastic_net(G, g, l1, p["alpha"] - l1, old)
     c = my - mx @ b
-    moved = max(np.abs(b - old).max(initial=0.0), abs(c - pdf["intercept"].iloc[0]))
+    return c, b, s, max(np.abs(b - old).max(initial=0.0), abs(c - old_c))
+
+
+def _refit(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """One reweighted step; the next round's scale comes from the same pass."""
+    head = {k: pdf[k].iloc[0] for k in keys}
+    old = np.asarray(pdf["coefficients"].iloc[0])
+    made = _advance(head["model"], _centred(pdf), pdf["s"].iloc[0], old, pdf["intercept"].iloc[0])
+    c, b, s, moved = made
     return pd.DataFrame([{**head, "intercept": c, "coefficients": b, "s": s, "moved": moved}])
 
 
+def _whole(pdf: pd.DataFrame, keys: list[str], models, rounds: int, tol: float) -> pd.DataFrame:
+    """All rounds for a series that fits one task, from its least squares fit."""
+    Z, y = np.vstack(pdf["z"].to_numpy()), pdf["target"].to_numpy(float)
+    A = np.column_stack([np.ones(len(y)), Z, y])
+    head, out = {k: pdf[k].iloc[0] for k in keys}, []
+    for model in models:
+        epsilon = solvers.DEFAULTS[model]["epsilon"]
+        b, c, s = np.asarray(pdf["coefficients"].iloc[0]), pdf["intercept"].iloc[0], 1.0
+        for turn in range(1, rounds + 1):
+            r = np.abs(y - Z @ b - c)
+            w = np.minimum(1.0, epsilon * s / np.maximum(r, 1e-300))
+            inside = r <= epsilon * s
+            scale = [float(len(y)), float((r[inside] ** 2).sum()), float((~inside).sum())]
+            centred = _centred_matrix((A * w[:, None]).T @ A, scale)
+            c, b, s, moved = _advance(model, centred, s, b, c)
+            if moved <= tol:
+                break
+        row = {"model": model, "intercept": c, "coefficients": b, "rounds": turn}
+        out.append({**head, **row, "converged": bool(moved <= tol)})
+    return pd.DataFrame(out)
+
+
 def _robust(z: DataFrame, start: DataFrame, keys: list[str], models, rounds: int, tol: float):
-    """Iteratively reweighted fits: one distributed pass per round for all models."""
+    """Iteratively reweighted fits.
+
+    A series of at most ``WHOLE_CELLS`` numbers takes all its rounds in one task; longer
+    ones take one distributed pass per round for all models, until all have converged.
+    """
+    start = start.select(*keys, "intercept", "coefficients")
+    sizes = z.groupBy(*keys).agg((F.count(F.lit(1)) * F.max(F.size("z"))).alias("_cells"))
+    sizes = materialize(sizes)
+    z = z.join(_lookup(sizes), keys)
+    small = z.filter(F.col("_cells") <= WHOLE_CELLS).drop("_cells")
+    shape = f"{_model_schema(z, keys)}, rounds int, converged boolean"
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _whole(pdf, keys, models, rounds, tol)
+
+    made = small.join(_lookup(start), keys).groupBy(*keys).applyInPandas(whole, shape)
+    if sizes.filter(F.col("_cells") > WHOLE_CELLS).isEmpty():
+        return made
+    long = z.filter(F.col("_cells") > WHOLE_CELLS).drop("_cells")
+    there = sizes.filter(F.col("_cells") > WHOLE_CELLS).drop("_cells")
+    return made.unionByName(_by_passes(long, start.join(there, keys), keys, models, rounds, tol))
+
+
+def _by_passes(z: DataFrame, start: DataFrame, keys: list[str], models, rounds: int, tol: float):
     by = [*keys, "model"]
     each = F.explode(F.array(*[F.lit(m) for m in models])).alias("model")
     line = materialize(
@@ -142,27 +197,29 @@ def _robust(z: DataFrame, start: DataFrame, keys: list[str], models, rounds: int
     def refit(pdf: pd.DataFrame) -> pd.DataFrame:
         return _refit(pdf, by)
 
-    for _ in range(rounds):
+    for turn in range(1, rounds + 1):  # noqa: B007
         matrix = moments(z.join(_lookup(line), keys), by, robust=True)
         made = matrix.join(_lookup(line), by).groupBy(*by).applyInPandas(refit, schema)
         made = materialize(made)
         line = made.drop("moved")
         if made.agg(F.max("moved")).first()[0] <= tol:
             break
-    return line.drop("s")
+    told = made.withColumns({"rounds": F.lit(turn), "converged": F.col("moved") <= tol})
+    return told.drop("s", "moved")
 
 
 def fit_history(
     rows: DataFrame,
     keys: Sequence[str],
     models: Sequence[str] = SQUARED,
-    rounds: int = 30,
-    tol: float = 1e-7,
+    rounds: int = 2000,
+    tol: float = 1e-9,
 ) -> DataFrame:
     """One row per series and model: intercept, coefficients, and the scaler.
 
     ``rows`` needs the keys, ``idx``, ``x`` and ``target``; the coefficients apply
-    to ``(x - center) / spread``.
+    to ``(x - center) / spread``. ``rounds`` and ``converged`` tell of reweighted fits
+    how many rounds they took, at most ``rounds``, and whether they came within ``tol``.
     """
     ship_package(rows.sparkSession)
     keys = list(keys)
@@ -182,6 +239,7 @@ def fit_history(
     if robust:
         solved = materialize(solved)
     made = solved.filter(F.col("model").isin(squared))
+    made = made.withColumns({"rounds": F.lit(1), "converged": F.lit(True)})
     if robust:
         start = solved.filter(F.col("model") == "Ridge").drop("model")
         made = made.unionByName(_robust(z, start, keys, robust, rounds, tol))
@@ -191,7 +249,9 @@ def fit_history(
         flat = scaler.select(
             *keys, F.transform("center", lambda _: F.lit(0.0)).alias("coefficients")
         )
-        constant = center.join(flat, keys).withColumn("model", F.lit("QuantileRegressor"))
+        constant = center.join(flat, keys).withColumns(
+            {"model": F.lit("QuantileRegressor"), "rounds": F.lit(1), "converged": F.lit(True)}
+        )
         made = made.unionByName(constant.select(*made.columns))
     return made.join(scaler, keys)
 

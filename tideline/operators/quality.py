@@ -85,3 +85,8 @@ def outliers(
             "is_outlier": (F.col(value) < low) | (F.col(value) > high),
         }
     ).drop("_q25", "_q75", "_mean", "_std")
+
+
+def duplicate_times(df: DataFrame, keys: Sequence[str] = ("series_id",), time: str = "time") -> DataFrame:
+    """Times that a series has more than once, and how many rows they have."""
+    return df.groupBy(*keys, time).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")

@@ -61,14 +61,17 @@ def average_folds(fold_metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def compare(
-    averages: DataFrame, baselines: DataFrame, on: Sequence[str] = ("model", "lookback")
-) -> DataFrame:
-    """Add the baseline and whether it is beaten; models without one drop out.
+def compare(averages: DataFrame, baselines: DataFrame) -> DataFrame:
+    """Add the baseline and whether it is beaten.
 
-    The baseline table has one row per model and lookback, a fixed small number.
+    A configuration has the baseline of its ``base_model`` (of ``model`` without that
+    column). Rows without a baseline stay, with ``has_baseline`` false. The baseline
+    table has one row per model and lookback, a fixed small number.
     """
-    joined = averages.join(F.broadcast(baselines), list(on), "inner")
+    of = "base_model" if "base_model" in averages.columns else "model"
+    known = F.broadcast(baselines.select(F.col("model").alias(of), "lookback", "baseline_mae"))
+    joined = averages.join(known, [of, "lookback"], "left")
+    joined = joined.withColumn("has_baseline", F.col("baseline_mae").isNotNull())
     base, mae = F.col("baseline_mae"), F.col("avg_mae")
     gain = F.when(base > 0, ratio(base - mae, base) * 100).otherwise(0.0)
     filled = {
@@ -78,13 +81,13 @@ def compare(
         )
         for m, default in AVERAGED.items()
     }
-    return joined.withColumns({**filled, "beats_baseline": mae < base, "improvement": gain})
+    return joined.withColumns({**filled, "beats_baseline": F.coalesce(mae < base, F.lit(False)), "improvement": gain})
 
 
 def totals(results: DataFrame, by: Sequence[str] = ("lookback",)) -> DataFrame:
-    """Models and winners per lookback, and over everything (NULL lookback)."""
+    """Models with a baseline and winners per lookback, and over everything (NULL lookback)."""
     wins = F.count_if("beats_baseline")
-    return results.rollup(*by).agg(
+    return results.filter("has_baseline").rollup(*by).agg(
         F.count(F.lit(1)).alias("total_models"),
         wins.alias("beating_baseline"),
         F.coalesce(ratio(wins.cast("double"), F.count(F.lit(1)).cast("double")), F.lit(0.0)).alias(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -19,6 +20,9 @@ from tideline.operators.target import target
 from tideline.plans.features import LOOKBACKS, feature_set
 
 
+logger = logging.getLogger(__name__)
+
+
 @dataclass(frozen=True)
 class Evaluation:
     """The tables of a run; all but ``rows`` and ``predictions`` are lazy."""
@@ -61,8 +65,8 @@ def evaluate_models(
         rows = rows.unionByName(piece)
     rows = materialize(rows)
     made = materialize(grouped.fit_predict(folds(rows, train), keys, models, custom))
-    fold_metrics = evaluate(made.filter("error IS NULL"), [*keys, "model", "fold"])
-    averages = report.average_folds(fold_metrics, [*keys, "model"])
+    fold_metrics = evaluate(made.filter("error IS NULL"), [*keys, "model", "base_model", "fold"])
+    averages = report.average_folds(fold_metrics, [*keys, "model", "base_model"])
     results = report.compare(averages, report.baseline_table(df.sparkSession, baselines))
     names = {s.lookback: s.names for s in sets}
     return Evaluation(rows, names, made, fold_metrics, results, report.totals(results))
@@ -73,7 +77,10 @@ def final_models(evaluation: Evaluation, keys: Sequence[str] = ("series_id", "lo
     known = [*history.SQUARED, *history.ROBUST, "QuantileRegressor"]
     fitted = []
     won = materialize(report.winners(evaluation.results, [*keys, "model"]))
-    models = [m for m in known if m in {r[0] for r in won.select("model").distinct().collect()}]
+    names = {r[0] for r in won.select("model").distinct().collect()}
+    models = [m for m in known if m in names]
+    if names - set(models):
+        logger.warning("no final fit for configurations and own models: %s", sorted(names - set(models)))
     for lookback in evaluation.names:
         rows = evaluation.rows.filter(F.col("lookback") == lookback)
         if models:

@@ -241,7 +241,7 @@ def create_features(
 
 
 def create_rolling_features(
-    df: DataFrame, target_col: str, lookback_windows: Sequence[int] = LOOKBACKS
+    df: DataFrame, target_col: str, lookback_windows: Sequence[int] = LOOKBACKS, **options
 ) -> dict[int, DataFrame]:
-    """Older name of :func:`create_features`."""
-    return create_features(df, target_col, lookback_windows)
+    """Older name of :func:`create_features`, with the same options."""
+    return create_features(df, target_col, lookback_windows, **options)

@@ -386,7 +386,7 @@ def _results(spark, sf):
     averages = report.average_folds(made, ["series_id", "model"])
     # Errors of this data are far above the daily-price baselines: compare at 40 times.
     scaled = {m: tuple(40 * v for v in values) for m, values in report.BASELINES.items()}
-    return report.compare(_lookback(averages), report.baseline_table(spark, scaled))
+    return report.compare(_lookback(averages), report.baseline_table(spark, scaled)).filter("has_baseline")
 
 
 @query
@@ -499,8 +499,8 @@ def tuned_ridge(spark, sf):
 
 @query
 def fold_models(spark, sf):
-    """All solver models on the full lookback 21 inputs (more inputs than rows)."""
-    run = bt.evaluate_models(daily_all(spark, sf), "price", [21], target_type="log_return")
+    """All solver models on the full inputs of all lookbacks (more inputs than rows)."""
+    run = bt.evaluate_models(daily_all(spark, sf), "price", ft.LOOKBACKS, target_type="log_return")
     return run.results.select("series_id", "lookback", "model", "n_folds", "avg_mae", "avg_prediction_std", "beats_baseline")
 
 
@@ -526,8 +526,8 @@ def history_models(spark, sf):
 @query
 def robust_history_models(spark, sf):
     """Reweighted whole-history fits: Huber and the robust elastic nets."""
-    made = history.fit_history(_rows_with_input(spark, sf), ["series_id"], history.ROBUST, rounds=10)
-    return made.select("series_id", "model", "intercept", "coefficients")
+    made = history.fit_history(_rows_with_input(spark, sf), ["series_id"], history.ROBUST)
+    return made.select("series_id", "model", "intercept", "coefficients", "converged")
 
 
 def _tree_rows(spark, sf):
@@ -539,16 +539,19 @@ def _tree_rows(spark, sf):
 @query
 def forest_importance(spark, sf):
     rows, inputs = _tree_rows(spark, sf)
-    model = trees.forest(numTrees=20).fit(rows)
+    model = trees.forest().fit(rows)
     pairs = trees.importances(model, inputs)
     return spark.createDataFrame(pairs, "feature string, importance double")
 
 
 @query
 def boosted_predictions(spark, sf):
+    """Boosted trees, fitted on the first four fifths of the days, on the rest."""
     rows, _ = _tree_rows(spark, sf)
-    model = trees.boosted({"n_estimators": 10, "max_depth": 3}).fit(rows)
-    return model.transform(rows).select("series_id", day(), "target", "prediction")
+    split = rows.agg(F.percentile(F.unix_seconds(F.col("time").cast("timestamp")), 0.8)).first()[0]
+    later = F.unix_seconds(F.col("time").cast("timestamp")) > split
+    model = trees.boosted().fit(rows.filter(~later))
+    return model.transform(rows.filter(later)).select("series_id", day(), "target", "prediction")
 
 
 # Autoregression and sequences -----------------------------------------------
@@ -615,7 +618,7 @@ def _mean_model_report(spark, sf):
     df = daily_all(spark, sf)
     predictions = bt.closed_form_predictions(df, "price", alpha=1.0).filter("model = 'Lasso'")
     averages = report.average_folds(evaluate(predictions, ["series_id", "model", "fold"]), ["series_id", "model"])
-    made = report.compare(_lookback(averages), report.baseline_table(spark))
+    made = report.compare(_lookback(averages), report.baseline_table(spark)).filter("has_baseline")
     return made.select(
         "series_id", "model", "lookback", "n_folds", F.round("avg_mae", 6).alias("avg_mae"),
         F.round("std_mae", 6).alias("std_mae"), F.round("baseline_mae", 6).alias("baseline_mae"),

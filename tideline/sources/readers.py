@@ -19,26 +19,54 @@ REQUIRED = ("Gold_Price_USD",)
 FIRST_DAY, LAST_DAY = "1987-01-01", "2025-05-28"
 
 
+def _is_parquet(spark: SparkSession, path: str) -> bool:
+    """By the name, and for a folder without a telling name by the files in it."""
+    name = path.rstrip("/").lower()
+    if name.endswith((".parquet", ".pq")):
+        return True
+    if name.endswith((".csv", ".csv.gz", ".txt")):
+        return False
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return not files.select("path").isEmpty()
+
+
+def _numbers(df: DataFrame, columns: Sequence[str], lost: str) -> DataFrame:
+    """Text columns as doubles. Cells that hold text and no number are counted first."""
+    made = {c: F.expr(f"try_cast(trim(`{c}`) AS DOUBLE)") for c in columns}
+    if columns:
+        bad = [F.count_if((F.trim(c) != "") & value.isNull()).alias(c) for c, value in made.items()]
+        found = {c: n for c, n in df.agg(*bad).first().asDict().items() if n}
+        if found and lost == "raise":
+            raise ValueError(f"text in columns read as numbers (cells): {found}; name them in keys")
+        for c, n in found.items():
+            logger.warning("column %s: %d cells hold text and become NULL", c, n)
+    return df.withColumns(made)
+
+
 def read_table(
-    spark: SparkSession, path: str, schema: str | T.StructType | None = None, time: str = "time"
+    spark: SparkSession,
+    path: str,
+    schema: str | T.StructType | None = None,
+    time: str = "time",
+    keys: Sequence[str] = (),
+    lost: str = "raise",
 ) -> DataFrame:
     """CSV (header) or Parquet, time parsed, NaN turned into NULL.
 
-    Without a schema all CSV columns but the time are read as doubles, which
-    needs the header line only and no pass over the data. A missing path raises.
+    Without a schema the ``keys`` of a CSV (columns that name the series, or other
+    text) stay strings and all columns but the time become doubles. One pass counts
+    cells that hold text instead of a number; they raise, or with
+    ``lost="report"`` are logged. A missing path raises.
     """
-    if path.rstrip("/").endswith((".parquet", ".pq")):
+    if _is_parquet(spark, path):
         df = spark.read.parquet(path)
-    else:
-        if schema is None:
-            header = spark.read.option("header", True).csv(path).columns
-            schema = T.StructType(
-                [
-                    T.StructField(c, T.TimestampNTZType() if c == time else T.DoubleType())
-                    for c in header
-                ]
-            )
+    elif schema is not None:
         df = spark.read.schema(schema).option("header", True).csv(path)
+    else:
+        header = spark.read.option("header", True).csv(path).columns
+        kinds = [T.StructField(c, T.TimestampNTZType() if c == time else T.StringType()) for c in header]
+        df = spark.read.schema(T.StructType(kinds)).option("header", True).csv(path)
+        df = _numbers(df, [c for c in header if c != time and c not in keys], lost)
     if time in df.columns and isinstance(df.schema[time].dataType, T.StringType):
         df = df.withColumn(time, F.to_timestamp_ntz(time))
     doubles = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
@@ -90,9 +118,17 @@ def load_data(
     time: str = "time",
     first: str = FIRST_DAY,
     last: str = LAST_DAY,
+    keys: Sequence[str] = (),
+    series_id: str | None = None,
+    lost: str = "raise",
 ) -> DataFrame:
-    """Read, rename, check. Gaps and a short date range are only reported."""
-    df = read_table(spark, path, time=time).withColumnsRenamed(dict(renames))
+    """Read, rename, check. Gaps and a short date range are only reported.
+
+    ``series_id`` names the one series of a file without a key column.
+    """
+    df = read_table(spark, path, time=time, keys=keys, lost=lost).withColumnsRenamed(dict(renames))
+    if series_id is not None:
+        df = df.withColumn("series_id", F.lit(series_id))
     require_columns(df, required)
     require_time(df, time)
     facts = df.agg(*_coverage(time, first, last), *_nulls(required)).first()

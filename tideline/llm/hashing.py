@@ -7,6 +7,8 @@ import numpy as np
 #: Odd multipliers, derived from one seed.
 _RANDOM = np.random.Generator(np.random.PCG64(20240917))
 STEP, RUN = (int(x) | 1 for x in _RANDOM.integers(1 << 62, 1 << 63, 2, dtype=np.uint64))
+#: Bytes that are hashed at once, about.
+PIECE = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -38,11 +40,16 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         none = np.empty(0, np.int64)
         return none.astype(np.uint64), none, none, np.zeros(len(texts), np.int64), data
     sizes = ends - starts
-    inside = np.flatnonzero(~space)
-    begin = np.cumsum(sizes) - sizes
-    place = np.arange(len(inside)) - np.repeat(begin, sizes)
-    value = (raw[inside] + np.uint64(1)) * powers(STEP, int(sizes.max()))[place]
-    hashes = mixed(np.add.reduceat(value, begin))
+    power, hashes = powers(STEP, int(sizes.max())), np.empty(len(starts), np.uint64)
+    # some words at a time: their bytes take many times their room
+    cuts = np.unique(np.r_[np.searchsorted(starts, np.arange(0, len(raw), PIECE)), len(starts)])
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        lo, hi, n = starts[a], ends[b - 1], sizes[a:b]
+        begin = np.cumsum(n) - n
+        inside = raw[lo:hi][~space[lo:hi]]
+        place = np.arange(len(inside)) - np.repeat(begin, n)
+        hashes[a:b] = np.add.reduceat((inside + np.uint64(1)) * power[place], begin)
+    hashes = mixed(hashes)
     limits = np.cumsum([len(t) + 1 for t in texts])
     counts = np.diff(np.searchsorted(starts, limits), prepend=0)
     return hashes, starts, ends, counts, data

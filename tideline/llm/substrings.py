@@ -30,7 +30,9 @@ WINDOW = 35
 SEED = 4
 SLOTS = 1 << 16
 #: Bytes of packed strings that one bucket gets, about.
-BUCKET = 16 << 20
+BUCKET = 12 << 20
+#: Bytes of text in a block, about.
+BLOCK = 8 << 20
 
 
 @dataclass
@@ -122,7 +124,7 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
     """The key, ``n_words``, ``n_removed`` and ``kept`` (the words that stay, joined by blanks) of every row."""
     _, size = text_size(docs, f"`{text}`")
     named = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    blocks = to_blocks(named, "windows", size)
+    blocks = to_blocks(named, "windows", size, BLOCK)
     # packed strings hold a word about three times
     buckets = max(16, math.ceil(3 * size / BUCKET))
     cold = np.zeros(SLOTS, bool)

@@ -7,6 +7,7 @@ from tideline.models import autoregression, grouped, history, solvers, trees
 from tideline.operators import report
 from tideline.operators.folds import folds, scale
 from tideline.operators.layout import Series, with_positions
+from tideline.operators.lookup import lookup
 from tideline.operators.metrics import evaluate, rmse_and_mae
 from tideline.operators.quantiles import exact_quantiles
 from tideline.plans import backtest as bt
@@ -77,6 +78,28 @@ def test_exact_quantiles_with_coarse_and_fine_sketches(spark, accuracy):
     assert whole == pytest.approx(np.median(np.concatenate(list(values.values()))))
 
 
+@pytest.mark.parametrize("most", [20, 100])
+def test_exact_quantiles_narrow_wide_brackets(spark, most):
+    ties = np.r_[np.zeros(600), np.ones(600), RNG.normal(size=50)]
+    values = {"all different": RNG.normal(size=8000), "ties": ties, "two": np.repeat([1.0, 2.0], 500), "few": np.arange(5.0)}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "k string, v double")
+    levels = {"q00": 0.0, "q05": 0.05, "q50": 0.5, "q77": 0.77, "q100": 1.0}
+    got = exact_quantiles(df, ["k"], "v", levels, accuracy=300, most=most).collect()
+    assert {r.k for r in got} == set(values)
+    for r in got:
+        for name, p in levels.items():
+            assert r[name] == pytest.approx(np.quantile(values[r.k], p), abs=1e-12), (r.k, name)
+
+
+def test_lookup_splits_hot_series_from_others(spark):
+    rows = [("hot", i) for i in range(3000)] + [(f"s{i}", i) for i in range(1500)] + [(None, 1), ("unknown", 2)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    table = spark.createDataFrame([("hot", 1.0)] + [(f"s{i}", float(i)) for i in range(1500)], "k string, w double")
+    small, large = (sorted(map(tuple, lookup(df, table, ["k"], limit=n).collect())) for n in (1 << 20, 0))
+    assert small == large and len(small) == 4500
+    assert lookup(df.limit(0), table, ["k"], limit=0).count() == 0
+
+
 def objective(model, X, y, b, c, p):
     r, n = y - X @ b - c, len(y)
     if model == "HuberRegressor":

@@ -47,15 +47,17 @@ def fit(df: DataFrame, value: str, order=ORDER, series: Series = Series()) -> Da
     rows = rows.withColumns({f"_l{i}": F.lag(f"_d{d}", i).over(w) for i in range(1, p + 1)})
     rows = layout.own(rows.withColumn("_l0", F.col(f"_d{d}")))
     whole = F.greatest(*[F.col(f"_l{i}").isNull().cast("int") for i in range(p + 1)]) == 0
-    names = [f"_l{i}" for i in range(p + 1)]
+    names = [F.when(whole, F.col(f"_l{i}")) for i in range(p + 1)]
+    # With an intercept: covariances about the mean, which keep their digits at a large level.
+    product = (lambda a, b: F.sum(a * b)) if d else F.covar_pop
     sums = [F.count_if(whole).cast("double").alias("_n")]
     for i, a in enumerate(names):
-        sums.append(F.sum(F.when(whole, F.col(a))).alias(f"_s{i}"))
+        sums.append(F.avg(a).alias(f"_s{i}"))
         for j in range(i, p + 1):
-            sums.append(F.sum(F.when(whole, F.col(a) * F.col(names[j]))).alias(f"_s{i}_{j}"))
+            sums.append(product(a, names[j]).alias(f"_s{i}_{j}"))
     at = F.col(series.time)
     last = [
-        F.max_by(F.array(*names[:p]), at).alias("tail"),
+        F.max_by(F.array(*[F.col(f"_l{i}") for i in range(p)]), at).alias("tail"),
         F.max_by(F.array(*[f"_d{k}" for k in range(d)]) if d else F.array(F.lit(0.0)), at).alias(
             "levels"
         ),
@@ -75,30 +77,32 @@ def fit(df: DataFrame, value: str, order=ORDER, series: Series = Series()) -> Da
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            solved = [_solve(r, p, d) for r in pdf.itertuples(index=False)]
-            out = pdf[[*keys]].assign(n=pdf["_n"])
-            out["coefficients"] = [s[0] for s in solved]
-            out["intercept"] = [s[1] for s in solved]
+            found, b, intercept = _solve(pdf, p, d)
+            out = pdf[[*keys]].assign(n=pdf["n"])
+            out["coefficients"] = [v if ok else None for v, ok in zip(b.tolist(), found, strict=True)]
+            out["intercept"] = np.where(found, intercept, np.nan)
             yield out.assign(tail=pdf["tail"], levels=pdf["levels"])
 
-    # pandas renames columns that start with an underscore in itertuples
-    table = table.withColumnsRenamed({"_cross": "cross", "_totals": "totals"})
+    table = table.withColumnsRenamed({"_n": "n", "_cross": "cross", "_totals": "means"})
     return table.mapInPandas(solve, schema)
 
 
-def _solve(row, p: int, d: int):
-    cross = np.asarray(row.cross, dtype=float).reshape(p + 1, p + 1)
-    totals = np.asarray(row.totals, dtype=float)
-    if not np.isfinite(cross).all():
-        return None, None
+def _stack(column: pd.Series, width: int) -> np.ndarray:
+    """Arrays of one length as rows, missing elements as NaN."""
+    return np.array(column.tolist(), dtype=float).reshape(len(column), width)
+
+
+def _solve(pdf: pd.DataFrame, p: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All systems of a batch at once: which have an answer, coefficients, intercepts."""
+    cross = _stack(pdf["cross"], (p + 1) * (p + 1)).reshape(-1, p + 1, p + 1)
+    found = np.isfinite(cross).all((1, 2))
+    cross = np.where(found[:, None, None], cross, 0.0)
+    inverse = np.linalg.pinv(cross[:, 1:, 1:], rcond=np.finfo(float).eps * p, hermitian=True)
+    b = (inverse @ cross[:, 1:, :1])[:, :, 0]
     if d > 0:
-        b = np.linalg.lstsq(cross[1:, 1:], cross[1:, 0], rcond=None)[0]
-        return b.tolist(), 0.0
-    n = row[row._fields.index("cross") - 1]
-    mean = totals / n
-    C = cross / n - np.outer(mean, mean)
-    b = np.linalg.lstsq(C[1:, 1:], C[1:, 0], rcond=None)[0]
-    return b.tolist(), float(mean[0] - mean[1:] @ b)
+        return found, b, np.zeros(len(b))
+    means = np.nan_to_num(_stack(pdf["means"], p + 1))
+    return found, b, means[:, 0] - (means[:, 1:] * b).sum(1)
 
 
 def forecast(models: DataFrame, steps: int, order=ORDER, keys=("series_id",)) -> DataFrame:
@@ -111,25 +115,27 @@ def forecast(models: DataFrame, steps: int, order=ORDER, keys=("series_id",)) ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf = pdf[pdf["coefficients"].notna()]
-            paths = [
-                _path(r.coefficients, r.intercept, r.tail, r.levels, steps, d)
-                for r in pdf.itertuples(index=False)
-            ]
+            paths = _paths(pdf, steps, d)
             out = pdf[keys].loc[pdf.index.repeat(steps)].reset_index(drop=True)
             out["step"] = np.tile(np.arange(1, steps + 1), len(pdf))
-            out["forecast"] = np.concatenate(paths) if paths else np.empty(0)
+            out["forecast"] = paths.ravel()
             yield out
 
     return models.mapInPandas(run, schema)
 
 
-def _path(coefficients, intercept, tail, levels, steps: int, d: int) -> np.ndarray:
-    b, recent, made = np.asarray(coefficients), list(tail), []
-    for _ in range(steps):
-        value = float(intercept + b @ np.asarray(recent[: len(b)]))
-        made.append(value)
-        recent.insert(0, value)
-    path = np.asarray(made)
+def _paths(pdf: pd.DataFrame, steps: int, d: int) -> np.ndarray:
+    """Series x steps: the recursion runs over the steps, for all series of a batch."""
+    made = np.empty((len(pdf), steps))
+    if not len(pdf):
+        return made
+    p = len(pdf["coefficients"].iloc[0])
+    b, recent = _stack(pdf["coefficients"], p), _stack(pdf["tail"], p)
+    intercept = pdf["intercept"].to_numpy(float)
+    for k in range(steps):
+        made[:, k] = intercept + (b * recent).sum(1)
+        recent = np.c_[made[:, k], recent[:, :-1]]
+    levels = _stack(pdf["levels"], max(d, 1))
     for k in reversed(range(d)):
-        path = levels[k] + np.cumsum(path)
-    return path
+        made = levels[:, k : k + 1] + made.cumsum(1)
+    return made

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.operators.layout import Series, lay_out
+from tideline.operators.lookup import lookup
 from tideline.operators.quantiles import exact_quantiles
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -69,14 +70,13 @@ def outliers(
 ) -> DataFrame:
     """Flag rows outside ``reach`` interquartile ranges, and give their z score.
 
-    The per-series limits join back on the key; a series that holds much of the
-    data does not gather in one task when this table is small enough to broadcast,
-    which adaptive execution decides from its measured size.
+    The per-series limits join back on the key without gathering a series that
+    holds much of the data in one task.
     """
     keys = list(keys)
     spread = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std"))
     limits = exact_quantiles(df, keys, value, {"_q25": 0.25, "_q75": 0.75})
-    rows = df.join(limits.join(spread, keys), keys)
+    rows = lookup(df, limits.join(spread, keys), keys)
     width = F.col("_q75") - F.col("_q25")
     low, high = F.col("_q25") - width * reach, F.col("_q75") + width * reach
     return rows.withColumns(

@@ -1,9 +1,9 @@
 """Exact quantiles of groups that may be too large for one task.
 
-``percentile`` keeps every distinct value of a group in one buffer. Here an
-approximate sketch first brackets each quantile, within its guaranteed rank
-error. One more pass counts what lies below the bracket and counts the distinct
-values inside it. Only these few values of a group meet in one place.
+``percentile`` keeps every distinct value of a group in one buffer. Here an approximate sketch first brackets each
+quantile. Plain aggregates count what lies below and inside the brackets; one that holds more than ``most`` rows
+strictly inside is narrowed by a sketch of these rows. At the end at most ``most`` values of a group and level,
+and the two ends of their bracket, meet in one place, however many rows the group has.
 """
 
 from __future__ import annotations
@@ -13,9 +13,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.operators.lookup import lookup
 from tideline.operators.storage import materialize
 
-SMALL_BRACKETS = 500_000
+#: Parts that a sketch cuts the inside of a bracket into.
+GRID = 64
 
 
 def exact_quantiles(
@@ -24,63 +26,126 @@ def exact_quantiles(
     value: str,
     levels: Mapping[str, float],
     accuracy: int = 100_000,
+    most: int = 100_000,
 ) -> DataFrame:
     """One row per group and one column per level, linearly interpolated."""
     if not keys:
         whole = df.select(value).withColumn("_all", F.lit(0))
-        return exact_quantiles(whole, ["_all"], value, levels, accuracy).drop("_all")
+        return exact_quantiles(whole, ["_all"], value, levels, accuracy, most).drop("_all")
     keys = list(keys)
-    df = df.select(*keys, value).filter(F.col(value).isNotNull())
+    df = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
     margin = 4.0 / accuracy
     points = []
     for p in levels.values():
         points += [max(0.0, p - margin), min(1.0, p + margin)]
     sketch = df.groupBy(*keys).agg(
-        F.percentile_approx(value, points, accuracy).alias("_points"),
-        F.count(value).alias("_count"),
-        F.min(value).alias("_min"),
-        F.max(value).alias("_max"),
+        F.percentile_approx("_v", points, accuracy).alias("_points"),
+        F.count("_v").alias("_count"),
+        F.min("_v").alias("_min"),
+        F.max("_v").alias("_max"),
     )
-    # Every later step must see the same brackets, so they are written once.
-    sketch = materialize(sketch)
-    if sketch.count() <= SMALL_BRACKETS:
-        sketch = F.broadcast(sketch)
-    joined = df.join(sketch, keys, "inner")
-    lists = []
-    for i, (name, p) in enumerate(levels.items()):
+    ends = []
+    for i, p in enumerate(levels.values()):
         # A small group is its own bracket; otherwise the margin covers the sketch's error.
-        low = f"if(_count <= {accuracy} OR {p - margin <= 0}, _min, _points[{2 * i}])"
-        high = f"if(_count <= {accuracy} OR {p + margin >= 1}, _max, _points[{2 * i + 1}])"
-        lists.append(f"struct('{name}' AS level, {p!r}D AS p, {low} AS low, {high} AS high)")
-    v = f"`{value}`"
-    cells = (
-        joined.withColumn("_cell", F.explode(F.expr(f"array({', '.join(lists)})")))
-        .filter(F.expr(f"{v} <= _cell.high"))
-        .select(
-            *keys,
-            "_count",
-            F.col("_cell.level").alias("level"),
-            F.col("_cell.p").alias("p"),
-            F.expr(f"if({v} < _cell.low, NULL, {v})").alias("v"),
+        ends += [
+            F.expr(f"if(_count <= {most} OR {p - margin <= 0}, _min, _points[{2 * i}])").alias(f"_low{i}"),
+            F.expr(f"if(_count <= {most} OR {p + margin >= 1}, _max, _points[{2 * i + 1}])").alias(f"_high{i}"),
+        ]
+    brackets = materialize(sketch.select(*keys, "_count", *ends))
+    while True:
+        # Every later step must see the same brackets, so each round of them is written.
+        rows = lookup(df, brackets, keys)
+        counted = materialize(brackets.join(_count(rows, keys, len(levels)), keys))
+        wide = F.lit(False)
+        for i in range(len(levels)):
+            wide = wide | (F.col(f"_inside{i}") > most)
+        if counted.filter(wide).isEmpty():
+            break
+        brackets = materialize(_narrowed(df, counted, keys, list(levels.values()), most, accuracy))
+    return _read_off(df, counted, keys, levels)
+
+
+def _count(rows: DataFrame, keys: list[str], levels: int) -> DataFrame:
+    """Per group and level: rows below the bracket, at its lower end, strictly inside, and the outermost of these."""
+    sums = []
+    for i in range(levels):
+        inside = f"_v > _low{i} AND _v < _high{i}"
+        sums += [
+            F.count_if(F.expr(f"_v < _low{i}")).alias(f"_below{i}"),
+            F.count_if(F.expr(f"_v = _low{i}")).alias(f"_at{i}"),
+            F.count_if(F.expr(inside)).alias(f"_inside{i}"),
+            F.min(F.expr(f"if({inside}, _v, NULL)")).alias(f"_first{i}"),
+            F.max(F.expr(f"if({inside}, _v, NULL)")).alias(f"_last{i}"),
+        ]
+    return rows.groupBy(*keys).agg(*sums)
+
+
+def _narrowed(
+    df: DataFrame, counted: DataFrame, keys: list[str], levels: Sequence[float], most: int, accuracy: int
+) -> DataFrame:
+    """New brackets, with strictly fewer rows inside wherever there are more than ``most``."""
+    which = range(len(levels))
+    wide = [F.col(f"_inside{i}") > most for i in which]
+    any_wide = wide[0]
+    for w in wide[1:]:
+        any_wide = any_wide | w
+    bounds = [c for i in which for c in (f"_low{i}", f"_high{i}")]
+    rows = lookup(df, counted.filter(any_wide).select(*keys, *bounds, *[f"_inside{i}" for i in which]), keys)
+    grid = [k / GRID for k in range(GRID + 1)]
+    sketches = [
+        F.percentile_approx(
+            F.expr(f"if(_inside{i} > {most} AND _v > _low{i} AND _v < _high{i}, _v, NULL)"), grid, accuracy
+        ).alias(f"_grid{i}")
+        for i in which
+    ]
+    made = counted.join(rows.groupBy(*keys).agg(*sketches), keys, "left")
+    ends = []
+    for i, p in enumerate(levels):
+        rank = f"((_count - 1) * {p!r}D)"
+        # Places of the two ranks among the rows strictly inside; outside of 0 .. inside - 1 they are at an end.
+        first, last = (f"({f}({rank}) - _below{i} - _at{i})" for f in ("floor", "ceil"))
+        left = f"CAST(floor(({first} / _inside{i} - {4 / accuracy!r}D) * {GRID}) AS INT)"
+        right = f"CAST(ceil((({last} + 1) / _inside{i} + {4 / accuracy!r}D) * {GRID}) AS INT)"
+        low = (
+            f"CASE WHEN _inside{i} <= {most} OR {first} < 0 THEN _low{i}"
+            f" WHEN {first} >= _inside{i} THEN _high{i}"
+            f" WHEN {last} >= _inside{i} THEN _last{i}"
+            f" ELSE get(_grid{i}, greatest({left}, 0)) END"
         )
+        high = (
+            f"CASE WHEN _inside{i} <= {most} OR {last} >= _inside{i} THEN _high{i}"
+            f" WHEN {last} < 0 THEN _low{i}"
+            f" WHEN {first} < 0 THEN _first{i}"
+            f" ELSE get(_grid{i}, least({right}, {GRID})) END"
+        )
+        ends += [F.expr(low).alias(f"_low{i}"), F.expr(high).alias(f"_high{i}")]
+    return made.select(*keys, "_count", *ends)
+
+
+def _read_off(df: DataFrame, counted: DataFrame, keys: list[str], levels: Mapping[str, float]) -> DataFrame:
+    """Gather the values within each bracket and take the ones of the wanted ranks."""
+    which = range(len(levels))
+    bounds = [c for i in which for c in (f"_low{i}", f"_high{i}")]
+    hit = ", ".join(f"if(_v BETWEEN _low{i} AND _high{i}, {i}, NULL)" for i in which)
+    steps = (
+        lookup(df, counted.select(*keys, *bounds), keys)
+        .select(*keys, "_v", F.explode(F.expr(f"array_compact(array({hit}))")).alias("_i"))
         # Map-side combine shrinks each task's rows to the bracket's distinct values.
-        .groupBy(*keys, "_count", "level", "p", "v")
+        .groupBy(*keys, "_i", "_v")
         .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(*keys, "_i")
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("_v").alias("v"), "n"))).alias("_steps"))
     )
-    ladder = cells.groupBy(*keys, "_count", "level", "p").agg(
-        F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("below"),
-        F.array_sort(
-            F.collect_list(F.when(F.col("v").isNotNull(), F.struct("v", "n")))
-        ).alias("steps"),
-    )
+    cells = ", ".join(f"struct({i} AS _i, {p!r}D AS p, _below{i} AS below)" for i, p in enumerate(levels.values()))
+    ladder = steps.join(counted.select(*keys, "_count", F.expr(f"inline(array({cells}))")), [*keys, "_i"])
     rank = "((_count - 1) * p)"
 
     def at(position: str) -> str:
         """Value with the given zero-based rank in the group."""
         walk = (
-            "aggregate(steps, struct(below AS seen, CAST(NULL AS DOUBLE) AS hit), (a, s) ->"
+            "aggregate(_steps, struct(below AS seen, CAST(NULL AS DOUBLE) AS hit), (a, s) ->"
             " struct(a.seen + s.n AS seen,"
-            f" if(a.hit IS NULL AND {position} < a.seen + s.n, CAST(s.v AS DOUBLE), a.hit) AS hit))"
+            f" if(a.hit IS NULL AND {position} < a.seen + s.n, s.v, a.hit) AS hit))"
         )
         return f"{walk}.hit"
 
@@ -88,5 +153,5 @@ def exact_quantiles(
         {"_lo": F.expr(at(f"floor({rank})")), "_hi": F.expr(at(f"ceil({rank})"))}
     ).withColumn("_q", F.expr(f"_lo + (_hi - _lo) * ({rank} - floor({rank}))"))
     return picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("level") == name, F.col("_q"))).alias(name) for name in levels]
+        *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(name) for i, name in enumerate(levels)]
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.scalars import ratio
 from tideline.operators.layout import Series, lay_out
+from tideline.operators.lookup import lookup
 
 
 def create_sequences(
@@ -37,12 +38,12 @@ def _width():
 def min_max(df: DataFrame, limits: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     """Scale to [0, 1] by the limits of the train rows; one limit row per series."""
     scaled = ratio(F.col(value) - F.col("low"), _width())
-    return df.join(limits, list(keys)).withColumn(f"{value}_scaled", scaled).drop("low", "high")
+    return lookup(df, limits, keys).withColumn(f"{value}_scaled", scaled).drop("low", "high")
 
 
 def inverse_min_max(df: DataFrame, limits: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     restored = F.col(value) * _width() + F.col("low")
-    return df.join(limits, list(keys)).withColumn(f"{value}_restored", restored).drop("low", "high")
+    return lookup(df, limits, keys).withColumn(f"{value}_restored", restored).drop("low", "high")
 
 
 def test_sequences(

@@ -546,6 +546,9 @@ SELECT series_id, step, round(last_price + last_step * ({_path}), 2) AS forecast
 FROM k, (VALUES (1), (2), (3), (4), (5)) AS t(step)"""
 ORACLES["cut_autoregression"] = f"""WITH {_steps(ALL_DAYS)}
 SELECT series_id, n, round(phi, 6) AS phi FROM k"""
+ORACLES["autoregression_level"] = f"""WITH {PRIORITY}, q AS (SELECT series_id, price, lag(price) OVER {SERIES} AS before FROM d)
+SELECT series_id, regr_count(price, before) AS n, round(regr_slope(price, before), 6) AS phi,
+  round(regr_intercept(price, before), 2) AS intercept FROM q GROUP BY series_id"""
 
 
 def _sequence(length: int) -> str:

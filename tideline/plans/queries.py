@@ -573,6 +573,16 @@ def cut_autoregression(spark, sf):
     )
 
 
+@query
+def autoregression_level(spark, sf):
+    """One lag of the level itself, with an intercept."""
+    models = autoregression.fit(daily_by_priority(spark, sf), "price", (1, 0, 0))
+    return models.select(
+        "series_id", F.col("n").cast("long").alias("n"),
+        F.round(F.get("coefficients", F.lit(0)), 6).alias("phi"), F.round("intercept", 2).alias("intercept"),
+    )
+
+
 @query
 def autoregression_default_order(spark, sf):
     models = autoregression.fit(by_supplier(spark, sf), "price")

@@ -16,17 +16,20 @@ HOT = 1_000
 
 
 def lookup(
-    df: DataFrame, table: DataFrame, keys: Sequence[str], cell_bytes: int = 16, limit: int = BROADCAST_BYTES
+    df: DataFrame, table: DataFrame, keys: Sequence[str], cell_bytes: int = 16, limit: int = BROADCAST_BYTES,
+    rows: int | None = None,
 ) -> DataFrame:
     """Inner join on ``keys`` with a table that is unique on them.
 
-    The table is written once and its rows counted. Up to ``limit`` bytes (rows x columns x ``cell_bytes``) it
+    The table is written once and its rows counted, unless it is written already and ``rows`` says how many. Up to ``limit`` bytes (rows x columns x ``cell_bytes``) it
     is broadcast. A larger one is split: rows of hot series meet their row of the table by broadcast, the others
     by a shuffle in which no series holds more than a thousandth of the rows. Rows without a key are left out.
     """
     keys = list(keys)
-    table = materialize(table)
-    if table.count() * len(table.columns) * cell_bytes <= limit:
+    if rows is None:
+        table = materialize(table)
+        rows = table.count()
+    if rows * len(table.columns) * cell_bytes <= limit:
         return df.join(F.broadcast(table), keys)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_of"))
     counts = materialize(counts)

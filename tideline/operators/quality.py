@@ -34,16 +34,15 @@ def column_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     columns = list(columns or numeric_columns(df))
     pairs = ", ".join(f"struct('{c}' AS column, CAST(`{c}` AS DOUBLE) AS v)" for c in columns)
     cells = df.select(F.expr(f"inline(array({pairs}))"))
-    basic = cells.groupBy("column").agg(
+    basic = [
         F.count_if(F.col("v").isNull()).alias("nulls"),
         F.count("v").alias("count"),
         F.avg("v").alias("mean"),
         F.stddev_samp("v").alias("std"),
         F.min("v").alias("min"),
         F.max("v").alias("max"),
-    )
-    # One row per column of the table on both sides.
-    return basic.join(exact_quantiles(cells, ["column"], "v", QUARTILES), "column", "left")
+    ]
+    return exact_quantiles(cells, ["column"], "v", QUARTILES, also=basic)
 
 
 def time_gaps(df: DataFrame, max_days: int, series: Series = Series()) -> DataFrame:
@@ -74,9 +73,9 @@ def outliers(
     holds much of the data in one task.
     """
     keys = list(keys)
-    spread = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std"))
-    limits = exact_quantiles(df, keys, value, {"_q25": 0.25, "_q75": 0.75})
-    rows = lookup(df, limits.join(spread, keys), keys)
+    spread = [F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std")]
+    limits = exact_quantiles(df, keys, value, {"_q25": 0.25, "_q75": 0.75}, also=spread)
+    rows = lookup(df, limits, keys)
     width = F.col("_q75") - F.col("_q25")
     low, high = F.col("_q25") - width * reach, F.col("_q75") + width * reach
     return rows.withColumns(

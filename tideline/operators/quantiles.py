@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.operators.lookup import lookup
@@ -27,23 +27,32 @@ def exact_quantiles(
     levels: Mapping[str, float],
     accuracy: int = 100_000,
     most: int = 100_000,
+    also: Sequence[Column] = (),
 ) -> DataFrame:
-    """One row per group and one column per level, linearly interpolated."""
+    """One row per group and one column per level, linearly interpolated.
+
+    ``also`` names further aggregates, which are made in the sketch's pass. With them, groups without values have a row too.
+    """
     if not keys:
         whole = df.select(value).withColumn("_all", F.lit(0))
-        return exact_quantiles(whole, ["_all"], value, levels, accuracy, most).drop("_all")
+        return exact_quantiles(whole, ["_all"], value, levels, accuracy, most, also).drop("_all")
     keys = list(keys)
-    df = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    source = df.select(*keys, value).withColumn("_v", F.col(value).cast("double"))
+    df = source.select(*keys, "_v").filter("_v IS NOT NULL")
+    if not also:
+        source = df
     margin = 4.0 / accuracy
     points = []
     for p in levels.values():
         points += [max(0.0, p - margin), min(1.0, p + margin)]
-    sketch = df.groupBy(*keys).agg(
+    sketch = source.groupBy(*keys).agg(
         F.percentile_approx("_v", points, accuracy).alias("_points"),
         F.count("_v").alias("_count"),
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
+        *also,
     )
+    more = [c for c in sketch.columns[len(keys) :] if c not in ("_points", "_count", "_min", "_max")]
     ends = []
     for i, p in enumerate(levels.values()):
         # A small group is its own bracket; otherwise the margin covers the sketch's error.
@@ -51,53 +60,56 @@ def exact_quantiles(
             F.expr(f"if(_count <= {most} OR {p - margin <= 0}, _min, _points[{2 * i}])").alias(f"_low{i}"),
             F.expr(f"if(_count <= {most} OR {p + margin >= 1}, _max, _points[{2 * i + 1}])").alias(f"_high{i}"),
         ]
-    brackets = materialize(sketch.select(*keys, "_count", *ends))
-    while True:
-        # Every later step must see the same brackets, so each round of them is written.
-        rows = lookup(df, brackets, keys)
+    sketch = materialize(sketch.select("*", *ends))
+    brackets = sketch.drop("_points", "_min", "_max", *more)
+    # Every later step must see the same brackets, so each round of them is written.
+    groups, largest = brackets.agg(F.count(F.lit(1)), F.max("_count")).first()
+    below = [F.lit(0).cast("long").alias(f"_below{i}") for i in range(len(levels))]
+    counted = brackets.select("*", *below)
+    while groups and largest > most:
+        rows = lookup(df, brackets, keys, rows=groups)
         counted = materialize(brackets.join(_count(rows, keys, len(levels)), keys))
-        wide = F.lit(False)
-        for i in range(len(levels)):
-            wide = wide | (F.col(f"_inside{i}") > most)
-        if counted.filter(wide).isEmpty():
+        if counted.filter(_wide(len(levels), most)).isEmpty():
             break
-        brackets = materialize(_narrowed(df, counted, keys, list(levels.values()), most, accuracy))
-    return _read_off(df, counted, keys, levels)
+        brackets = materialize(_narrowed(df, counted, keys, list(levels.values()), most, accuracy, groups))
+    made = _read_off(df, counted, keys, levels, groups)
+    return sketch.select(*keys, *more).join(made, keys, "left") if also else made
+
+
+def _inside(i: int) -> str:
+    return f"_v > _low{i} AND _v < _high{i}"
 
 
 def _count(rows: DataFrame, keys: list[str], levels: int) -> DataFrame:
-    """Per group and level: rows below the bracket, at its lower end, strictly inside, and the outermost of these."""
+    """Per group and level: rows below the bracket, and strictly inside."""
     sums = []
     for i in range(levels):
-        inside = f"_v > _low{i} AND _v < _high{i}"
-        sums += [
-            F.count_if(F.expr(f"_v < _low{i}")).alias(f"_below{i}"),
-            F.count_if(F.expr(f"_v = _low{i}")).alias(f"_at{i}"),
-            F.count_if(F.expr(inside)).alias(f"_inside{i}"),
-            F.min(F.expr(f"if({inside}, _v, NULL)")).alias(f"_first{i}"),
-            F.max(F.expr(f"if({inside}, _v, NULL)")).alias(f"_last{i}"),
-        ]
+        sums += [F.count_if(F.expr(f"_v < _low{i}")).alias(f"_below{i}"), F.count_if(F.expr(_inside(i))).alias(f"_inside{i}")]
     return rows.groupBy(*keys).agg(*sums)
 
 
+def _wide(levels: int, most: int) -> Column:
+    """Some bracket of the group holds too many rows."""
+    return F.expr(" OR ".join(f"_inside{i} > {most}" for i in range(levels)))
+
+
 def _narrowed(
-    df: DataFrame, counted: DataFrame, keys: list[str], levels: Sequence[float], most: int, accuracy: int
+    df: DataFrame, counted: DataFrame, keys: list[str], levels: Sequence[float], most: int, accuracy: int, groups: int
 ) -> DataFrame:
     """New brackets, with strictly fewer rows inside wherever there are more than ``most``."""
     which = range(len(levels))
-    wide = [F.col(f"_inside{i}") > most for i in which]
-    any_wide = wide[0]
-    for w in wide[1:]:
-        any_wide = any_wide | w
-    bounds = [c for i in which for c in (f"_low{i}", f"_high{i}")]
-    rows = lookup(df, counted.filter(any_wide).select(*keys, *bounds, *[f"_inside{i}" for i in which]), keys)
+    bounds = [c for i in which for c in (f"_low{i}", f"_high{i}", f"_inside{i}")]
+    rows = lookup(df, counted.filter(_wide(len(levels), most)).select(*keys, *bounds), keys, rows=groups)
     grid = [k / GRID for k in range(GRID + 1)]
-    sketches = [
-        F.percentile_approx(
-            F.expr(f"if(_inside{i} > {most} AND _v > _low{i} AND _v < _high{i}, _v, NULL)"), grid, accuracy
-        ).alias(f"_grid{i}")
-        for i in which
-    ]
+    sketches = []
+    for i in which:
+        held = F.expr(f"if(_inside{i} > {most} AND {_inside(i)}, _v, NULL)")
+        sketches += [
+            F.percentile_approx(held, grid, accuracy).alias(f"_grid{i}"),
+            F.min(held).alias(f"_first{i}"),
+            F.max(held).alias(f"_last{i}"),
+            F.count_if(F.expr(f"_v = _low{i}")).alias(f"_at{i}"),
+        ]
     made = counted.join(rows.groupBy(*keys).agg(*sketches), keys, "left")
     ends = []
     for i, p in enumerate(levels):
@@ -122,14 +134,17 @@ def _narrowed(
     return made.select(*keys, "_count", *ends)
 
 
-def _read_off(df: DataFrame, counted: DataFrame, keys: list[str], levels: Mapping[str, float]) -> DataFrame:
+def _read_off(df: DataFrame, counted: DataFrame, keys: list[str], levels: Mapping[str, float], groups: int) -> DataFrame:
     """Gather the values within each bracket and take the ones of the wanted ranks."""
     which = range(len(levels))
     bounds = [c for i in which for c in (f"_low{i}", f"_high{i}")]
-    hit = ", ".join(f"if(_v BETWEEN _low{i} AND _high{i}, {i}, NULL)" for i in which)
+    within = [f"_v BETWEEN _low{i} AND _high{i}" for i in which]
+    hit = ", ".join(f"if({w}, {i}, NULL)" for i, w in enumerate(within))
     steps = (
-        lookup(df, counted.select(*keys, *bounds), keys)
-        .select(*keys, "_v", F.explode(F.expr(f"array_compact(array({hit}))")).alias("_i"))
+        lookup(df, counted.select(*keys, *bounds), keys, rows=groups)
+        .filter(" OR ".join(within))
+        .select(*keys, "_v", F.explode(F.expr(f"array({hit})")).alias("_i"))
+        .filter("_i IS NOT NULL")
         # Map-side combine shrinks each task's rows to the bracket's distinct values.
         .groupBy(*keys, "_i", "_v")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -237,6 +237,22 @@ def test_language_model(odd, odd_rows, nothing):
     assert lm.scores(nothing).count() == 0
 
 
+def test_vocabulary_grows(spark, monkeypatch):
+    assert lm.vocabulary(0) >= 1024 and lm.vocabulary(10**8) > lm.vocabulary(10**7) > 1024
+    monkeypatch.setattr(lm, "FREQUENT", 40)
+    random = np.random.default_rng(5)
+    rows = [(i, [f"w{min(int(x), 3000)}" for x in random.zipf(1.3, 200)]) for i in range(150)]
+    counts = Counter(w for _, t in rows for w in t)
+    blocks = spark.createDataFrame([(i % 4, " ".join(t), False) for i, t in rows], "src long, text string, held_out boolean")
+    sums = lm.Sums(lm.count(blocks, 3, 100), len(rows))
+    assert sums.tokens == 30_150 and lm.vocabulary(sums.tokens) == 86
+    top = sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))
+    assert top[85][1] == top[86][1]  # a tie at the border
+    assert set(sums.symbol) == {b"", *(w.encode() for w, _ in top[:86])}
+    assert sums.tokens - len(rows) - sum(sums.other) == sum(n for _, n in top[:86])
+    assert 5 <= sums.layout.first <= 10
+
+
 def test_recurrent_gradient_and_windows():
     counts = np.array([40, 30, 20, 10, 5, 5, 2], np.int64)
     layout = recurrent.Layout(counts, 3, np.array([9, 4]))

@@ -2,8 +2,10 @@
 
 Tokens are words in lower case (A to Z only) and one end per text. Every block of documents counts its different words and
 sends them, packed, to the buckets that own them; buckets add the counts and answer each block with the counts of its
-words, so no table of all words is gathered anywhere. The most frequent ``FREQUENT`` words, found from the tops of all
-buckets, and the sums of the others by kind go to the driver; their size is fixed.
+words, so no table of all words is gathered anywhere. The vocabulary of frequent words grows with the square root of the
+training tokens (``vocabulary``); its words, found from the tops of all buckets by a count threshold, and the sums of the
+others by kind go to the driver. The output has about the square root of the vocabulary in classes, so a token costs the
+fourth root of the training tokens.
 
 The recurrent model learns in ``ROUNDS`` rounds. Each training text is read once: a round takes its share of the blocks, every
 block learns by itself from the same weights, and the weights are averaged by tokens. Scoring carries the state through each text to its end. A word
@@ -16,6 +18,7 @@ Without training texts all counts are zero and the model stays at its start.
 
 from __future__ import annotations
 
+import math
 import zlib
 import numpy as np
 import pyarrow as pa
@@ -27,8 +30,8 @@ from tideline.llm.common import Codes, crc_of_id, store, text_size, texts_of, to
 from tideline.llm.hashing import word_hashes
 from tideline.llm.recurrent import WINDOW, Layout, Trainer, score
 
-FREQUENT = 512
-CLASSES = 24
+#: Frequent words at the least.
+FREQUENT = 1024
 KINDS = 18
 ROUNDS = 4
 BLOCK = 12 << 20
@@ -39,6 +42,11 @@ OUT = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_sc
 CHUNK = 4096
 
 
+def vocabulary(tokens: int) -> int:
+    """Frequent words for that many training tokens."""
+    return max(FREQUENT, math.isqrt(tokens) // 2)
+
+
 def held_out() -> Column:
     return crc_of_id("key") % 7 == 2
 
@@ -68,8 +76,6 @@ class Sums:
     """Totals of the training tokens."""
 
     def __init__(self, answers: DataFrame, texts: int):
-        tops = answers.where("src = -1").select(F.explode("top").alias("top")).orderBy(F.desc("top.n"), "top.word").limit(FREQUENT)
-        top = [(bytes(r.top.word), r.top.n) for r in tops.collect()]
         rows = answers.where("src = -1").select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v")).collect()
         flat = np.zeros(2 * KINDS, np.int64)
         for i, v in rows:
@@ -77,6 +83,7 @@ class Sums:
         tokens, words = flat.reshape(2, KINDS)
         self.texts = texts
         self.tokens, self.words = int(tokens.sum()) + texts, int(words.sum()) + (texts > 0)
+        top = _most_frequent(answers, vocabulary(self.tokens))
         kind = kinds_of([w for w, _ in top])
         n = np.array([c for _, c in top], np.int64)
         # of the words that are not frequent
@@ -84,7 +91,23 @@ class Sums:
         self.other_words = words - np.bincount(kind, minlength=KINDS)
         listed = sorted([*top, (b"", texts)], key=lambda x: (-x[1], x[0]))  # the end is an empty word
         self.symbol = {w: i for i, (w, _) in enumerate(listed)}
-        self.layout = Layout(np.array([c for _, c in listed], np.int64), CLASSES, self.other)
+        self.layout = Layout(np.array([c for _, c in listed], np.int64), round(math.sqrt(len(listed))), self.other)
+
+
+def _most_frequent(answers: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The ``most`` most frequent words; of words with the count at the border the first ones."""
+    tops = answers.where("src = -1").select(F.explode("top").alias("top")).select("top.word", "top.n")
+    least, left = 0, most
+    # different counts are few: they add up to the tokens
+    for n, words in sorted(tops.groupBy("n").count().collect(), reverse=True):
+        if words > left:
+            least = n
+            break
+        left -= words
+    found = tops.where(F.col("n") > least).collect()
+    if least and left:
+        found += tops.where(F.col("n") == least).orderBy("word").limit(left).collect()
+    return [(bytes(r.word), r.n) for r in found]
 
 
 def _numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -107,8 +130,8 @@ def _symbol_of(words: list[bytes], symbol: dict[bytes, int]) -> np.ndarray:
     return of
 
 
-def count(blocks: DataFrame, buckets: int) -> DataFrame:
-    """Rows for each block and bucket (counts of the block's words, in its order) and one per bucket (``src`` -1: sums and top words)."""
+def count(blocks: DataFrame, buckets: int, most: int) -> DataFrame:
+    """Rows for each block and bucket (counts of the block's words, in its order) and one per bucket (``src`` -1: sums and its ``most`` top words)."""
 
     def send(block: pa.Table) -> pa.Table:
         flat, sizes, words = _numbered(texts_of(block["text"].combine_chunks()))
@@ -136,8 +159,8 @@ def count(blocks: DataFrame, buckets: int) -> DataFrame:
         sums = np.r_[np.bincount(kind, n, KINDS), np.bincount(kind[n > 0], minlength=KINDS)].astype(np.int64)
         order = np.lexsort((np.arange(len(n)), -n))
         # ties by the word itself, as the driver breaks them
-        least = n[order[min(FREQUENT, len(n)) - 1]]
-        top = sorted(((names[i], int(n[i])) for i in np.flatnonzero(n >= max(1, least))), key=lambda x: (-x[1], x[0]))[:FREQUENT]
+        least = n[order[min(most, len(n)) - 1]]
+        top = sorted(((names[i], int(n[i])) for i in np.flatnonzero(n >= max(1, least))), key=lambda x: (-x[1], x[0]))[:most]
         bucket = lists["bucket"][0].as_py()
         answers = [_pack(np.fromiter(map(total.__getitem__, p), np.int64, len(p)).tobytes()) for p in parts]
         kinds = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
@@ -173,7 +196,7 @@ def _learner(model: dict[str, np.ndarray], layout: Layout, symbol: dict[bytes, i
             learner = Trainer(model, layout)
             # enough lanes for speed, and enough steps to learn from a small block
             learner.learn(_symbol_of(words, symbol)[number], sizes, int(np.clip(len(number) // (WINDOW * 200), 4, 512)))
-            new = np.concatenate([v.ravel() for v in learner.m.values()]).astype(np.float64) * len(number)
+            new = np.concatenate([v.ravel() for v in learner.m.values()]).astype(np.float32)
             for i in range(0, len(new), CHUNK):
                 rows["chunk"].append(i // CHUNK)
                 rows["part"].append(block["src"][0].as_py() % 64)
@@ -186,10 +209,11 @@ def _learner(model: dict[str, np.ndarray], layout: Layout, symbol: dict[bytes, i
 
 
 def _merged(rows: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(w, np.float64) for w in rows["weights"].to_pylist())
+    tokens = rows["tokens"].to_pylist()
+    total = sum(np.frombuffer(w, np.float32) * np.float64(n) for w, n in zip(rows["weights"].to_pylist(), tokens, strict=True))
     return pa.table({
         "chunk": rows["chunk"].slice(0, 1), "part": rows["part"].slice(0, 1),
-        "tokens": pa.array([sum(rows["tokens"].to_pylist())], pa.int64()), "weights": pa.array([total.tobytes()], pa.binary()),
+        "tokens": pa.array([sum(tokens)], pa.int64()), "weights": pa.array([(total / sum(tokens)).astype(np.float32).tobytes()], pa.binary()),
     })
 
 
@@ -208,7 +232,7 @@ def train(blocks: DataFrame, sums: Sums, rounds: int = ROUNDS) -> dict[str, np.n
             continue
         for r in done:
             at = r.chunk * CHUNK
-            mean = np.frombuffer(r.weights, np.float64) / r.tokens
+            mean = np.frombuffer(r.weights, np.float32)
             flat[at : at + len(mean)] = mean
         cuts = np.cumsum([v.size for v in model.values()])[:-1]
         model = {k: p.reshape(v.shape).astype(np.float32) for (k, v), p in zip(model.items(), np.split(flat, cuts), strict=True)}
@@ -217,11 +241,11 @@ def train(blocks: DataFrame, sums: Sums, rounds: int = ROUNDS) -> dict[str, np.n
 
 def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row the key, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` (both log10)."""
-    _, size = text_size(docs, f"`{text}`")
+    rows, size = text_size(docs, f"`{text}`")
     named = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     blocks = to_blocks(named.withColumn("held_out", held_out()), "texts", size, BLOCK)
     buckets = max(8, -(-size // BUCKET))
-    answers = count(blocks, buckets)
+    answers = count(blocks, buckets, vocabulary(size // 2 + 2 * rows))  # no text has more words than half its bytes, rounded up
     sums = Sums(answers, blocks.where("NOT held_out").count())
     model = train(blocks, sums)
     layout, symbol = sums.layout, sums.symbol

@@ -191,6 +191,23 @@ def test_lines(spark, nothing):
     assert lines.drop_recurring_lines(nothing).count() == 0
 
 
+def test_templates_of_one_leaf(spark):
+    """Several templates under the same leading tokens, names that are frequent by themselves, and lines that only start alike."""
+    word = lambda i: "abcdefghijklmnop"[i % 16] * (i // 16 + 2)
+    first = [f"Read more about our great {word(i)} today and every single day" for i in range(12)]
+    second = [f"Read more about our small {word(i)} offers before they all go" for i in range(12)]
+    other = [f"Read more about our {' '.join(word(7 * i + k) for k in range(7))}" for i in range(6)]
+    names = [f"Dear all of you {n} will {what} see" for n in ("ann", "bob", "cid") for what in ("go and then", "stay if we") for _ in range(6)]
+    short = [f"It was one of {word(i)}" for i in range(12)]
+    own = "\n".join(f"This text alone has {word(i)} in its many lines here" for i in range(12))
+    lost, kept = [*first, *second, *names], [*other, *short, own]
+    docs = spark.createDataFrame([(i, f"{word(i)} alone\n{t}") for i, t in enumerate([*lost, *kept])], "doc_id long, text string")
+    got = {r.doc_id: r.n_dropped for r in lines.drop_recurring_lines(docs).collect()}
+    # one line of each may stay
+    assert sum(got[i] for i in range(len(lost))) >= len(lost) - 8
+    assert all(not got[i] for i in range(len(lost), len(lost) + len(kept)))
+
+
 def test_clashing_columns(odd):
     for made in (lines.drop_recurring_lines(odd).drop("n_lines", "n_dropped"), neardup.near_duplicates(odd).select("doc.*"), sharding.shard(odd, 3).select("doc.*")):
         assert made.columns == odd.columns and made.count() == odd.count()

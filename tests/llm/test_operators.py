@@ -208,6 +208,24 @@ def test_templates_of_one_leaf(spark):
     assert all(not got[i] for i in range(len(lost), len(lost) + len(kept)))
 
 
+def test_near_copies_leave_one_text(spark):
+    """Lines that recur because a document has near copies stay in one of them."""
+    base = [[f"{a}{b}{c}" for c in "stuvwxyz"] for a in "abc" for b in "klm"]
+    texts = []
+    for i in range(14):
+        made = [list(t) for t in base]
+        made[i % 9][i % 8] = "changed" + "abcdefghijklmn"[i]
+        texts.append("\n".join(" ".join(t) for t in made))
+    rows = [(None, texts[0] + "\nlast")] + [(20 - i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = lines.drop_recurring_lines(docs)
+    got = {r.doc_id: r for r in made.collect()}
+    assert got[7].text == texts[13] and got[7].n_dropped == 0
+    assert all(r.n_dropped >= 7 for i, r in got.items() if i != 7)
+    kept = [r.doc.text for r in neardup.near_duplicates(made.select("doc_id", "text")).where("kept").collect()]
+    assert texts[13] in kept
+
+
 def test_clashing_columns(odd):
     for made in (lines.drop_recurring_lines(odd).drop("n_lines", "n_dropped"), neardup.near_duplicates(odd).select("doc.*"), sharding.shard(odd, 3).select("doc.*")):
         assert made.columns == odd.columns and made.count() == odd.count()

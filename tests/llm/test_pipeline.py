@@ -1,6 +1,7 @@
 """The pipeline on the smallest given tables: each stage against its own input."""
 
 import re
+from collections import Counter
 from pathlib import Path
 
 import public_tokenizers
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from tideline.llm import decontaminate
 from tideline.llm.common import store, table
 
 SMALL = "/root/testdata/sf0.001"
@@ -66,6 +68,18 @@ def test_benchmark_texts_are_gone(spark, steps):
     assert {r.doc_id for r in steps[3].collect()} - {r.doc_id for r in steps[4].collect()} == held
 
 
+def test_rows_are_decontaminated_not_ids(spark, tmp_path, monkeypatch):
+    items = [(k, " ".join(f"i{k}_{j}" for j in range(12))) for k in range(4)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, "a " + items[0][1]), (None, "clean one"), (None, None), (7, items[3][1] + " b"), (7, "clean two"), (7, "clean two"), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    for most in (decontaminate.BROADCAST, 20):  # one group of items, several
+        monkeypatch.setattr(decontaminate, "BROADCAST", most)
+        made = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+        assert made.columns == docs.columns
+        assert Counter(tuple(r) for r in made.collect()) == Counter((i, t, "en") for i, t in rows if "i0" not in (t or "") and "i3" not in (t or ""))
+
+
 def test_tokens(steps):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     texts = {r.doc_id: r.text for r in steps[4].collect()}

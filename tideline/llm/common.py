@@ -123,7 +123,7 @@ def lengths(column: pa.Array) -> list[int]:
     return pc.fill_null(pc.binary_length(column), 0).to_pylist()
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str | int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows in batches of at most about ``limit`` bytes of text."""
     for batch in batches:
         start, filled = 0, 0

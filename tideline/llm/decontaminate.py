@@ -11,7 +11,8 @@ Items with fewer than ``seed`` tokens need all their tokens in a row. Items with
 empty documents match nothing. Equal pairs of ids, from repeated rows, are listed once with the largest coverage.
 
 Seeds go to the executors with the items, at most ``BROADCAST`` tokens at a time: a larger benchmark is cut into as many groups
-of items as that takes, and each group passes over all documents.
+of items as that takes, and each group passes over all documents. ``clean`` judges rows, not ids: it keeps whole rows that hold no
+item, whatever other rows have the same id or none.
 """
 
 from __future__ import annotations
@@ -109,23 +110,44 @@ def _finder(items: list[tuple[object, bytes]], seed: int):
     return find
 
 
+def _named(items: DataFrame, item: str, item_text: str) -> DataFrame:
+    return items.select(F.col(f"`{item}`").alias("item_id"), F.col(f"`{item_text}`").alias("body")).where("body IS NOT NULL")
+
+
+def _item_groups(docs: DataFrame, named: DataFrame) -> Iterator[list[tuple[object, bytes]]]:
+    """The items in groups of about ``BROADCAST`` tokens; ships the package too."""
+    ship_package(docs.sparkSession)
+    size = named.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
+    groups = max(1, math.ceil(size / 2 / BROADCAST))
+    for group in range(groups):
+        part = named.where(F.pmod(F.xxhash64("item_id", "body"), F.lit(groups)) == group).collect()
+        yield [(r[0], cleaned(r[1].encode())) for r in part]
+
+
+def clean(
+    docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
+    seed: int = SEED, threshold: float = THRESHOLD,
+) -> DataFrame:
+    """The rows of ``docs``, with all columns, that no item contaminates. Each group of items sees what the ones before left."""
+    place, out = docs.columns.index(text), docs
+    for part in _item_groups(docs, _named(items, item, item_text)):
+        out = out.mapInArrow(_cleaner(part, place, seed, threshold), docs.schema)
+    return out
+
+
 def contaminated(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
     item_text: str = "text", seed: int = SEED, threshold: float = THRESHOLD,
 ) -> DataFrame:
     """``doc_id``, ``item_id``, ``matched``, ``tokens`` and ``coverage`` of the contaminated pairs."""
-    ship_package(docs.sparkSession)
     source = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("body"))
-    named = items.select(F.col(f"`{item}`").alias("item_id"), F.col(f"`{item_text}`").alias("body")).where("body IS NOT NULL")
-    size = named.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
-    groups = max(1, math.ceil(size / 2 / BROADCAST))
+    named = _named(items, item, item_text)
     kinds = [source.schema["doc_id"].dataType.simpleString(), named.schema["item_id"].dataType.simpleString()]
     shape = "doc_id {}, item_id {}, matched long, tokens long".format(*kinds)
     arrow = to_arrow_type(named.schema["item_id"].dataType)
     out = None
-    for group in range(groups):
-        part = named.where(F.pmod(F.xxhash64("item_id", "body"), F.lit(groups)) == group).collect()
-        found = source.mapInArrow(_tiler([(r[0], cleaned(r[1].encode())) for r in part], seed, arrow), shape)
+    for part in _item_groups(docs, named):
+        found = source.mapInArrow(_tiler(part, seed, arrow), shape)
         out = found if out is None else out.union(found)
     coverage = F.col("matched") / F.col("tokens")
     best = (
@@ -153,3 +175,19 @@ def _tiler(items: list[tuple[object, bytes]], seed: int, kind: pa.DataType):
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "matched", "tokens"])
 
     return run
+
+
+def _cleaner(items: list[tuple[object, bytes]], place: int, seed: int, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _finder(items, seed)
+        tokens = [t.split() for _, t in items]
+        for batch in pieces(batches, place):
+            texts = [cleaned(t) for t in texts_of(batch.column(place))]
+            kept = np.ones(len(texts), bool)
+            for i, number in find(texts):
+                if kept[i]:
+                    matched = sum(n for _, _, n in tile(texts[i].split(), tokens[number], seed))
+                    kept[i] = matched / len(tokens[number]) < threshold
+            yield batch.filter(pa.array(kept))
+
+    return run

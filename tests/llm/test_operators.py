@@ -123,6 +123,15 @@ def test_groups_of_items(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in got} == {(10 + k, k) for k in range(6)}
 
 
+def test_groups_of_items_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST", 30)
+    items = [(k, " ".join(f"i{k}_{j}" for j in range(12))) for k in range(6)] + [(9, "again and again the same words")] * 40 + [(10, "x " * 50)]
+    named = spark.createDataFrame(items, "item_id long, body string")
+    groups = list(decontaminate._item_groups(named, named))
+    assert sorted(i for g in groups for i, _ in g) == [0, 1, 2, 3, 4, 5, 9, 10]
+    assert all(len(g) == 1 or sum(len(t.split()) for _, t in g) <= 30 for g in groups)
+
+
 def test_substrings(odd, odd_rows, nothing):
     got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeated(odd.select("doc_id", "text")).collect())
     seen = Counter(tuple(w[i : i + 35]) for _, t, *_ in odd_rows for w in [words(t)] for i in range(len(w) - 34))

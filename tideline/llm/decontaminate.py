@@ -17,7 +17,6 @@ item, whatever other rows have the same id or none.
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -115,13 +114,19 @@ def _named(items: DataFrame, item: str, item_text: str) -> DataFrame:
 
 
 def _item_groups(docs: DataFrame, named: DataFrame) -> Iterator[list[tuple[object, bytes]]]:
-    """The items in groups of about ``BROADCAST`` tokens; ships the package too."""
+    """The different items in groups of at most ``BROADCAST`` tokens, or one larger item; ships the package too."""
     ship_package(docs.sparkSession)
-    size = named.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
-    groups = max(1, math.ceil(size / 2 / BROADCAST))
-    for group in range(groups):
-        part = named.where(F.pmod(F.xxhash64("item_id", "body"), F.lit(groups)) == group).collect()
-        yield [(r[0], cleaned(r[1].encode())) for r in part]
+    part: list[tuple[object, bytes]] = []
+    filled = 0
+    for r in named.distinct().toLocalIterator():
+        text = cleaned(r[1].encode())
+        n = len(text.split())
+        if part and filled + n > BROADCAST:
+            yield part
+            part, filled = [], 0
+        part.append((r[0], text))
+        filled += n
+    yield part
 
 
 def clean(

@@ -1,9 +1,10 @@
-"""Near duplicates: an n-gram Jaccard join with a MinHash LSH forest and exact verification.
+"""Near duplicates: an n-gram Jaccard join with MinHash banding at a fixed depth and exact verification.
 
 A text is the set of its runs of five words (a shorter text is one run). Texts with equal sets form a class first, so
-copies are never compared. Each class has a signature: one label sequence of ``labels`` minimum hashes per tree. Sorted
-by them, classes with a common prefix form the nodes of a trie. Matching starts at whole sequences; prefixes are shortened until
-a pair of the wanted similarity meets in some tree with at least the target probability; ``depth_for`` gives the length.
+copies are never compared. Each class has a signature: one label sequence of ``labels`` minimum hashes per tree (a band).
+Classes with a common prefix of a tree form a node, found by the prefix's hash. All prefixes have one length, which
+``depth_for`` sets before any data is seen: the longest at which a pair of the wanted similarity meets in some tree with at
+least the target probability. An LSH forest, which would sort the signatures and shorten prefixes by the data, is not built.
 
 The pairs of a node are looked at inside one task and never written out. A pair belongs to the first tree in which it
 meets. A first pass over the labels finds the members that own pairs; only their texts are sent on, to be compared

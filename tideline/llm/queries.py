@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, decontaminate, exactdup, lines, lm, neardup, quality, sharding, substrings, warc
+from tideline.llm import bpe, decontaminate, exactdup, lines, lm, neardup, quality, search, sharding, substrings, warc
 from tideline.llm.common import table
 
 #: The least score of a document that is kept.
@@ -73,11 +73,39 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exactdup.exact_duplicates(table(spark, folder, "documents"))
 
 
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 20)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sharding, op2_ngram_jaccard_join, op3_quality_classifier, op4_decontamination, op5_substring_dedup, op6_warc,
-        op7_line_dedup, op8_bpe, op9_recurrent_scores, op10_exact_dedup,
+        op7_line_dedup, op8_bpe, op9_recurrent_scores, op10_exact_dedup, op13_ranked_search,
     )
 }
-ORACLES: dict[str, str] = {}
+TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLES: dict[str, str] = {
+    "op13_ranked_search": f"""
+        WITH asked AS (SELECT item_id, unnest({TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+        queries AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY ALL),
+        words AS (SELECT doc_id, unnest({TERMS}) AS term FROM documents),
+        lens AS (SELECT doc_id, count(*) AS n FROM words GROUP BY ALL),
+        totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM lens),
+        found AS (SELECT doc_id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM queries) GROUP BY ALL),
+        weights AS (
+            SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+            FROM (SELECT term, count(*) AS df FROM found GROUP BY ALL), totals
+        ),
+        impacts AS (
+            SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // length))) AS impact
+            FROM found JOIN lens USING (doc_id) JOIN weights USING (term), totals
+        ),
+        scores AS (
+            SELECT item_id, doc_id, CAST(sum(times * impact) AS BIGINT) AS score
+            FROM queries JOIN impacts USING (term) GROUP BY ALL HAVING sum(times * impact) > 0
+        ),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+    """,
+}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, decontaminate, exactdup, lines, lm, neardup, quality, search, sharding, substrings, warc
+from tideline.llm import bpe, decontaminate, exactdup, lines, lm, neardup, quality, search, sharding, spelling, substrings, warc
 from tideline.llm.common import table
 
 #: The least score of a document that is kept.
@@ -73,6 +73,10 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exactdup.exact_duplicates(table(spark, folder, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
 def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 20)
 
@@ -81,11 +85,65 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_sharding, op2_ngram_jaccard_join, op3_quality_classifier, op4_decontamination, op5_substring_dedup, op6_warc,
-        op7_line_dedup, op8_bpe, op9_recurrent_scores, op10_exact_dedup, op13_ranked_search,
+        op7_line_dedup, op8_bpe, op9_recurrent_scores, op10_exact_dedup, op11_spelling_variants, op13_ranked_search,
     )
 }
 TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+#: CRC-32 of half a byte, by the rule of its polynomial.
+NIBBLES = [0] * 16
+for _i in range(16):
+    _c = _i
+    for _ in range(4):
+        _c = _c >> 1 ^ 0xEDB88320 * (_c & 1)
+    NIBBLES[_i] = _c
+RUNS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]{6,}')"
 ORACLES: dict[str, str] = {
+    # levenshtein counts bytes there, so letters beyond ASCII first become other single bytes
+    "op11_spelling_variants": f"""
+        WITH RECURSIVE found AS (SELECT doc_id, unnest({RUNS}) AS run FROM documents),
+        counted AS (SELECT doc_id, run, count(*) AS n FROM found GROUP BY ALL),
+        coded AS (
+            SELECT run, n, flatten(list_transform(
+                string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+                lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [192 | (ord(c) >> 6), 128 | (ord(c) & 63)] END
+            )) AS bytes FROM counted
+        ),
+        hashed AS (
+            SELECT run, n, xor(4294967295, list_reduce(
+                list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(bytes, lambda b: [CAST(b & 15 AS BIGINT), CAST(b >> 4 AS BIGINT)]))),
+                lambda c, b: xor(c >> 4, CAST({NIBBLES} AS BIGINT[])[(xor(c, b) & 15) + 1])
+            )) AS h FROM coded
+        ),
+        edited AS (
+            SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+        ),
+        words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM edited WHERE length(word) >= 6 GROUP BY ALL HAVING sum(n) >= 5),
+        single AS (
+            SELECT word, n, array_to_string(list_transform(
+                string_split(word, ''), lambda c: CASE WHEN ord(c) < 128 THEN c ELSE chr(greatest(1, ord(c) - 159)) END
+            ), '') AS code
+            FROM words
+        ),
+        near AS (
+            SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM single a JOIN single b
+            ON abs(length(a.word) - length(b.word)) <= 1 AND a.word <> b.word AND levenshtein(a.code, b.code) = 1
+        ),
+        tops AS (
+            SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS top, max(other_n) AS top_n FROM near GROUP BY ALL
+        ),
+        judged AS (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 5 * w.n THEN top END AS form,
+                CASE WHEN top_n >= 5 * w.n THEN top_n END AS form_n
+            FROM words w LEFT JOIN tops USING (word)
+        ),
+        chain AS (
+            SELECT word, word AS root, 0 AS depth FROM judged
+            UNION ALL
+            SELECT c.word, j.form, depth + 1 FROM chain c JOIN judged j ON j.word = c.root WHERE j.form IS NOT NULL
+        ),
+        lasts AS (SELECT word, arg_max(root, depth) AS root FROM chain GROUP BY ALL)
+        SELECT word, form, root, n, n_near, form_n FROM judged JOIN lasts USING (word)
+    """,
     "op13_ranked_search": f"""
         WITH asked AS (SELECT item_id, unnest({TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)),
         queries AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY ALL),

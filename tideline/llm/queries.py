@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, decontaminate, exactdup, lines, lm, neardup, quality, search, sharding, spelling, substrings, warc
+from tideline.llm import bpe, decontaminate, exactdup, lines, lm, neardup, quality, search, sharding, spelling, substrings, versions, warc
 from tideline.llm.common import table
 
 #: The least score of a document that is kept.
@@ -77,6 +77,10 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents"))
 
 
+def op12_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return versions.edited_versions(table(spark, folder, "documents"))
+
+
 def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 20)
 
@@ -85,7 +89,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_sharding, op2_ngram_jaccard_join, op3_quality_classifier, op4_decontamination, op5_substring_dedup, op6_warc,
-        op7_line_dedup, op8_bpe, op9_recurrent_scores, op10_exact_dedup, op11_spelling_variants, op13_ranked_search,
+        op7_line_dedup, op8_bpe, op9_recurrent_scores, op10_exact_dedup, op11_spelling_variants, op12_document_fingerprints,
+        op13_ranked_search,
     )
 }
 TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"

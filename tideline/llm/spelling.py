@@ -19,6 +19,7 @@ are read, so their names don't matter. A table without rows gives an empty resul
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -36,9 +37,11 @@ from tideline.shipping import ship_package
 #: Letters of a run: A-Z, a-z and U+00C0 to U+00FF.
 LETTERS = "A-Za-zÀ-ÿ"
 #: Symbols tried, and words per reduced word that are accepted on average, besides the word itself.
-ALPHABETS, CROWD = (4, 8, 16, 32, 128), 2.0
-#: Distinct words counted before they leave a task, and neighbours computed at once, about.
-COUNTED, AT_ONCE = 200_000, 1 << 20
+ALPHABETS, CROWD = (4, 8, 16, 32, 128), 8.0
+#: Distinct words counted before they leave a task, and bytes of words whose neighbours are computed at once, about.
+COUNTED, AT_ONCE = 100_000, 1 << 16
+#: Neighbours that a word sends per symbol, and that a task sends, about.
+NEIGHBOURS, SENT = 10, 8_000_000
 #: Text that is cut into runs at once, about.
 PIECE = 1 << 20
 #: Base of the hashes and its inverse modulo 2^64.
@@ -154,36 +157,65 @@ def neighbour_hashes(words: pa.Array, symbols: int) -> Iterator[tuple[np.ndarray
         yield mixed(np.concatenate([replaced[other], inserted[other], appended])), np.concatenate([owner[other], owner[other], every])
 
 
-def near_words(vocabulary: DataFrame, symbols: int) -> DataFrame:
-    """Ordered pairs of near words of a stored vocabulary (id, word, n): ``id`` and the other's ``near``, ``near_n``."""
+def letters_of(words: pa.Array) -> np.ndarray:
+    """64 bits per word that say which letters occur, some letters sharing a bit. One edit changes at most two bits."""
+    flat, lens = flat_symbols(words, 64)
+    bits = np.uint64(1) << (flat % np.uint64(64))
+    return np.bitwise_or.reduceat(bits, np.cumsum(lens) - lens)
+
+
+def crowd(vocabulary: DataFrame, symbols: int) -> tuple[int, float]:
+    """Words, and the other words that one meets in its own reduced word, on average."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "word"):
-            keys = reduced_hashes(batch.column("word"), symbols).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *batch.columns], names=["key", "other", "near", "near_n"])
+            yield pa.RecordBatch.from_arrays([pa.array(reduced_hashes(batch.column("word"), symbols).view(np.int64))], names=["key"])
 
-    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "word", max(1, AT_ONCE // (2 * min(symbols, 90)))):
-            for keys, who in neighbour_hashes(batch.column("word"), symbols):
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column("id").take(pa.array(who))], names=["key", "id"])
+    met = vocabulary.select("word").mapInArrow(own, "key long").groupBy("key").count()
+    words, pairs = met.agg(F.sum("count"), F.sum(F.col("count").cast("double") * F.col("count"))).first()
+    return (words, pairs / words - 1) if words else (0, 0.0)
 
-    reduced = vocabulary.select("id", "word", "n").mapInArrow(own, "key long, other long, near string, near_n long")
-    asked = vocabulary.select("id", "word").mapInArrow(around, "key long, id long")
-    met = asked.join(reduced, "key").where("id <> other").drop("key")
-    pairs = met.join(vocabulary.select("id", "word"), "id")
-    return pairs.where(F.levenshtein("word", "near", 1) == 1).select("id", "near", "near_n").distinct()
 
+def near_words(vocabulary: DataFrame) -> DataFrame:
+    """Ordered pairs of near words of a stored vocabulary (id, word, n): ``id`` and the other's ``near``, ``near_n``.
 
-def crowd(vocabulary: DataFrame, symbols: int) -> float:
-    """Other words that a word meets in its own reduced word, on average."""
+    A word sends only neighbours that come after its own reduced word, or equal it: of two reduced words the first finds the second.
+    Pairs that differ in more than two bits of their letters are dropped where they meet, the others verified on the words.
+    """
+    for symbols in ALPHABETS:
+        words, met = crowd(vocabulary, symbols)
+        if met <= CROWD:
+            break
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "word"):
-            yield pa.RecordBatch.from_arrays([pa.array(reduced_hashes(batch.column("word"), symbols).view(np.int64))], names=["key"])
+            keys, bits = reduced_hashes(batch.column("word"), symbols), letters_of(batch.column("word"))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(bits.view(np.int64)), batch.column("id")], names=["key", "other_bits", "other"])
 
-    met = vocabulary.select("word").mapInArrow(own, "key long").groupBy("key").count()
-    words, pairs = met.agg(F.sum("count"), F.sum(F.col("count").cast("double") * F.col("count"))).first()
-    return pairs / words - 1 if words else 0.0
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "word", AT_ONCE):
+            own_keys, bits = reduced_hashes(batch.column("word"), symbols), letters_of(batch.column("word")).view(np.int64)
+            ids = batch.column("id").to_numpy()
+            for keys, who in neighbour_hashes(batch.column("word"), symbols):
+                later = keys >= own_keys[who]
+                keys, who = keys[later], who[later]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(bits[who]), pa.array(ids[who])], names=["key", "bits", "id"])
+
+    tasks = max(8, math.ceil(words * symbols * NEIGHBOURS / SENT))
+    spread = vocabulary.select("id", "word").repartition(tasks, "id")
+    asked = spread.mapInArrow(around, "key long, bits long, id long")
+    reduced = vocabulary.select("id", "word").mapInArrow(own, "key long, other_bits long, other long")
+    # equal reduced words find each other from both sides, so one of the two is left out
+    alike = (F.bit_count(F.col("bits").bitwiseXOR(F.col("other_bits"))) <= 2) & (F.col("id") != F.col("other"))
+    met = asked.join(reduced, "key").where(alike).select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
+    one = vocabulary.select("id", "word", "n")
+    two = vocabulary.select(F.col("id").alias("other"), F.col("word").alias("other_word"), F.col("n").alias("other_n"))
+    pairs = met.join(one, "id").join(two, "other").where(F.levenshtein("word", "other_word", 1) == 1)
+    sides = F.array(
+        F.struct("id", F.col("other_word").alias("near"), F.col("other_n").alias("near_n")),
+        F.struct(F.col("other").alias("id"), F.col("word").alias("near"), F.col("n").alias("near_n")),
+    )
+    return pairs.select(F.inline(sides))
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -206,8 +238,7 @@ def variants(
     named = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     counted = count_words(named, letters, noise).where(F.col("n") >= occurrences)
     vocabulary = store(counted.withColumn("id", F.monotonically_increasing_id()).select("id", "word", "n"), "vocabulary")
-    symbols = next((s for s in ALPHABETS[:-1] if crowd(vocabulary, s) <= CROWD), ALPHABETS[-1])
-    near = near_words(vocabulary, symbols).groupBy("id").agg(
+    near = near_words(vocabulary).groupBy("id").agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("top")
     )
     strong = F.coalesce(-F.col("top.less") >= F.lit(ratio) * F.col("n"), F.lit(False))

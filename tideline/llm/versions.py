@@ -42,8 +42,8 @@ from tideline.shipping import ship_package
 CELLS, GROWTH, PASSAGE = 48, 4, 4
 #: Bytes of text that are sketched at once, about, and documents.
 AT_ONCE, TOGETHER = 4 << 20, 512
-#: Text of a range of keys, about, and most ranges.
-RANGE_BYTES, MOST_RANGES = 32 << 20, 20_000
+#: Text of a range of keys, about, most ranges, and ranges that share a task: tasks get equal shares though ranges are dealt by hash.
+RANGE_BYTES, MOST_RANGES, SHARING = 4 << 20, 50_000, 8
 _CELL = np.dtype([("count", "<i4"), ("digest", "<u8"), ("check", "<u4")])
 
 
@@ -318,5 +318,5 @@ def edited_versions(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         if chunk:
             yield judge(chunk)
 
-    dealt = ranked.mapInArrow(deal, to).repartition(wide, "range").sortWithinPartitions("range", "after", *order)
+    dealt = ranked.mapInArrow(deal, to).repartition(max(1, wide // SHARING), "range").sortWithinPartitions("range", "after", *order)
     return dealt.select("range", "after", "key", "text").mapInArrow(sketch, shape)

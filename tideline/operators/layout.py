@@ -193,10 +193,7 @@ def number_valid(df: DataFrame, layout: Layout, valid: Column) -> DataFrame:
     measured again, since dropping rows moves the positions.
     """
     if layout.is_cut:
-        kept = materialize(layout.own(df.filter(valid)))
-        fresh = lay_out(kept, layout.series)
-        rows = fresh.spread(kept)
-        return fresh.own(rows.withColumns({"idx": fresh.position(), "rows": fresh.total()}))
+        return number_valid_rows(materialize(layout.own(df.filter(valid))), layout.series)
     df = df.withColumn("_valid", valid.cast("long"))
     whole = Window.partitionBy(*layout.group)
     return (
@@ -211,6 +208,13 @@ def number_valid(df: DataFrame, layout: Layout, valid: Column) -> DataFrame:
     )
 
 
+def number_valid_rows(kept: DataFrame, series: Series) -> DataFrame:
+    """Add ``idx`` and ``rows`` to a written table whose incomplete rows are gone."""
+    fresh = lay_out(kept, series)
+    rows = fresh.spread(kept)
+    return fresh.own(rows.withColumns({"idx": fresh.position(), "rows": fresh.total()}))
+
+
 def with_positions(df: DataFrame, series: Series) -> DataFrame:
     """Number the rows of a table that has not been laid out yet."""
     layout = lay_out(df, series)

@@ -53,17 +53,25 @@ def attach(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
     return df.select(*before, *names)
 
 
-def attach_array(df: DataFrame, steps: Sequence[Step], inputs: Sequence[str]) -> DataFrame:
+def attach_array(
+    df: DataFrame, steps: Sequence[Step], inputs: Sequence[str], tiers: Sequence[frozenset[str]] = ()
+) -> DataFrame:
     """Add all features as one array ``x``, ``inputs`` first.
 
+    ``tiers`` groups feature names: those of the first group come first, and so on.
     Array columns keep the plan small: hundreds of aliased columns under a
     filter make the optimizer's constraint inference explode.
     """
-    before, pieces = df.columns, []
+    before = df.columns
+    tiers = tiers or [frozenset(n for step in steps for n in step.features)]
+    pieces: list[list[str]] = [[] for _ in tiers]
     df = df.withColumn("_x", F.array(*inputs).cast("array<double>"))
     for i, step in enumerate(steps):
-        kept = df.columns
-        values = ", ".join(f"CAST({e} AS DOUBLE)" for e in step.features.values())
-        df = _levels(df, step).select(*kept, *step.kept, F.expr(f"array({values}) AS _x{i}"))
-        pieces.append(f"_x{i}")
-    return df.select(*before, F.concat("_x", *pieces).alias("x"))
+        kept, made = df.columns, []
+        for t, tier in enumerate(tiers):
+            values = ", ".join(f"CAST({e} AS DOUBLE)" for n, e in step.features.items() if n in tier)
+            if values:
+                pieces[t].append(f"_x{i}_{t}")
+                made.append(F.expr(f"array({values}) AS _x{i}_{t}"))
+        df = _levels(df, step).select(*kept, *step.kept, *made)
+    return df.select(*before, F.concat("_x", *[p for tier in pieces for p in tier]).alias("x"))

@@ -328,6 +328,21 @@ SELECT series_id, count(*) AS complete_rows, min(CAST(CAST(time AS DATE) AS VARC
   round(avg(c10), 6) AS mean_cov1_10, round(avg(rsi), 6) AS mean_rsi, round(avg(x4), 6) AS mean_corr,
   round(avg(target), 6) AS mean_target FROM k GROUP BY series_id HAVING count(*) >= 42"""
 
+# 21 days need what `feature_rows` needs; 63 and 126 share their inputs, and need the prices and covariates 63 days back as well.
+ORACLES["feature_lookbacks"] = f"""WITH {PRIORITY}, {MOVES}, a AS (
+  SELECT series_id, time, lag(price, 21) OVER {SERIES} AS lag21, {_rsi(21)} AS rsi, {_rsi(63)} AS rsi63,
+    {_momentum('price', 63)} AS momentum, avg(cov1) OVER {back(10)} AS c10, {_corr('cov1', 21)} AS x1,
+    {_corr('cov1', 63)} AS x2, {_corr('cov2', 21)} AS x3, {_corr('cov2', 63)} AS x4,
+    lead(price) OVER {SERIES} / price - 1 AS target FROM g),
+k AS (SELECT *, lookback FROM a, (VALUES (21, 167), (63, 208), (126, 208)) AS l(lookback, inputs)
+  WHERE lag21 IS NOT NULL AND rsi IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL
+  AND x4 IS NOT NULL AND target IS NOT NULL AND (lookback = 21 OR momentum IS NOT NULL AND rsi63 IS NOT NULL))
+SELECT series_id, lookback, count(*) AS complete_rows, min(CAST(CAST(time AS DATE) AS VARCHAR)) AS first_day,
+  max(CAST(CAST(time AS DATE) AS VARCHAR)) AS last_day, round(avg(lag21), 2) AS mean_lag_21,
+  round(avg(c10), 6) AS mean_cov1_10, round(avg(rsi), 6) AS mean_rsi, round(avg(x4), 6) AS mean_corr,
+  round(avg(target), 6) AS mean_target, any_value(inputs) AS inputs FROM k
+GROUP BY series_id, lookback HAVING count(*) >= 2 * lookback"""
+
 ORACLES["feature_set_all_days"] = f"""WITH {ALL_DAYS}, {RETURNS}, {DRAWDOWN}, a AS (
   SELECT series_id, time, quarter(time) AS quarter, lag(price, 21) OVER {SERIES} AS lag21,
     {_momentum('price', 63)} AS momentum, quantile_cont(cov1, 0.5) OVER {back(63)} AS median,

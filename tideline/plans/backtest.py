@@ -17,7 +17,7 @@ from tideline.operators.metrics import evaluate
 from tideline.operators.parts import attach
 from tideline.operators.storage import materialize
 from tideline.operators.target import target
-from tideline.plans.features import LOOKBACKS, feature_set
+from tideline.plans.features import LOOKBACKS, feature_sets
 
 
 logger = logging.getLogger(__name__)
@@ -54,22 +54,13 @@ def evaluate_models(
     fits and repeated reports read them from there instead of recomputing.
     """
     keys = [*series.keys, "lookback"]
-    layout = lay_out(df, series, carry=[target_col])
-    sets = [
-        feature_set(df, target_col, n, series, layout, target_type, horizon, fill)
-        for n in lookbacks
-    ]
-    pieces = [s.rows.withColumn("lookback", F.lit(s.lookback)) for s in sets]
-    rows = pieces[0]
-    for piece in pieces[1:]:
-        rows = rows.unionByName(piece)
-    rows = materialize(rows)
+    sets = feature_sets(df, target_col, lookbacks, series, None, target_type, horizon, fill).stored()
+    rows = sets.rows
     made = materialize(grouped.fit_predict(folds(rows, train), keys, models, custom))
     fold_metrics = evaluate(made.filter("error IS NULL"), [*keys, "model", "base_model", "fold"])
     averages = report.average_folds(fold_metrics, [*keys, "model", "base_model"])
     results = report.compare(averages, report.baseline_table(df.sparkSession, baselines))
-    names = {s.lookback: s.names for s in sets}
-    return Evaluation(rows, names, made, fold_metrics, results, report.totals(results))
+    return Evaluation(rows, sets.names, made, fold_metrics, results, report.totals(results))
 
 
 def final_models(evaluation: Evaluation, keys: Sequence[str] = ("series_id", "lookback")) -> DataFrame:

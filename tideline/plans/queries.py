@@ -299,6 +299,31 @@ def feature_rows(spark, sf):
     )
 
 
+def _set_facts(rows: DataFrame, by: list[str], **inputs) -> DataFrame:
+    """Complete rows, first and last day, and rounded averages of some inputs and the target."""
+    at = F.col("time").cast("date").cast("string")
+    means = [F.round(F.avg(c), d).alias(name) for name, (c, d) in inputs.items()]
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("complete_rows"), F.min(at).alias("first_day"), F.max(at).alias("last_day"),
+        *means, F.round(F.avg("target"), 6).alias("mean_target"),
+    )
+
+
+@query
+def feature_lookbacks(spark, sf):
+    """The complete rows of all lookbacks, from one pass; inputs are taken by their place in the lookback's array."""
+    sets = ft.feature_sets(daily_by_priority(spark, sf), "price", ft.LOOKBACKS)
+
+    def taken(name: str):
+        place = F.create_map(*[F.lit(v) for n, names in sets.names.items() for v in (n, names.index(name))])
+        return F.get("x", F.try_element_at(place, F.col("lookback")))
+
+    inputs = {"mean_lag_21": ("price_lag_21", 2), "mean_cov1_10": ("cov1_rolling_mean_10", 6), "mean_rsi": ("price_rsi_21", 6), "mean_corr": ("price_corr_cov2_63", 6)}
+    made = _set_facts(sets.rows, ["series_id", "lookback"], **{k: (taken(c), d) for k, (c, d) in inputs.items()})
+    sizes = F.create_map(*[F.lit(v) for n, names in sets.names.items() for v in (n, len(names))])
+    return made.withColumn("inputs", F.try_element_at(sizes, F.col("lookback")))
+
+
 @query
 def feature_set_all_days(spark, sf):
     """A few inputs and the target per complete row of the lookback 63 set."""

@@ -1,9 +1,12 @@
+import os
+import shutil
+
 import numpy as np
 import pandas as pd
 import pytest
 
 from frames import to_spark, walk
-from tideline.models import autoregression, grouped, history, solvers, trees
+from tideline.models import autoregression, grouped, history, quantile, solvers, trees
 from tideline.operators import report
 from tideline.operators.folds import folds, scale
 from tideline.operators.layout import Series, with_positions
@@ -11,6 +14,7 @@ from tideline.operators.lookup import lookup
 from tideline.operators.metrics import evaluate, rmse_and_mae
 from tideline.operators.quantiles import exact_quantiles
 from tideline.plans import backtest as bt
+from tideline.plans.run import apply_models, run_path
 
 RNG = np.random.default_rng(42)
 
@@ -130,17 +134,45 @@ def objective(model, X, y, b, c, p):
         ("RobustElasticNet", {}), ("RobustLasso", {}),
     ],
 )
-def test_solvers_reach_the_minimum(model, params):
-    X, y = problem()
+@pytest.mark.parametrize("seed", range(3))
+def test_solvers_reach_the_minimum(model, params, seed):
+    rng = np.random.default_rng(seed)
+    X = rng.normal(size=(120, 8))
+    y = X[:, :3].sum(1) + rng.standard_t(3, size=120)
+    X = (X - X.mean(0)) / X.std(0)
     p = {**solvers.DEFAULTS[model], **params}
     b, c, _ = solvers.fit(model, X, y, p)
     best = objective(model, X, y, b, c, p)
     for _ in range(300):
-        size = 10.0 ** RNG.uniform(-4, -0.5)
-        other = objective(model, X, y, b + size * RNG.normal(size=len(b)), c + size * RNG.normal(), p)
+        size = 10.0 ** rng.uniform(-4, -0.5)
+        other = objective(model, X, y, b + size * rng.normal(size=len(b)), c + size * rng.normal(), p)
         assert other >= best - 2e-5 * abs(best)
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_quantile_fits_close_the_duality_gap(seed):
+    rng = np.random.default_rng(seed)
+    n, d = [(120, 8), (126, 208), (126, 3), (1500, 6)][seed % 4]
+    X = rng.normal(size=(n, d))
+    y = X[:, :3].sum(1) * (seed % 3) + rng.standard_t(3, size=n)
+    if seed % 5 == 0:
+        X[:, 1], X[:, 2] = X[:, 0], 0.0  # equal and empty inputs
+        y = np.round(y)  # ties
+    q, alpha = [(0.5, 0.02), (0.9, 0.05), (0.1, 0.001), (0.5, 0.3), (0.7, 0.0)][seed % 5]
+    b, c, gap = quantile.fit(X, y, q, alpha)
+    assert gap <= 1e-8
+    best = quantile.loss(X, y, b, c, q, alpha)
+    for _ in range(200):
+        size = 10.0 ** rng.uniform(-5, -0.5)
+        assert quantile.loss(X, y, b + size * rng.normal(size=d), c + size * rng.normal(), q, alpha) >= best - 2e-8
+
+
+def test_quantile_fits_of_flat_and_exact_rows():
+    assert quantile.fit(np.zeros((100, 3)), np.ones(100), 0.3, 0.01)[1:] == (1.0, 0.0)
+    b, c, gap = quantile.fit(np.arange(10.0)[:, None], np.arange(10.0) * 2 + 1, 0.3, 1e-4)
+    assert (b[0], c) == (pytest.approx(2.0), pytest.approx(1.0)) and gap <= 1e-8
+
+
 def test_least_squares_has_minimum_norm_with_more_inputs_than_rows():
     X, y = RNG.normal(size=(30, 60)), RNG.normal(size=30)
     b, c, _ = solvers.fit("OLS", X, y, {})
@@ -207,6 +239,39 @@ def test_history_fit_equals_a_direct_fit(spark):
     assert np.allclose(got, X @ b + c)
 
 
+def test_history_fits_take_parameters(spark):
+    df = fold_table(spark, 400, 5)
+    models = [*grouped.grid("Ridge", alpha=[0.5, 80.0]), ("Low", "QuantileRegressor", {"quantile": 0.2, "alpha": 0.01}), ("Near", "HuberRegressor", {"epsilon": 1.1})]
+    made = history.fit_history(df, ["series_id"], models).toPandas().set_index("model")
+    pdf = df.toPandas()
+    x, y = np.vstack(pdf["x"]), pdf["target"].to_numpy()
+    X = (x - x.mean(0)) / x.std(0)
+    for label, model, params in models:
+        b, c, _ = solvers.fit(model, X, y, {**solvers.DEFAULTS[model], **params})
+        assert np.allclose(made.loc[label, "coefficients"], b, atol=2e-3), label
+        assert made.loc[label, "intercept"] == pytest.approx(c, abs=2e-3) and made.loc[label, "converged"]
+    assert np.abs(made.loc["Ridge(alpha=80.0)", "coefficients"]).sum() < np.abs(made.loc["Ridge(alpha=0.5)", "coefficients"]).sum()
+
+
+def test_long_series_refuse_quantile_programs(spark, monkeypatch):
+    monkeypatch.setattr(history, "WHOLE_CELLS", 0)
+    with pytest.raises(ValueError, match="quantile"):
+        history.fit_history(fold_table(spark, 300, 2), ["series_id"], [("Low", "QuantileRegressor", {"alpha": 0.01})])
+
+
+def test_tuning_reaches_the_later_folds(spark):
+    df = fold_table(spark, 600, 3)
+    every, grid = folds(df, 63), grouped.grid("Ridge", alpha=[0.1, 1000.0])
+    early, later = grouped.early_folds(every, 0.4, 63, 15), grouped.later_folds(every, 0.4, 63, 15)
+    best = grouped.tune(early, ["series_id"], grid).first()
+    made = grouped.fit_predict(later, ["series_id"], [], chosen=grouped.tune(early, ["series_id"], grid)).toPandas()
+    same = grouped.fit_predict(later, ["series_id"], [c for c in grid if c[0] == best.model]).toPandas()
+    assert best.params == {"alpha": float(best.model[12:-1])} and set(made["model"]) == {best.model}
+    order = ["fold", "idx"]
+    assert np.allclose(made.sort_values(order)["prediction"], same.sort_values(order)["prediction"])
+    assert made["fold"].min() * 15 + 63 >= 240 and early.agg({"fold": "max"}).first()[0] * 15 + 78 <= 240
+
+
 def test_robust_fits_by_passes_equal_those_in_one_task(spark, monkeypatch):
     df = fold_table(spark, 300, 2)
     fit = lambda n: history.fit_history(df, ["series_id"], history.ROBUST, rounds=n).toPandas().set_index("model")
@@ -297,6 +362,39 @@ def test_evaluation_from_rows_to_final_models(spark):
     assert len(run.names[21]) == 204 - 37
 
 
+def test_final_models_keep_what_they_won_with(spark):
+    df = to_spark(spark, walk(340, 7, "a"))
+    big = {m: (9.0, 9.0, 9.0) for m in report.BASELINES}
+    run = bt.evaluate_models(df, "price", [21], grouped.grid("Ridge", alpha=[0.1, 10.0]), baselines=big, tune_share=0.6)
+    final = bt.final_models(run).collect()
+    assert len(final) == 1 and final[0].base_model == "Ridge" and final[0].model == f"Ridge(alpha={final[0].params['alpha']})"
+    assert tuple(final[0].names) == run.names[21] and len(final[0].center) == len(final[0].coefficients) == len(final[0].names)
+    assert final[0].scores.avg_mae == run.results.first().avg_mae and final[0].scores.n_folds > 0
+
+
+def test_run_from_a_path_is_resumed(spark, tmp_path):
+    pdf = pd.concat([walk(330, 7, "a"), walk(60, 8, "short")])
+    path, folder = str(tmp_path / "prices.csv"), str(tmp_path / "run")
+    pdf.to_csv(path, index=False)
+    big = {m: (9.0, 9.0, 9.0) for m in report.BASELINES}
+    options = dict(lookbacks=[21, 63], models=["Ridge", "Lasso"], baselines=big)
+    first = run_path(spark, path, "price", folder, **options)
+    assert {(r.lookback, r.model) for r in first.results.collect()} == {(n, m) for n in (21, 63) for m in ("Ridge", "Lasso")}
+    assert first.totals.filter("lookback IS NULL").first().beating_baseline == 4 and first.models.count() == 4
+    mine = first.rows.filter("lookback = 21")
+    assert apply_models(spark, folder, mine).count() == 2 * mine.count()
+    stamps = {n: os.path.getmtime(f"{folder}/{n}/_SUCCESS") for n in ("rows", "predictions")}
+    os.remove(f"{folder}/results/_SUCCESS")
+    shutil.move(path, path + ".gone")  # the rows are stored: a resumed run does not need the file
+    again = run_path(spark, path, "price", folder, **options)
+    assert again.results.count() == 4 and stamps == {n: os.path.getmtime(f"{folder}/{n}/_SUCCESS") for n in stamps}
+    with pytest.raises(ValueError, match="other settings"):
+        run_path(spark, path, "price", folder, **options | {"models": ["OLS"]})
+    with pytest.raises(Exception, match="(?i)not.?exist|not.?found"):
+        run_path(spark, str(tmp_path / "none.csv"), "price", str(tmp_path / "other"))
+    assert not (tmp_path / "other").exists()
+
+
 def test_positions_of_cut_and_whole_series_agree(spark):
     df = to_spark(spark, walk(500, 3, "a")).select("series_id", "time")
     whole = with_positions(df, Series()).orderBy("time").toPandas()

@@ -16,11 +16,14 @@ from tideline.plans.features import (
     create_target_variable,
     create_technical_indicators,
     feature_set,
+    feature_sets,
 )
+from tideline.plans.run import apply_models, run_path
 from tideline.sources.readers import load_data, read_table
 
 __all__ = [
     "Series",
+    "apply_models",
     "column_statistics",
     "create_calendar_features",
     "create_features",
@@ -35,9 +38,11 @@ __all__ = [
     "evaluate",
     "evaluate_models",
     "feature_set",
+    "feature_sets",
     "final_models",
     "lay_out",
     "load_data",
     "read_table",
+    "run_path",
     "table_summary",
 ]

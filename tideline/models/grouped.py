@@ -12,9 +12,12 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tideline.models import solvers
+from tideline.operators.lookup import lookup
+from tideline.operators.metrics import evaluate
 from tideline.shipping import ship_package
 
 Params = Mapping[str, float]
@@ -50,6 +53,8 @@ def _label(params: Params) -> str:
 def _fit_fold(
     pdf: pd.DataFrame, keys: list[str], configs: list[tuple], custom: Mapping[str, FitPredict]
 ) -> pd.DataFrame:
+    if "_chosen" in pdf:  # the series has configurations of its own
+        configs = [(c["model"], c["base_model"], {e["key"]: e["value"] for e in c["params"]}) for c in pdf["_chosen"].iloc[0]]
     pdf = pdf.sort_values("idx")
     fitted = pdf["is_train"].to_numpy(bool)
     x, y = np.vstack(pdf["x"].to_numpy()), pdf["target"].to_numpy(float)
@@ -80,6 +85,7 @@ def fit_predict(
     keys: Sequence[str],
     models: Sequence[str | tuple] = tuple(solvers.DEFAULTS),
     custom: Mapping[str, FitPredict] | None = None,
+    chosen: DataFrame | None = None,
 ) -> DataFrame:
     """Predictions for the test rows of every fold and model.
 
@@ -87,9 +93,12 @@ def fit_predict(
     :func:`grid`. ``custom`` adds own models: ``f(X, y, Z, params)`` gets the
     scaled train rows, their targets and the scaled test rows. ``model`` is the
     label of a configuration, ``base_model`` the model it configures.
+
+    ``chosen`` (keys, ``model``, ``base_model``, ``params``, as :func:`tune` makes it) gives each series
+    configurations of its own in place of ``models``; series without any are left out.
     """
     ship_package(fold_rows.sparkSession)
-    configs = [(m, m, {}) if isinstance(m, str) else tuple(m) for m in models]
+    configs = solvers.configurations(models)
     keys = list(keys)
     columns = [*keys, "fold", "idx", "is_train", "target", "x"]
     rows = fold_rows.select(*columns)
@@ -102,9 +111,52 @@ def fit_predict(
         ]
     )
     own = dict(custom or {})
+    if chosen is not None:
+        each = chosen.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("model", "base_model", F.map_entries("params").alias("params")))).alias("_chosen"))
+        rows = lookup(rows, each, keys, cell_bytes=256)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return _fit_fold(pdf, keys, configs, own)
 
     made = rows.groupBy(*keys, "fold").applyInPandas(run, schema)
     return made.na.replace(float("nan"), None, ["prediction", "prediction_sd"])
+
+
+def tune(
+    fold_rows: DataFrame, keys: Sequence[str], models: Sequence[str | tuple], by: str = "mae"
+) -> DataFrame:
+    """The best configuration per series and model, by the mean error over the given folds.
+
+    ``fold_rows`` holds the folds to choose on, e.g. :func:`early_folds`. Gives the keys, ``base_model``, the label
+    ``model``, its ``params`` and the error ``tuned_error``; of equal ones, the first label.
+    """
+    configs = solvers.configurations(models)
+    made = fit_predict(fold_rows, keys, configs).filter("error IS NULL")
+    errors = evaluate(made, [*keys, "base_model", "model", "fold"])
+    mean = errors.groupBy(*keys, "base_model", "model").agg(F.avg(by).alias("error"))
+    best = mean.groupBy(*keys, "base_model").agg(F.min(F.struct("error", "model")).alias("best"))
+    known = parameter_map(configs)
+    return best.select(
+        *keys, "base_model", F.col("best.model").alias("model"), F.try_element_at(known, F.col("best.model")).alias("params"),
+        F.col("best.error").alias("tuned_error"),
+    )
+
+
+def parameter_map(configs: Sequence[tuple]) -> Column:
+    """Parameters by label, as a map column."""
+    pairs = []
+    for label, _, params in configs:
+        values = [F.lit(x) for k, v in params.items() for x in (k, float(v))]
+        made = F.create_map(*values) if values else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+        pairs += [F.lit(label), made]
+    return F.create_map(*pairs)
+
+
+def early_folds(fold_rows: DataFrame, share: float, train: int, step: int) -> DataFrame:
+    """Folds that end within the first ``share`` of a series' rows."""
+    return fold_rows.filter(F.col("fold") * step + (train + step) <= F.col("rows") * share)
+
+
+def later_folds(fold_rows: DataFrame, share: float, train: int, step: int) -> DataFrame:
+    """Folds whose test rows all lie behind the first ``share``: none of them took part in a choice."""
+    return fold_rows.filter(F.col("fold") * step + train >= F.col("rows") * share)

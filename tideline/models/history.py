@@ -7,27 +7,35 @@ matrices, Spark sums them, and only the d x d result of a series is solved.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tideline.models import solvers
+from tideline.models import quantile, solvers
 from tideline.operators.quantiles import exact_quantiles
 from tideline.operators.storage import materialize
 from tideline.shipping import ship_package
 
 BLOCK_ROWS = 2048
-SMALL_TABLE_ROWS = 20_000
+BROADCAST_NUMBERS = 4_000_000
 WHOLE_CELLS = 4_000_000
+QUANTILE_GAP = 1e-6
 SQUARED = ("OLS", "Ridge", "Lasso", "ElasticNet", "BayesianRidge")
 ROBUST = ("HuberRegressor", "RobustElasticNet", "RobustLasso")
+#: Model and all its parameters, by label.
+Plans = dict[str, tuple[str, dict]]
 
 
 def _lookup(df: DataFrame) -> DataFrame:
-    """Broadcast a table of per-series arrays only if it has few rows."""
-    return F.broadcast(df) if df.count() <= SMALL_TABLE_ROWS else df
+    """Broadcast a table of per-series arrays only if it holds few numbers in all."""
+    arrays = [F.size(f.name) for f in df.schema if isinstance(f.dataType, T.ArrayType)]
+    each = reduce(lambda a, b: a + b, [F.greatest(n, F.lit(0)) for n in arrays], F.lit(len(df.columns)))
+    numbers = df.agg(F.sum(each.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if numbers <= BROADCAST_NUMBERS else df
 
 
 def scalers(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -50,14 +58,14 @@ def scaled(rows: DataFrame, scaler: DataFrame, keys: Sequence[str]) -> DataFrame
     return rows.join(_lookup(scaler), list(keys)).select(*keys, "idx", "target", z.alias("z"))
 
 
-def _partial(pdf: pd.DataFrame, keys: list[str], robust: bool) -> pd.DataFrame:
-    """Moment matrix of one block of rows, and its part of the residual scale."""
+def _partial(pdf: pd.DataFrame, keys: list[str], plans: Plans | None) -> pd.DataFrame:
+    """Moment matrix of one block of rows, and its part of the residual scale; weighted if there are ``plans``."""
     Z = np.vstack(pdf["z"].to_numpy())
     y = pdf["target"].to_numpy(float)
     head = {k: pdf[k].iloc[0] for k in keys}
     w, scale = np.ones(len(y)), [float(len(y))]
-    if robust:
-        epsilon = solvers.DEFAULTS[head["model"]]["epsilon"]
+    if plans:
+        epsilon = plans[head["model"]][1]["epsilon"]
         s = pdf["s"].iloc[0]
         r = np.abs(y - Z @ np.asarray(pdf["coefficients"].iloc[0]) - pdf["intercept"].iloc[0])
         w = np.minimum(1.0, epsilon * s / np.maximum(r, 1e-300))
@@ -68,7 +76,7 @@ def _partial(pdf: pd.DataFrame, keys: list[str], robust: bool) -> pd.DataFrame:
     return pd.DataFrame({**head, "i": np.arange(-1, len(M)), "part": [scale, *M]})
 
 
-def moments(rows: DataFrame, keys: Sequence[str], robust: bool = False) -> DataFrame:
+def moments(rows: DataFrame, keys: Sequence[str], plans: Plans | None = None) -> DataFrame:
     """Row i of the (weighted) moment matrix of [1, z, y] per group; -1 is the scale."""
     keys = list(keys)
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
@@ -76,7 +84,7 @@ def moments(rows: DataFrame, keys: Sequence[str], robust: bool = False) -> DataF
     blocks = rows.withColumn("_block", F.floor(F.col("idx") / BLOCK_ROWS))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _partial(pdf, keys, robust)
+        return _partial(pdf, keys, plans)
 
     parts = blocks.groupBy(*keys, "_block").applyInPandas(run, schema)
     cells = parts.select(*keys, "i", F.posexplode("part").alias("j", "v"))
@@ -98,13 +106,13 @@ def _centred_matrix(M: np.ndarray, scale):
     return C[1:-1, 1:-1], C[1:-1, -1], C[-1, -1], total, m[1:-1], m[-1], scale
 
 
-def _solve(pdf: pd.DataFrame, keys: list[str], models: list[str]) -> pd.DataFrame:
+def _solve(pdf: pd.DataFrame, keys: list[str], plans: Plans) -> pd.DataFrame:
     G, g, syy, n, mx, my, _ = _centred(pdf)
     head = {k: pdf[k].iloc[0] for k in keys}
     out = []
-    for model in models:
-        b, _ = solvers.solve_moments(model, G, g, syy, n, solvers.DEFAULTS[model])
-        out.append({**head, "model": model, "intercept": my - mx @ b, "coefficients": b})
+    for label, (model, params) in plans.items():
+        b, _ = solvers.solve_moments(model, G, g, syy, n, params)
+        out.append({**head, "model": label, "intercept": my - mx @ b, "coefficients": b})
     return pd.DataFrame(out)
 
 
@@ -114,10 +122,9 @@ def _model_schema(rows: DataFrame, keys: Sequence[str]) -> str:
     return ", ".join([*head, "model string, intercept double, coefficients array<double>"])
 
 
-def _advance(model: str, centred: tuple, s: float, old: np.ndarray, old_c: float):
+def _advance(model: str, p: dict, centred: tuple, s: float, old: np.ndarray, old_c: float):
     """One reweighted step: intercept, coefficients, scale, and how far they moved."""
     G, g, _, total, mx, my, (n, squares, outside) = centred
-    p = solvers.DEFAULTS[model]
     share = total / n  # the loss is averaged over rows, not over weights
     G, g = G * share, g * share
     if model == "HuberRegressor":
@@ -131,22 +138,27 @@ def _advance(model: str, centred: tuple, s: float, old: np.ndarray, old_c: float
     return c, b, s, max(np.abs(b - old).max(initial=0.0), abs(c - old_c))
 
 
-def _refit(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+def _refit(pdf: pd.DataFrame, keys: list[str], plans: Plans) -> pd.DataFrame:
     """One reweighted step; the next round's scale comes from the same pass."""
     head = {k: pdf[k].iloc[0] for k in keys}
     old = np.asarray(pdf["coefficients"].iloc[0])
-    made = _advance(head["model"], _centred(pdf), pdf["s"].iloc[0], old, pdf["intercept"].iloc[0])
+    made = _advance(*plans[head["model"]], _centred(pdf), pdf["s"].iloc[0], old, pdf["intercept"].iloc[0])
     c, b, s, moved = made
     return pd.DataFrame([{**head, "intercept": c, "coefficients": b, "s": s, "moved": moved}])
 
 
-def _whole(pdf: pd.DataFrame, keys: list[str], models, rounds: int, tol: float) -> pd.DataFrame:
+def _whole(pdf: pd.DataFrame, keys: list[str], plans: Plans, rounds: int, tol: float) -> pd.DataFrame:
     """All rounds for a series that fits one task, from its least squares fit."""
     Z, y = np.vstack(pdf["z"].to_numpy()), pdf["target"].to_numpy(float)
     A = np.column_stack([np.ones(len(y)), Z, y])
     head, out = {k: pdf[k].iloc[0] for k in keys}, []
-    for model in models:
-        epsilon = solvers.DEFAULTS[model]["epsilon"]
+    for label, (model, params) in plans.items():
+        if model == "QuantileRegressor":
+            b, c, gap = quantile.fit(Z, y, params["quantile"], params["alpha"])
+            row = {"model": label, "intercept": c, "coefficients": b, "rounds": 1}
+            out.append({**head, **row, "converged": bool(gap <= QUANTILE_GAP)})
+            continue
+        epsilon = params["epsilon"]
         b, c, s = np.asarray(pdf["coefficients"].iloc[0]), pdf["intercept"].iloc[0], 1.0
         for turn in range(1, rounds + 1):
             r = np.abs(y - Z @ b - c)
@@ -154,19 +166,20 @@ def _whole(pdf: pd.DataFrame, keys: list[str], models, rounds: int, tol: float)
             inside = r <= epsilon * s
             scale = [float(len(y)), float((r[inside] ** 2).sum()), float((~inside).sum())]
             centred = _centred_matrix((A * w[:, None]).T @ A, scale)
-            c, b, s, moved = _advance(model, centred, s, b, c)
+            c, b, s, moved = _advance(model, params, centred, s, b, c)
             if moved <= tol:
                 break
-        row = {"model": model, "intercept": c, "coefficients": b, "rounds": turn}
+        row = {"model": label, "intercept": c, "coefficients": b, "rounds": turn}
         out.append({**head, **row, "converged": bool(moved <= tol)})
     return pd.DataFrame(out)
 
 
-def _robust(z: DataFrame, start: DataFrame, keys: list[str], models, rounds: int, tol: float):
-    """Iteratively reweighted fits.
+def _robust(z: DataFrame, start: DataFrame, keys: list[str], plans: Plans, rounds: int, tol: float):
+    """Iteratively reweighted fits, and quantile fits.
 
     A series of at most ``WHOLE_CELLS`` numbers takes all its rounds in one task; longer
-    ones take one distributed pass per round for all models, until all have converged.
+    ones take one distributed pass per round for all models, until all have converged. Quantile fits with a penalty that
+    leaves inputs in are linear programs and need the rows together: for longer series they are refused.
     """
     start = start.select(*keys, "intercept", "coefficients")
     sizes = z.groupBy(*keys).agg((F.count(F.lit(1)) * F.max(F.size("z"))).alias("_cells"))
@@ -176,29 +189,31 @@ def _robust(z: DataFrame, start: DataFrame, keys: list[str], models, rounds: int
     shape = f"{_model_schema(z, keys)}, rounds int, converged boolean"
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _whole(pdf, keys, models, rounds, tol)
+        return _whole(pdf, keys, plans, rounds, tol)
 
     made = small.join(_lookup(start), keys).groupBy(*keys).applyInPandas(whole, shape)
     if sizes.filter(F.col("_cells") > WHOLE_CELLS).isEmpty():
         return made
+    if any(model == "QuantileRegressor" for model, _ in plans.values()):
+        raise ValueError(f"quantile regression over a whole series needs at most {WHOLE_CELLS} numbers, or a penalty of at least max(q, 1 - q)")
     long = z.filter(F.col("_cells") > WHOLE_CELLS).drop("_cells")
     there = sizes.filter(F.col("_cells") > WHOLE_CELLS).drop("_cells")
-    return made.unionByName(_by_passes(long, start.join(there, keys), keys, models, rounds, tol))
+    return made.unionByName(_by_passes(long, start.join(there, keys), keys, plans, rounds, tol))
 
 
-def _by_passes(z: DataFrame, start: DataFrame, keys: list[str], models, rounds: int, tol: float):
+def _by_passes(z: DataFrame, start: DataFrame, keys: list[str], plans: Plans, rounds: int, tol: float):
     by = [*keys, "model"]
-    each = F.explode(F.array(*[F.lit(m) for m in models])).alias("model")
+    each = F.explode(F.array(*[F.lit(m) for m in plans])).alias("model")
     line = materialize(
         start.select(*keys, each, "intercept", "coefficients").withColumn("s", F.lit(1.0))
     )
     schema = f"{_model_schema(z, keys)}, s double, moved double"
 
     def refit(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _refit(pdf, by)
+        return _refit(pdf, by, plans)
 
     for turn in range(1, rounds + 1):  # noqa: B007
-        matrix = moments(z.join(_lookup(line), keys), by, robust=True)
+        matrix = moments(z.join(_lookup(line), keys), by, plans)
         made = matrix.join(_lookup(line), by).groupBy(*by).applyInPandas(refit, schema)
         made = materialize(made)
         line = made.drop("moved")
@@ -211,26 +226,30 @@ def _by_passes(z: DataFrame, start: DataFrame, keys: list[str], models, rounds:
 def fit_history(
     rows: DataFrame,
     keys: Sequence[str],
-    models: Sequence[str] = SQUARED,
+    models: Sequence[str | tuple] = SQUARED,
     rounds: int = 2000,
     tol: float = 1e-9,
 ) -> DataFrame:
     """One row per series and model: intercept, coefficients, and the scaler.
 
     ``rows`` needs the keys, ``idx``, ``x`` and ``target``; the coefficients apply
-    to ``(x - center) / spread``. ``rounds`` and ``converged`` tell of reweighted fits
-    how many rounds they took, at most ``rounds``, and whether they came within ``tol``.
+    to ``(x - center) / spread``. ``models`` are names or (label, model, parameters). ``rounds`` and ``converged`` tell of
+    reweighted fits how many rounds they took, at most ``rounds``, and whether they came within ``tol``; of
+    quantile fits, whether their duality gap is negligible.
     """
     ship_package(rows.sparkSession)
     keys = list(keys)
+    plans = {label: (model, {**solvers.DEFAULTS[model], **params}) for label, model, params in solvers.configurations(models)}
     scaler = materialize(scalers(rows, keys))
     z = scaled(rows, scaler, keys)
-    if set(models) & set(ROBUST):
+    squared = {n: p for n, p in plans.items() if p[0] in SQUARED}
+    constant = {n: p for n, p in plans.items() if p[0] == "QuantileRegressor" and p[1]["alpha"] >= max(p[1]["quantile"], 1 - p[1]["quantile"])}
+    robust = {n: p for n, p in plans.items() if n not in squared and n not in constant}
+    if robust:
         z = materialize(z)  # read once per round
-    squared = [m for m in models if m in SQUARED]
-    robust = [m for m in models if m in ROBUST]
     base = moments(z, keys)
-    wanted = sorted({*(squared or ["Ridge"]), *(["Ridge"] if robust else [])})
+    first = {"_start": ("Ridge", solvers.DEFAULTS["Ridge"])}
+    wanted = squared | first if robust or not squared else squared
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         return _solve(pdf, keys, wanted)
@@ -238,21 +257,20 @@ def fit_history(
     solved = base.groupBy(*keys).applyInPandas(solve, _model_schema(z, keys))
     if robust:
         solved = materialize(solved)
-    made = solved.filter(F.col("model").isin(squared))
+    made = solved.filter(F.col("model").isin(list(squared)))
     made = made.withColumns({"rounds": F.lit(1), "converged": F.lit(True)})
     if robust:
-        start = solved.filter(F.col("model") == "Ridge").drop("model")
+        start = solved.filter(F.col("model") == "_start").drop("model")
         made = made.unionByName(_robust(z, start, keys, robust, rounds, tol))
-    if "QuantileRegressor" in models:
-        level = solvers.DEFAULTS["QuantileRegressor"]["quantile"]
-        center = exact_quantiles(rows, keys, "target", {"intercept": level})
+    for label, (_, params) in constant.items():
+        center = exact_quantiles(rows, keys, "target", {"intercept": params["quantile"]})
         flat = scaler.select(
             *keys, F.transform("center", lambda _: F.lit(0.0)).alias("coefficients")
         )
-        constant = center.join(flat, keys).withColumns(
-            {"model": F.lit("QuantileRegressor"), "rounds": F.lit(1), "converged": F.lit(True)}
+        level = center.join(flat, keys).withColumns(
+            {"model": F.lit(label), "rounds": F.lit(1), "converged": F.lit(True)}
         )
-        made = made.unionByName(constant.select(*made.columns))
+        made = made.unionByName(level.select(*made.columns))
     return made.join(scaler, keys)
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from tideline.models import quantile
+
 # Default parameters of the regressors.
 DEFAULTS = {
     "OLS": {},
@@ -22,6 +24,11 @@ DEFAULTS = {
 }
 
 
+def configurations(models) -> list[tuple[str, str, dict]]:
+    """Names, or (label, model, parameters), as (label, model, parameters)."""
+    return [(m, m, {}) if isinstance(m, str) else tuple(m) for m in models]
+
+
 def min_norm(G, g):
     """Least squares of smallest norm, also when G is singular."""
     return np.linalg.pinv(G, rcond=1e-12, hermitian=True) @ g
@@ -120,15 +127,7 @@ def fit(model, X, y, params):
         q, alpha = params["quantile"], params["alpha"]
         if alpha >= max(q, 1 - q):  # the penalty outweighs every subgradient
             return np.zeros(d), float(np.quantile(y, q)), None
-        floor = 1e-6 * max(float(np.std(y)), 1e-12)
-
-        def pinball(r):
-            a = np.maximum(np.abs(r), floor)
-            return 0.5 / a, a * (2 * q - 1)
-
-        b, c = reweighted(
-            X, y, pinball, lambda G, g, b: elastic_net(G, g, alpha, 0.0, b), rounds=1000, tol=1e-8
-        )
+        b, c, _ = quantile.fit(X, y, q, alpha)
         return b, c, None
     epsilon, alpha = params["epsilon"], params["alpha"]
     if model == "HuberRegressor":

@@ -28,10 +28,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder below the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{tag}-{uuid.uuid4().hex}"
+
+
 def write_once(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as Parquet below the checkpoint folder, a folder per value of ``by``, and read it back."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
+    path = scratch_folder(df.sparkSession, "rows")
     df.write.partitionBy(*by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

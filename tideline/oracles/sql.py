@@ -343,6 +343,20 @@ SELECT series_id, lookback, count(*) AS complete_rows, min(CAST(CAST(time AS DAT
   round(avg(target), 6) AS mean_target, any_value(inputs) AS inputs FROM k
 GROUP BY series_id, lookback HAVING count(*) >= 2 * lookback"""
 
+# Five days need five lags, the correlations over 21 and 63 days, and a step of the price.
+ORACLES["stored_feature_rows"] = f"""WITH {PRIORITY}, {MOVES}, a AS (
+  SELECT series_id, time, lag(price, 5) OVER {SERIES} AS lag5, lag(price, 21) OVER {SERIES} AS lag21, {_rsi(21)} AS rsi,
+    {_corr('cov1', 21)} AS x1, {_corr('cov1', 63)} AS x2, {_corr('cov2', 21)} AS x3, {_corr('cov2', 63)} AS x4,
+    {_corr('cov1', 5)} AS x5, lead(price) OVER {SERIES} / price - 1 AS target FROM g),
+k AS (SELECT *, row_number() OVER (PARTITION BY series_id, lookback ORDER BY time) - 1 AS idx,
+    count(*) OVER (PARTITION BY series_id, lookback) AS n FROM a, (VALUES (5), (21)) AS l(lookback)
+  WHERE lag5 IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL AND x4 IS NOT NULL
+    AND target IS NOT NULL AND (lookback = 5 OR lag21 IS NOT NULL AND rsi IS NOT NULL))
+SELECT series_id, lookback, count(*) AS complete_rows, min(CAST(CAST(time AS DATE) AS VARCHAR)) AS first_day,
+  max(CAST(CAST(time AS DATE) AS VARCHAR)) AS last_day, round(avg(lag5), 2) AS mean_lag_5,
+  round(avg(target), 6) AS mean_target FROM k WHERE n >= 2 * lookback AND (lookback = 5 OR idx * 2 >= n)
+GROUP BY series_id, lookback"""
+
 ORACLES["feature_set_all_days"] = f"""WITH {ALL_DAYS}, {RETURNS}, {DRAWDOWN}, a AS (
   SELECT series_id, time, quarter(time) AS quarter, lag(price, 21) OVER {SERIES} AS lag21,
     {_momentum('price', 63)} AS momentum, quantile_cont(cov1, 0.5) OVER {back(63)} AS median,
@@ -532,6 +546,40 @@ e AS (SELECT series_id, model, fold, avg(abs{ERROR}) AS mae FROM h GROUP BY 1, 2
 a AS (SELECT series_id, model, avg(mae) AS avg_mae FROM e GROUP BY 1, 2)
 SELECT series_id, arg_min(model, avg_mae) AS best, round(min(avg_mae), 6) AS avg_mae FROM a GROUP BY 1"""
 
+# The same choice, then the folds whose test rows lie behind the first fifth.
+ORACLES["tuned_ridge_applied"] = f"""WITH {_inputs(PRIORITY)}, {_models(_grid).replace('SELECT series_id', 'SELECT n, series_id')},
+e AS (SELECT series_id, model, fold, any_value(n) AS n, avg(abs{ERROR}) AS mae FROM h GROUP BY 1, 2, 3),
+a AS (SELECT series_id, model, avg(mae) AS avg_mae FROM e WHERE fold * 31 + 157 <= 0.2 * n GROUP BY 1, 2),
+b AS (SELECT series_id, arg_min(model, avg_mae) AS model FROM a GROUP BY 1)
+SELECT series_id, model AS best, count(*) AS n_folds, round(avg(mae), 6) AS avg_mae FROM e JOIN b USING (series_id, model)
+WHERE fold * 31 + 126 >= 0.2 * n GROUP BY 1, 2"""
+
+# A best line passes through two train rows, or is flat at a train target: all are tried.
+ORACLES["quantile_predictions"] = f"""WITH {_inputs(ALL_DAYS)},
+r AS (SELECT series_id, fold, z, y, row_number() OVER (PARTITION BY series_id, fold ORDER BY idx) AS i FROM z WHERE is_train),
+lines AS (SELECT p.series_id, p.fold, (o.y - p.y) / (o.z - p.z) AS b, p.y - p.z * (o.y - p.y) / (o.z - p.z) AS c
+  FROM r p JOIN r o ON p.series_id = o.series_id AND p.fold = o.fold AND p.i < o.i AND p.z <> o.z
+  UNION ALL SELECT series_id, fold, 0.0, y FROM r),
+loss AS (SELECT l.series_id, l.fold, l.b, l.c,
+  avg(greatest(0.7 * (r.y - l.c - l.b * r.z), -0.3 * (r.y - l.c - l.b * r.z))) + 0.05 * abs(l.b) AS loss
+  FROM lines l JOIN r ON l.series_id = r.series_id AND l.fold = r.fold GROUP BY 1, 2, 3, 4),
+best AS (SELECT series_id, fold, arg_min(b, loss) AS slope, arg_min(c, loss) AS c FROM loss GROUP BY 1, 2)
+SELECT series_id, fold, idx, {rnd('y', 6, 'target')}, {rnd('best.c + best.slope * z.z', 6, 'prediction')}
+FROM z JOIN best USING (series_id, fold) WHERE NOT is_train"""
+
+ORACLES["kept_models"] = f"""WITH {PRIORITY}, i0 AS (
+  SELECT series_id, time, ln(price / lag(price) OVER {SERIES}) AS x1, cov1 AS x2,
+    ln(lead(price) OVER {SERIES} / price) AS y FROM d),
+i AS (SELECT *, row_number() OVER {SERIES} - 1 AS idx FROM i0 WHERE x1 IS NOT NULL AND y IS NOT NULL),
+s AS (SELECT series_id, count(*) AS n, avg(y) AS my, corr(x1, x2) AS r, avg(x1) AS m1, avg(x2) AS m2,
+  stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, covar_pop(x1, y) / stddev_pop(x1) AS c1,
+  covar_pop(x2, y) / stddev_pop(x2) AS c2 FROM i GROUP BY 1),
+m AS (SELECT *, 'OLS' AS model, 0.0 AS a FROM s UNION ALL SELECT *, 'Ridge(alpha=50)', 50.0 FROM s),
+b AS (SELECT *, ((1 + a / n) * c1 - r * c2) / (pow(1 + a / n, 2) - r * r) AS b1,
+  ((1 + a / n) * c2 - r * c1) / (pow(1 + a / n, 2) - r * r) AS b2 FROM m)
+SELECT i.series_id, model, CAST(idx AS INT) AS idx, {rnd('y', 6, 'target')},
+  {rnd('my + b1 * (x1 - m1) / s1 + b2 * (x2 - m2) / s2', 6, 'prediction')} FROM i JOIN b USING (series_id)"""
+
 ORACLES["history_models"] = f"""WITH {PRIORITY}, i0 AS (
   SELECT series_id, ln(price / lag(price) OVER {SERIES}) AS x1, cov1 AS x2,
     ln(lead(price) OVER {SERIES} / price) AS y FROM d),
@@ -595,3 +643,26 @@ a AS (SELECT series_id, model, count(*) AS n_folds, avg(mae) AS avg_mae, stddev_
 SELECT series_id, model, lookback, n_folds, round(avg_mae, 6) AS avg_mae, round(std_mae, 6) AS std_mae,
   round(CAST(baseline_mae AS DOUBLE), 6) AS baseline_mae, avg_mae < baseline_mae AS beats_baseline,
   round((baseline_mae - avg_mae) / baseline_mae * 100, 4) AS improvement FROM a JOIN t USING (model)"""
+
+# The complete rows of the lookbacks, the mean and the median of each train block, and their errors on the test block.
+ORACLES["path_to_summary"] = f"""WITH {ALL_DAYS}, {MOVES}, a AS (
+  SELECT series_id, time, lag(price, 21) OVER {SERIES} AS lag21, {_rsi(21)} AS rsi, {_rsi(63)} AS rsi63,
+    {_momentum('price', 63)} AS momentum, {_corr('cov1', 21)} AS x1, {_corr('cov1', 63)} AS x2,
+    {_corr('cov2', 21)} AS x3, {_corr('cov2', 63)} AS x4, ln(lead(price) OVER {SERIES} / price) AS y FROM g),
+k AS (SELECT *, row_number() OVER (PARTITION BY series_id, lookback ORDER BY time) - 1 AS idx,
+    count(*) OVER (PARTITION BY series_id, lookback) AS n FROM a, (VALUES (21), (63)) AS l(lookback)
+  WHERE lag21 IS NOT NULL AND rsi IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL
+  AND x4 IS NOT NULL AND y IS NOT NULL AND (lookback = 21 OR momentum IS NOT NULL AND rsi63 IS NOT NULL)),
+f AS (SELECT k.*, q.fold, idx < q.fold * 31 + 126 AS is_train FROM k JOIN (SELECT unnest(range(0, 400)) AS fold) q
+  ON idx >= q.fold * 31 AND idx < q.fold * 31 + 157 AND q.fold * 31 + 157 < n AND n >= 252),
+c AS (SELECT series_id, lookback, fold, avg(y) AS mean, quantile_cont(y, 0.5) AS median FROM f WHERE is_train GROUP BY 1, 2, 3),
+e AS (SELECT series_id, lookback, fold, model, avg(abs(y - CASE model WHEN 'Lasso' THEN mean ELSE median END)) AS mae
+  FROM f JOIN c USING (series_id, lookback, fold), (VALUES ('Lasso'), ('QuantileRegressor')) AS m(model)
+  WHERE NOT is_train GROUP BY 1, 2, 3, 4),
+s AS (SELECT series_id, lookback, model, count(*) AS n_folds, avg(mae) AS avg_mae, stddev_pop(mae) AS std_mae FROM e GROUP BY 1, 2, 3),
+t AS (SELECT s.*, 40 * CAST(to_beat AS DOUBLE) AS baseline_mae FROM s JOIN (VALUES
+  {', '.join(f"('{m}', {n}, {TO_BEAT[m][i]})" for m in ('Lasso', 'QuantileRegressor') for i, n in enumerate((21, 63)))}) AS v(model, lookback, to_beat)
+  USING (model, lookback))
+SELECT series_id, lookback, model, n_folds, avg_mae < baseline_mae AS beats_baseline, round(avg_mae, 6) AS avg_mae,
+  round(std_mae, 6) AS std_mae, round(baseline_mae, 6) AS baseline_mae, count(*) OVER (PARTITION BY lookback) AS total_models,
+  count(*) FILTER (WHERE avg_mae < baseline_mae) OVER (PARTITION BY lookback) AS beating_baseline FROM t"""

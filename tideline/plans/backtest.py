@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tideline.models import closed_form, grouped, history
 from tideline.operators import report
-from tideline.operators.folds import TRAIN_ROWS, folds
+from tideline.operators.folds import TRAIN_ROWS, folds, test_rows
 from tideline.operators.layout import Series, lay_out, number_valid
 from tideline.operators.metrics import evaluate
 from tideline.operators.parts import attach
@@ -22,6 +22,9 @@ from tideline.plans.features import LOOKBACKS, feature_sets
 
 logger = logging.getLogger(__name__)
 
+#: Rows of a table of keys that may be broadcast.
+FEW = 500_000
+
 
 @dataclass(frozen=True)
 class Evaluation:
@@ -33,6 +36,7 @@ class Evaluation:
     fold_metrics: DataFrame
     results: DataFrame
     totals: DataFrame
+    configs: tuple[tuple, ...] = ()  # label, model and parameters of what was evaluated
 
 
 def evaluate_models(
@@ -47,39 +51,74 @@ def evaluate_models(
     target_type: str = "return",
     horizon: int = 1,
     fill: str | None = None,
+    tune_share: float | None = None,
 ) -> Evaluation:
     """Features, folds, fits, metrics and comparison for all series at once.
 
-    The feature rows are written once to the checkpoint folder: folds, final
-    fits and repeated reports read them from there instead of recomputing.
+    The feature rows of all lookbacks are made in one pass and written once to the checkpoint folder: folds, final
+    fits and repeated reports read them from there instead of recomputing. With ``tune_share`` the folds in that first
+    share of a series choose one configuration per series and model among ``models``; only the folds behind it are
+    evaluated, with the chosen ones.
     """
-    keys = [*series.keys, "lookback"]
     sets = feature_sets(df, target_col, lookbacks, series, None, target_type, horizon, fill).stored()
-    rows = sets.rows
-    made = materialize(grouped.fit_predict(folds(rows, train), keys, models, custom))
+    keys = [*series.keys, "lookback"]
+    made = materialize(predictions(sets.rows, keys, models, custom, train, tune_share))
+    return summarise(sets.rows, sets.names, made, models, baselines, keys)
+
+
+def predictions(
+    rows: DataFrame, keys: Sequence[str], models: Sequence[str | tuple], custom: Mapping[str, grouped.FitPredict] | None = None,
+    train: int = TRAIN_ROWS, tune_share: float | None = None,
+) -> DataFrame:
+    """Predictions of all folds, or with ``tune_share`` of the later folds by the configurations chosen on the early ones."""
+    every, step = folds(rows, train), test_rows(train)
+    if tune_share is None:
+        return grouped.fit_predict(every, keys, models, custom)
+    chosen = materialize(grouped.tune(grouped.early_folds(every, tune_share, train, step), keys, models))
+    return grouped.fit_predict(grouped.later_folds(every, tune_share, train, step), keys, models, custom, chosen)
+
+
+def summarise(
+    rows: DataFrame, names: Mapping[int, Sequence[str]], made: DataFrame, models: Sequence[str | tuple],
+    baselines: Mapping[str, Sequence[float]], keys: Sequence[str],
+) -> Evaluation:
+    """Fold metrics, averages against the baselines, and totals of written predictions."""
     fold_metrics = evaluate(made.filter("error IS NULL"), [*keys, "model", "base_model", "fold"])
     averages = report.average_folds(fold_metrics, [*keys, "model", "base_model"])
-    results = report.compare(averages, report.baseline_table(df.sparkSession, baselines))
-    return Evaluation(rows, sets.names, made, fold_metrics, results, report.totals(results))
+    results = report.compare(averages, report.baseline_table(made.sparkSession, baselines))
+    configs = tuple(grouped.solvers.configurations(models))
+    return Evaluation(rows, dict(names), made, fold_metrics, results, report.totals(results), configs)
+
 
+def final_models(evaluation: Evaluation, keys: Sequence[str] = ("series_id", "lookback")) -> DataFrame | None:
+    """The winners, fitted on their whole history with a scaler from all rows and the parameters they won with.
 
-def final_models(evaluation: Evaluation, keys: Sequence[str] = ("series_id", "lookback")) -> DataFrame:
-    """Fit the winners on their whole history, with a scaler from all rows."""
-    known = [*history.SQUARED, *history.ROBUST, "QuantileRegressor"]
-    fitted = []
+    A row holds all that is needed to apply a model later: label, ``base_model``, ``params``, the ``names`` of its inputs,
+    scaler, coefficients, and its ``scores`` in the walk-forward. Own models are callbacks without coefficients:
+    they are named in the log instead.
+    """
     won = materialize(report.winners(evaluation.results, [*keys, "model"]))
     names = {r[0] for r in won.select("model").distinct().collect()}
-    models = [m for m in known if m in names]
-    if names - set(models):
-        logger.warning("no final fit for configurations and own models: %s", sorted(names - set(models)))
-    for lookback in evaluation.names:
-        rows = evaluation.rows.filter(F.col("lookback") == lookback)
-        if models:
-            fitted.append(history.fit_history(rows, keys, models))
-    out = None
-    for piece in fitted:
-        out = piece if out is None else out.unionByName(piece)
-    return None if out is None else out.join(won, [*keys, "model"], "left_semi")
+    configs = [c for c in evaluation.configs if c[0] in names and c[1] in grouped.solvers.DEFAULTS]
+    if names - {c[0] for c in configs}:
+        logger.warning("no final fit for own models: %s", sorted(names - {c[0] for c in configs}))
+    if not configs:
+        return None
+    rows = evaluation.rows.join(F.broadcast(won.select(*keys).distinct()) if won.count() <= FEW else won.select(*keys).distinct(), list(keys), "left_semi")
+    fitted = history.fit_history(rows, keys, configs).join(won, [*keys, "model"], "left_semi")
+    inputs = F.create_map(*[v for n, made in evaluation.names.items() for v in (F.lit(n), F.array(*[F.lit(c) for c in made]))])
+    full = [(label, model, {**grouped.solvers.DEFAULTS[model], **params}) for label, model, params in configs]
+    base = F.create_map(*[F.lit(v) for label, model, _ in full for v in (label, model)])
+    measured = ["n_folds", "avg_mae", "std_mae", "avg_rmse", "avg_directional_accuracy", "baseline_mae", "improvement"]
+    scores = evaluation.results.select(*keys, "model", F.struct(*measured).alias("scores"))
+    told = fitted.withColumns(
+        {
+            "base_model": F.try_element_at(base, F.col("model")),
+            "params": F.try_element_at(grouped.parameter_map(full), F.col("model")),
+            "names": F.try_element_at(inputs, F.col("lookback")),
+        }
+    )
+    return told.join(scores, [*keys, "model"])
 
 
 def one_input_folds(
@@ -90,13 +129,18 @@ def one_input_folds(
     target_type: str = "log_return",
 ) -> DataFrame:
     """Fold rows with the last return as the only input ``x`` of the next return."""
+    return folds(one_input_rows(df, price, series, target_type), train)
+
+
+def one_input_rows(df: DataFrame, price: str, series: Series = Series(), target_type: str = "log_return") -> DataFrame:
+    """Numbered complete rows: ``x``, the last return, and ``target``, the next."""
     layout = lay_out(df, series)
     w = layout.window()
     rows = layout.spread(df.select(*series.keys, series.time, price), 2, 1)
     rows = attach(rows, [target(price, w, target_type)])
     rows = rows.withColumn("x", F.ln(F.try_divide(F.col(price), F.lag(price, 1).over(w))))
     complete = F.col("x").isNotNull() & F.col("target").isNotNull()
-    return folds(number_valid(rows, layout, complete), train)
+    return number_valid(rows, layout, complete)
 
 
 def closed_form_predictions(

@@ -12,15 +12,19 @@ from tideline.operators import ensemble, quality, report, sequences
 from tideline.operators.folds import folds, scale
 from tideline.operators.layout import Series, with_positions
 from tideline.operators.metrics import evaluate, rmse_and_mae
-from tideline.operators.storage import materialize
+from tideline.operators.storage import materialize, scratch_folder
 from tideline.plans import backtest as bt
 from tideline.plans import features as ft
+from tideline.plans.run import apply_models, run_path
 from tideline.sources import readers
+from tideline.sources.sinks import read_feature_rows, write_feature_sets, write_table
 from tideline.sources.tables import by_supplier, by_user, daily_all, daily_by_priority, table
 
 # Small chunks, so that the queries named "cut_" split every series over tasks.
 CUT = Series(chunk_rows=400)
 ALPHA = 0.05
+# Errors of this data are far above the daily-price baselines: some queries compare at this multiple.
+BASELINE_SCALE = 40
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -409,8 +413,7 @@ def rmse_mae(spark, sf):
 def _results(spark, sf):
     made = evaluate(_predictions(spark, sf), ["series_id", "model", "fold"])
     averages = report.average_folds(made, ["series_id", "model"])
-    # Errors of this data are far above the daily-price baselines: compare at 40 times.
-    scaled = {m: tuple(40 * v for v in values) for m, values in report.BASELINES.items()}
+    scaled = {m: tuple(BASELINE_SCALE * v for v in values) for m, values in report.BASELINES.items()}
     return report.compare(_lookback(averages), report.baseline_table(spark, scaled)).filter("has_baseline")
 
 
@@ -522,6 +525,71 @@ def tuned_ridge(spark, sf):
     )
 
 
+@query
+def tuned_ridge_applied(spark, sf):
+    """The penalty chosen on the first fifth, per series, used on the folds behind it."""
+    made = bt.predictions(_vector_folds_rows(spark, sf), ["series_id"], grouped.grid("Ridge", alpha=RIDGE_GRID), tune_share=0.2)
+    scores = report.average_folds(evaluate(made, ["series_id", "model", "fold"]), ["series_id", "model"])
+    return scores.select("series_id", F.col("model").alias("best"), "n_folds", F.round("avg_mae", 6).alias("avg_mae"))
+
+
+def _vector_folds_rows(spark, sf):
+    """Numbered rows with one input, before they are copied to folds."""
+    return bt.one_input_rows(daily_by_priority(spark, sf), "price").withColumn("x", F.array("x"))
+
+
+QUANTILE = ("Quantile", "QuantileRegressor", {"quantile": 0.7, "alpha": 0.05})
+
+
+@query
+def quantile_predictions(spark, sf):
+    """Upper quantile with a penalty that leaves the input in."""
+    rows = bt.one_input_folds(daily_all(spark, sf), "price").withColumn("x", F.array("x"))
+    made = grouped.fit_predict(rows, ["series_id"], [QUANTILE])
+    values = [(F.round(c, 6) + 0.0).alias(c) for c in ("target", "prediction")]
+    return made.select("series_id", "fold", F.col("idx").cast("int").alias("idx"), *values)
+
+
+@query
+def path_to_summary(spark, sf):
+    """A table written as Parquet, then one call from its path to the totals; the penalties leave the train mean and median."""
+    folder = scratch_folder(spark, "run")
+    daily_all(spark, sf).write.parquet(f"{folder}/prices.parquet")
+    raised = {m: tuple(BASELINE_SCALE * v for v in values) for m, values in report.BASELINES.items()}
+    made = run_path(
+        spark, f"{folder}/prices.parquet", "price", f"{folder}/run", (21, 63), ["Lasso", "QuantileRegressor"], raised, target_type="log_return",
+    )
+    totals = made.totals.select("lookback", "total_models", "beating_baseline")
+    shown = made.results.select(
+        "series_id", "lookback", "model", "n_folds", "beats_baseline", *[F.round(c, 6).alias(c) for c in ("avg_mae", "std_mae", "baseline_mae")]
+    )
+    return shown.join(F.broadcast(totals), "lookback")
+
+
+@query
+def kept_models(spark, sf):
+    """Final models written with their scaler and parameters, read back, and applied to the same rows."""
+    rows = _rows_with_input(spark, sf).withColumn("lookback", F.lit(21))
+    configs = ["OLS", ("Ridge(alpha=50)", "Ridge", {"alpha": 50.0})]
+    folder = scratch_folder(spark, "models")
+    write_table(history.fit_history(rows, ["series_id", "lookback"], configs), f"{folder}/models", ["lookback"])
+    made = apply_models(spark, folder, rows)
+    values = [(F.round(c, 6) + 0.0).alias(c) for c in ("target", "prediction")]
+    return made.select("series_id", "model", F.col("idx").cast("int").alias("idx"), *values)
+
+
+@query
+def stored_feature_rows(spark, sf):
+    """Feature sets of two lookbacks written by lookback, one of them replaced by its later half, and read back."""
+    sets = ft.feature_sets(daily_by_priority(spark, sf), "price", (5, 21))
+    path = f"{scratch_folder(spark, 'sets')}/sets"
+    write_feature_sets(sets, path)
+    later = ft.FeatureSets(read_feature_rows(spark, path, [21]).filter(F.col("idx") * 2 >= F.col("rows")), sets.names, sets.integers, sets.series)
+    write_feature_sets(later.stored(), path, "replace")
+    made = read_feature_rows(spark, path)
+    return _set_facts(made, ["series_id", "lookback"], mean_lag_5=(F.get("x", F.lit(sets.names[21].index("price_lag_5"))), 2))
+
+
 @query
 def fold_models(spark, sf):
     """All solver models on the full inputs of all lookbacks (more inputs than rows)."""

@@ -133,8 +133,13 @@ def generalised(lines: DataFrame, docs: DataFrame, counted: DataFrame, min_docs:
     return sure.union(doubtful.join(reach.select("group"), "group", "left_semi").select("template", "group", "all"))
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """All rows and columns with recurring lines taken out of the text, plus ``n_lines`` and ``n_dropped``."""
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", key: str = "doc_id", counts: bool = True) -> DataFrame:
+    """All rows and columns with recurring lines taken out of the text, plus ``n_lines`` and ``n_dropped`` unless ``counts`` is false.
+
+    A table that has columns of these names itself needs ``counts=False``.
+    """
+    if counts and (clash := {"n_lines", "n_dropped"} & set(docs.columns)):
+        raise ValueError(f"columns {sorted(clash)} are there already: rename them or set counts=False")
     named = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col(f"`{text}`").alias("text"),
@@ -161,8 +166,11 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, text: str = "text"
         lambda a, b: F.slice(parts, a + 2, b - a - 1),
     ))
     shorter = F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    rest = [shorter.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    if not counts:
+        return joined.select(*rest)
     return joined.select(
-        *[shorter.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns],
+        *rest,
         F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import join_counted, pieces, store, texts_of
+from tideline.llm.common import join_counted, pieces, released, store, texts_of
 from tideline.llm.hashing import mixed, shingles
 from tideline.shipping import ship_package
 
@@ -38,6 +38,8 @@ LABELS = 6
 RECALL = 0.9999
 #: Members of a node that one task compares; larger nodes are cut into parts of half that size.
 CELL = 2048
+#: Bytes of text that a task shingles at once, about, besides a larger group.
+GROUPED = 4 << 20
 
 
 def depth_for(similarity: float, trees: int, labels: int, recall: float) -> int:
@@ -99,7 +101,7 @@ def sketch(docs: DataFrame, text: str, words: int, trees: int, labels: int, dept
 
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{text}`").alias("body"))
     more = "row long, n long, set string, keys array<long>"
-    return packed.mapInArrow(run, T.StructType([*packed.schema.fields, *T.StructType.fromDDL(more).fields]))
+    return packed.mapInArrow(released(run), T.StructType([*packed.schema.fields, *T.StructType.fromDDL(more).fields]))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -152,7 +154,7 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(words: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _groups(batches, 8 << 20):
+        for batch in _groups(pieces(batches, "body", GROUPED), GROUPED):
             flat, counts = shingles(texts_of(batch.column("body")), words)
             ends = np.cumsum(counts)
             ids, copies = batch.column("id").to_numpy(), batch.column("copies").to_numpy()
@@ -176,7 +178,7 @@ def _verify(words: int, similarity: float):
                 bits = np.zeros((b - a, width // 64 + 1), np.uint64)
                 col = shared[number[use]]
                 np.bitwise_or.at(bits, (owner[use], col >> 6), np.uint64(1) << (col & 63).astype(np.uint64))
-                step = max(1, (1 << 22) // bits.shape[1])
+                step = max(1, (1 << 20) // bits.shape[1])
                 for k in range(0, len(i), step):
                     x, y = i[k : k + step], j[k : k + step]
                     both = np.bitwise_count(bits[x] & bits[y]).sum(1, dtype=np.int64)
@@ -251,10 +253,10 @@ def near_duplicates(
     keyed = sets.select("id", "keys", "copies")
     layout = lambda df: df.repartition("node", "cell").sortWithinPartitions("node", "cell", "id")
     met = layout(dealt.join(keyed, "id").select("node", "cell", "part", "tree", "id", "copies", "keys"))
-    owners = store(met.mapInArrow(_owners, met.schema), "owners")
+    owners = store(met.mapInArrow(released(_owners), met.schema), "owners")
     wanted = owners.select(F.col("id").alias("row")).distinct()
     bodies = docs.select("row", "body").join(wanted, "row").withColumnRenamed("row", "id")
-    found = layout(owners.join(bodies, "id")).mapInArrow(_verify(words, similarity), "id long, to long, links long")
+    found = layout(owners.join(bodies, "id")).mapInArrow(released(_verify(words, similarity)), "id long, to long, links long")
     found = store(found, "links")
     comps = components(found)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))

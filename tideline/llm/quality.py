@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import crc_of_id, pieces, store, texts_of
+from tideline.llm.common import crc_of_id, pieces, released, store, texts_of
 from tideline.shipping import ship_package
 
 #: Classes of bytes: lower, upper, digit, space, line end, sentence marks, other ASCII marks, non-ASCII.
@@ -225,7 +225,14 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def classify_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Whole rows as ``doc`` with their ``score``; the vectors are made again rather than written with the texts."""
+    """Whole rows as ``doc`` with their ``score``; the vectors are made again, in the task that scores them, rather than written with the texts."""
     _, model = _trained(featurize(docs.select("doc_id", "text"), ["doc_id"]), labels)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
-    return score(featurize(packed, ["doc"]), model, ["doc"])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = (pa.RecordBatch.from_arrays([b.column("doc"), b.column("doc").field("text")], names=["doc", "text"]) for b in batches)
+        for batch in pieces(both, "text"):
+            s = _score(vectors(texts_of(batch.column("text"))).astype(np.float32).astype(np.float64), model)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(s)], names=["doc", "score"])
+
+    return packed.mapInArrow(released(run), T.StructType([*packed.schema.fields, T.StructField("score", T.DoubleType())]))

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of the published algorithm.
 FACTOR = 2862933555777941757
@@ -57,18 +58,24 @@ def jump(key: Column, *shards: int) -> Column:
 
 
 def shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc`` (the whole row) with ``size``, ``crc``, ``shard``, ``slot`` and ``grown`` (the shard with one shard more)."""
+    """``doc`` (the whole row) with ``size``, ``crc``, ``shard``, ``slot`` and ``grown`` (the shard with one shard more).
+
+    Keys of integer types are their own numbers; others are hashed to 64 bits, and missing ones count as 0.
+    """
     k, body = F.col(f"`{key}`"), F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    whole = isinstance(docs.schema[key].dataType, T.IntegralType)
+    number = k.cast("bigint") if whole else F.when(k.isNotNull(), F.xxhash64(k))
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
         k.alias("key"),
+        number.alias("_number"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body).alias("crc"),
-        jump(k, shards, shards + 1).alias("_at"),
+        jump(number, shards, shards + 1).alias("_at"),
     ).select(
         "*", F.col("_at")[0].cast("int").alias("shard"), F.col("_at")[1].cast("int").alias("grown"),
-        F.floor(_next(seed_of(F.coalesce(F.col("key").cast("bigint"), F.lit(0)).bitwiseXOR(F.col("crc")))) / F.lit(2**33).cast("decimal(20,0)")).cast("long").alias("spread"),
-    ).drop("_at")
+        F.floor(_next(seed_of(F.coalesce(F.col("_number").cast("bigint"), F.lit(0)).bitwiseXOR(F.col("crc")))) / F.lit(2**33).cast("decimal(20,0)")).cast("long").alias("spread"),
+    ).drop("_at", "_number")
     blocks = max(1, docs.count() // BLOCK_ROWS)
     rows = rows.withColumn("block", F.floor(F.col("spread") * blocks / 2**31).cast("int"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,7 +8,9 @@ Content-Length, so a payload may hold any text. A response read back must have t
 
 A null payload is empty. A missing id comes after all others, and its records carry none; a missing address is left out. Of
 records with equal ids and payloads the first in the table counts as the smallest. Equal payloads may be any share of the
-rows: they are pre-aggregated and joined back by a join that broadcasts the few largest groups.
+rows: they are pre-aggregated and joined back by a join that broadcasts the few largest groups. Line ends in keys and addresses
+are escaped in the headers; keys come back as they were, as text. Very long payloads are whole in one task, one at a time; other columns are not
+read, and a table without rows gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.llm.common import join_counted, scratch, store
 from tideline.shipping import ship_package
@@ -51,12 +54,16 @@ def _line(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"\r\n{name}: "), value.cast("string")), F.lit(""))
 
 
+def one_line(text: Column) -> Column:
+    """A text without line ends, which would start a new header."""
+    return F.replace(F.replace(text, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
 def write_archives(pages: DataFrame, path: str, key: str, url: str, payload: str, least: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
     """Resolve revisits and write archives below ``path``."""
     body = F.coalesce(F.col(f"`{payload}`"), F.lit(""))
-    clean = F.replace(F.replace(F.col(f"`{url}`"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     rows = pages.select(
-        F.col(f"`{key}`").alias("key"), clean.alias("url"), body.alias("body"),
+        F.col(f"`{key}`").alias("key"), one_line(F.col(f"`{url}`")).alias("url"), body.alias("body"),
         F.sha1(body).alias("sha"), F.octet_length(body).cast("long").alias("size"),
         F.monotonically_increasing_id().alias("row"),  # stays, as it is written
     )
@@ -69,10 +76,12 @@ def write_archives(pages: DataFrame, path: str, key: str, url: str, payload: str
     response = F.col("again").isNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size"), F.lit(END))
     block = F.concat(http, F.when(response, F.col("body")).otherwise(F.lit("")))
+    # a text goes into the header as one line, in which a percent sign is escaped too, and comes back whole
+    source = one_line(F.replace(F.col("key"), F.lit("%"), F.lit("%25"))) if isinstance(pages.schema[key].dataType, T.StringType) else F.col("key")
     value = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(response, F.lit("response")).otherwise(F.lit("revisit")),
         _line("WARC-Record-ID", F.col("id")), _line("WARC-Date", F.lit(date)), _line("WARC-Target-URI", F.col("url")),
-        _line("X-Source-ID", F.col("key")), _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("sha")))),
+        _line("X-Source-ID", source), _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("sha")))),
         _line("WARC-Profile", F.when(~response, F.lit(PROFILE))), _line("WARC-Refers-To", F.col("origin.id")),
         _line("WARC-Refers-To-Target-URI", F.col("origin.url")), _line("WARC-Refers-To-Date", F.when(~response, F.lit(date))),
         F.lit("\r\nContent-Type: application/http; msgtype=response"), _line("Content-Length", F.octet_length(block)), F.lit(END), block,
@@ -107,6 +116,10 @@ def parse(stream: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
             held = held[stop + 4 :].lstrip(b"\r\n")
 
 
+def unescaped(source: str | None) -> str | None:
+    return source and source.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
+
+
 def read_archives(spark, path: str) -> DataFrame:
     """A row per record: type, id, address, source id, referred id, and digest, size and bytes of the payload (null in revisits)."""
     ship_package(spark)
@@ -124,7 +137,7 @@ def read_archives(spark, path: str) -> DataFrame:
                 size = len(payload)
                 if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                     raise ValueError(f"the payload of {h['warc-record-id']} has another digest")
-            out.append((h["warc-type"], h["warc-record-id"], h.get("warc-target-uri"), h.get("x-source-id"), h.get("warc-refers-to"), digest, size, payload))
+            out.append((h["warc-type"], h["warc-record-id"], h.get("warc-target-uri"), unescaped(h.get("x-source-id")), h.get("warc-refers-to"), digest, size, payload))
             filled += len(block) + 400
             if filled > 8 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)

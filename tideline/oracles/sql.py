@@ -666,3 +666,12 @@ t AS (SELECT s.*, 40 * CAST(to_beat AS DOUBLE) AS baseline_mae FROM s JOIN (VALU
 SELECT series_id, lookback, model, n_folds, avg_mae < baseline_mae AS beats_baseline, round(avg_mae, 6) AS avg_mae,
   round(std_mae, 6) AS std_mae, round(baseline_mae, 6) AS baseline_mae, count(*) OVER (PARTITION BY lookback) AS total_models,
   count(*) FILTER (WHERE avg_mae < baseline_mae) OVER (PARTITION BY lookback) AS beating_baseline FROM t"""
+
+# Fits that iterate have no closed form; the queries test the conditions of the minimum, which must hold for each series.
+ORACLES["robust_history_conditions"] = f"""WITH {PRIORITY}, i AS (
+  SELECT series_id, ln(price / lag(price) OVER {SERIES}) AS x, ln(lead(price) OVER {SERIES} / price) AS y FROM d)
+SELECT series_id, model, count(*) AS "rows", true AS is_minimum FROM i, (VALUES ('RobustElasticNet'), ('RobustLasso')) AS m(model)
+WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2"""
+ORACLES["autoregression_conditions"] = f"""WITH {SUPPLIER}, s AS (
+  SELECT series_id, row_number() OVER {SERIES} AS i FROM d)
+SELECT series_id, count(*) AS "rows", true AS all_used, true AS is_minimum FROM s WHERE i > 6 GROUP BY 1"""

@@ -11,6 +11,7 @@ from tideline.models import autoregression, grouped, history, trees
 from tideline.operators import ensemble, quality, report, sequences
 from tideline.operators.folds import folds, scale
 from tideline.operators.layout import Series, with_positions
+from tideline.operators.lookup import lookup
 from tideline.operators.metrics import evaluate, rmse_and_mae
 from tideline.operators.storage import materialize, scratch_folder
 from tideline.plans import backtest as bt
@@ -623,6 +624,40 @@ def robust_history_models(spark, sf):
     return made.select("series_id", "model", "intercept", "coefficients", "converged")
 
 
+@query
+def robust_history_conditions(spark, sf):
+    """Whether the robust nets meet the conditions of their minimum, from sums over all rows.
+
+    With residuals clipped at epsilon, their mean product with an input is the slope of the loss: for an input that is left
+    in it equals the pull of the penalty, for one that is left out it stays below it, and the clipped residuals have mean 0.
+    """
+    rows = _rows_with_input(spark, sf)
+    keys, nets = ["series_id"], ("RobustElasticNet", "RobustLasso")
+    made = materialize(history.fit_history(rows, keys, nets))
+    defaults = {m: grouped.solvers.DEFAULTS[m] for m in nets}
+    per_model = lambda f: F.create_map(*[F.lit(v) for m, p in defaults.items() for v in (m, float(f(p)))])
+    epsilon, l1, l2 = (
+        F.try_element_at(per_model(f), F.col("model"))
+        for f in (lambda p: p["epsilon"], lambda p: p["alpha"] * p["l1_ratio"], lambda p: p["alpha"] * (1 - p["l1_ratio"]))
+    )
+    z = [(F.get("x", F.lit(j)) - F.get("center", F.lit(j))) / F.get("spread", F.lit(j)) for j in (0, 1)]
+    b = [F.get("coefficients", F.lit(j)) for j in (0, 1)]
+    residual = F.col("target") - F.col("intercept") - z[0] * b[0] - z[1] * b[1]
+    clipped = F.greatest(F.least(residual, epsilon), -epsilon)
+    joined = lookup(rows.select(*keys, "x", "target"), made, keys)
+    slopes = joined.groupBy(*keys, "model").agg(
+        F.count(F.lit(1)).alias("rows"), F.avg(clipped).alias("level"), *[F.avg(clipped * z[j]).alias(f"slope_{j}") for j in (0, 1)],
+        *[F.first(b[j]).alias(f"b_{j}") for j in (0, 1)],
+    )
+    off = [
+        F.when(F.col(f"b_{j}") == 0, F.greatest(F.abs(f"slope_{j}") - l1, F.lit(0.0))).otherwise(
+            F.abs(F.col(f"slope_{j}") - l2 * F.col(f"b_{j}") - l1 * F.signum(f"b_{j}"))
+        )
+        for j in (0, 1)
+    ]
+    return slopes.select(*keys, "model", "rows", (F.greatest(F.abs("level"), *off) < 1e-6).alias("is_minimum"))
+
+
 def _tree_rows(spark, sf):
     one = ft.feature_set(daily_all(spark, sf), "price", 21, target_type="log_return")
     rows = materialize(one.rows.select("series_id", "time", "x", "target"))
@@ -682,6 +717,24 @@ def autoregression_default_order(spark, sf):
     return autoregression.forecast(models, 5)
 
 
+@query
+def autoregression_conditions(spark, sf):
+    """Whether the residuals of the default order are orthogonal to each of its lags, from sums over all rows."""
+    df = by_supplier(spark, sf)
+    p = autoregression.ORDER[0]
+    models = autoregression.fit(df, "price").select("series_id", "n", "coefficients")
+    moved = ft.create_lagged_features(df.select("series_id", "time", "price"), ["price"], [1])
+    moved = moved.select("series_id", "time", (F.col("price") - F.col("price_lag_1")).alias("step"))
+    lagged = ft.create_lagged_features(moved, ["step"], range(1, p + 1)).dropna("any")
+    rows = lookup(lagged, models, ["series_id"])
+    past = [F.col(f"step_lag_{k}") for k in range(1, p + 1)]
+    left = F.col("step") - sum((F.get("coefficients", F.lit(k)) * v for k, v in enumerate(past)), F.lit(0.0))
+    ties = [F.abs(F.sum(left * v)) / F.sqrt(F.sum(left * left) * F.sum(v * v)) for v in past]
+    return rows.groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("rows"), (F.first("n") == F.count(F.lit(1))).alias("all_used"), (F.greatest(*ties) < 1e-9).alias("is_minimum")
+    )
+
+
 @query
 def value_sequences(spark, sf):
     made = sequences.create_sequences(daily_by_priority(spark, sf), "price", 10)

@@ -102,7 +102,71 @@ for _i in range(16):
         _c = _c >> 1 ^ 0xEDB88320 * (_c & 1)
     NIBBLES[_i] = _c
 RUNS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]{6,}')"
+#: A SHA-1 in hexadecimal (h) in base 32: five hexadecimal digits are four digits.
+BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1 AS BIGINT), 1)), '')"""
 ORACLES: dict[str, str] = {
+    # the generator's states as hugeint; a text's CRC-32 goes by half bytes, the lower one first
+    "op1_sharding": f"""
+        WITH RECURSIVE hexed AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        halves AS (
+            SELECT doc_id, size, list_transform(range(0, strlen(h)), lambda i: CAST(instr('0123456789ABCDEF', substr(h, CAST(xor(i, 1) + 1 AS BIGINT), 1)) - 1 AS BIGINT)) AS halves
+            FROM hexed
+        ),
+        summed AS (
+            SELECT doc_id, size, xor(4294967295, list_reduce(
+                list_prepend(CAST(4294967295 AS BIGINT), halves), lambda c, b: xor(c >> 4, CAST({NIBBLES} AS BIGINT[])[(xor(c, b) & 15) + 1])
+            )) AS crc FROM halves
+        ),
+        jumps AS (
+            SELECT doc_id, CAST(doc_id AS HUGEINT) AS state, CAST(0 AS BIGINT) AS reach, CAST(0 AS BIGINT) AS at8, CAST(0 AS BIGINT) AS at9 FROM documents
+            UNION ALL
+            SELECT doc_id, (state * 2862933555777941757 + 1) % 18446744073709551616,
+                CAST(floor((reach + 1) * (2147483648.0::DOUBLE / (CAST(((state * 2862933555777941757 + 1) % 18446744073709551616) // 8589934592 AS DOUBLE) + 1))) AS BIGINT),
+                CASE WHEN reach < 8 THEN reach ELSE at8 END, CASE WHEN reach < 9 THEN reach ELSE at9 END
+            FROM jumps WHERE reach < 9
+        ),
+        landed AS (SELECT doc_id, CAST(at8 AS INTEGER) AS shard, CAST(at9 AS INTEGER) AS grown_shard FROM jumps WHERE reach >= 9),
+        spread AS (
+            SELECT *, ((CAST(xor(doc_id, crc) AS HUGEINT) * 2862933555777941757 + 1) % 18446744073709551616) // 8589934592 AS spread
+            FROM summed JOIN landed USING (doc_id)
+        )
+        SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard,
+            row_number() OVER (PARTITION BY shard ORDER BY spread, doc_id, crc, size) - 1 AS slot, grown_shard FROM spread
+    """,
+    # a word goes if one of the 35 windows that end at it or behind it starts elsewhere too
+    "op5_substring_dedup": r"""
+        WITH docs AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+        cells AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS place FROM docs),
+        windows AS (
+            SELECT doc_id, words[place] AS word, place,
+                CASE WHEN place + 34 <= len(words) THEN array_to_string(words[place:place + 34], ' ') END AS run FROM cells
+        ),
+        runs AS (SELECT run, count(*) AS n FROM windows WHERE run IS NOT NULL GROUP BY run),
+        marked AS (SELECT doc_id, word, place, coalesce(n, 0) > 1 AS again FROM windows LEFT JOIN runs USING (run)),
+        covered AS (
+            SELECT doc_id, word, place, bool_or(again) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+            FROM marked
+        ),
+        kept AS (
+            SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY place) FILTER (WHERE NOT gone) AS text
+            FROM covered GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+        FROM docs LEFT JOIN kept USING (doc_id)
+    """,
+    "op6_warc": f"""
+        WITH hashed AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+        firsts AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS origin FROM hashed)
+        SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, {BASE32} AS payload_digest,
+            CASE WHEN page_id = origin THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> origin THEN origin END AS refers_to FROM firsts
+    """,
+    "op10_exact_dedup": r"""
+        WITH normal AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
+        SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+            doc_id = min(doc_id) OVER (PARTITION BY body) AS kept, sha256(body) AS text_sha256 FROM normal
+    """,
     # levenshtein counts bytes there, so letters beyond ASCII first become other single bytes
     "op11_spelling_variants": f"""
         WITH RECURSIVE found AS (SELECT doc_id, unnest({RUNS}) AS run FROM documents),

@@ -83,6 +83,7 @@ def _vertex(X, y, b, c, q, alpha):
     return (moved, float(exact[-1])) if loss(X, y, moved, exact[-1], q, alpha) <= loss(X, y, b, c, q, alpha) else (b, c)
 
 
+@np.errstate(over="ignore", invalid="ignore", divide="ignore")  # a step that leaves the numbers ends the rounds
 def fit(X, y, q=0.5, alpha=1.0, tol=1e-9, rounds=200):
     """Coefficients, intercept and the duality gap, relative to the loss of the constant fit.
 

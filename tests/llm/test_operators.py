@@ -79,6 +79,31 @@ def test_recall_decides_the_depth():
     assert neardup.depth_for(0.8, 16, 6, 0.9999) == 3 and neardup.depth_for(0.99, 16, 6, 0.9999) == 6
 
 
+@pytest.mark.parametrize("changed", [range(1, 3), range(1, 9), ()])
+def test_prefixes_are_shortened_by_the_data(spark, monkeypatch, changed):
+    """Only unlike pairs, or none at all, ask for shorter prefixes; no link is lost either way."""
+    looked, verify = [], neardup._verify
+    monkeypatch.setattr(neardup, "_verify", lambda *a: looked.append(a[-1]) or verify(*a))
+    rows = []
+    for g in range(60):
+        base = [f"g{g}w{i}" for i in range(200)]
+        rows.append((len(rows), base))
+        for k in changed:  # so many words apart from one another are another
+            rows.append((len(rows), [f"{w}x{k}" if i % 23 == 4 and i < 23 * k else w for i, w in enumerate(base)]))
+    # without changes some pairs share enough to meet, but are unlike
+    if not changed:
+        rows += [(len(rows) + g, [*[f"g{g}w{i}" for i in range(150)], *[f"h{g}w{i}" for i in range(150)]]) for g in range(60)]
+    sets = [(i, frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4))) for i, w in rows]
+    got = neardup.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    links = {i: sum(a != i and len(s & q) >= 0.8 * len(s | q) for a, q in sets) for i, s in sets}
+    assert {r.doc.doc_id: r.n_links for r in got} == links
+    alike = [len(s & q) / len(s | q) for k, (_, s) in enumerate(sets) for _, q in sets[k + 1 :]]
+    lowest = min((x for x in alike if x >= 0.8), default=0.8)
+    last = max(d for d in range(1, 7) if 1 - (1 - lowest**d) ** 16 >= 0.9999)
+    assert [depth for _, _, depth in looked] == list(range(6, last - 1, -1))
+    assert last == {2: 6, 8: 4, 0: 3}[len(changed)]
+
+
 def test_quality(spark, nothing):
     good = [(i, " ".join(["The", "of", *[f"w{(i * 7 + k) % 50}abc" for k in range(30)]]) + ".") for i in range(200)]
     bad = [(1000 + i, " ".join(f"W{(i + k) % 50}###" for k in range(30))) for i in range(60)]

@@ -1,13 +1,17 @@
-"""Near duplicates: an n-gram Jaccard join with MinHash banding at a fixed depth and exact verification.
+"""Near duplicates: an n-gram Jaccard join with a MinHash LSH forest and exact verification.
 
 A text is the set of its runs of five words (a shorter text is one run). Texts with equal sets form a class first, so
-copies are never compared. Each class has a signature: one label sequence of ``labels`` minimum hashes per tree (a band).
-Classes with a common prefix of a tree form a node, found by the prefix's hash. All prefixes have one length, which
-``depth_for`` sets before any data is seen: the longest at which a pair of the wanted similarity meets in some tree with at
-least the target probability. An LSH forest, which would sort the signatures and shorten prefixes by the data, is not built.
+copies are never compared. Each class has a signature: one label sequence of ``labels`` minimum hashes (16 bits each) per
+tree, which is its path in that tree of the forest. Classes whose paths share a prefix meet in the node of that prefix.
+
+Prefixes start at full length and are shortened by what the data shows: after each length the pairs found so far are known
+exactly, and as long as pairs as unlike as the most unlike of them would meet in some tree with less than the target
+probability, prefixes lose one more label. Without any pair the wanted similarity itself is asked for. The shortest length that
+can come up (``depth_for``) gives that probability at the wanted similarity; classes that share no prefix of that length never
+meet and leave the forest at its start, with their texts. A pair is compared at the longest prefix at which it meets only.
 
 The pairs of a node are looked at inside one task and never written out. A pair belongs to the first tree in which it
-meets. A first pass over the labels finds the members that own pairs; only their texts are sent on, to be compared
+meets at that length. A first pass over the labels finds the members that own pairs; only their texts are sent on, to be compared
 exactly. A node larger than ``CELL`` is dealt out to the cells of a triangle, each holding two parts of its members.
 A member leaves with its number of links and one edge to the smallest member it is connected with, so the rows stay
 linear in the members. Edges are then joined to connected components in rounds of joins.
@@ -45,45 +49,50 @@ GROUPED = 4 << 20
 def depth_for(similarity: float, trees: int, labels: int, recall: float) -> int:
     """Shorten the prefix until pairs of that similarity meet with the wanted probability."""
     depth = labels
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
+    while depth > 1 and meeting(similarity, depth, trees) < recall:
         depth -= 1
     return depth
 
 
-def _signatures(flat: np.ndarray, counts: np.ndarray, trees: int, labels: int) -> np.ndarray:
-    """Minimum hashes, texts x (trees * labels); texts without shingles get zeros."""
+def meeting(similarity: float, depth: int, trees: int) -> float:
+    """Probability that a pair shares a prefix of that length in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def _signatures(flat: np.ndarray, counts: np.ndarray, trees: int, labels: int) -> list[bytes]:
+    """Minimum hashes, folded to 16 bits, trees in turn; texts without shingles get zeros."""
     random = np.random.Generator(np.random.PCG64(7))
     a = random.integers(0, 1 << 32, trees * labels, dtype=np.uint32) | np.uint32(1)
     b = random.integers(0, 1 << 32, trees * labels, dtype=np.uint32)
-    out = np.zeros((len(counts), trees * labels), np.uint32)
+    out = np.zeros((len(counts), trees * labels), ">u2")
     some = counts > 0
-    if not some.any():
-        return out
-    begins = (np.cumsum(counts) - counts)[some]
-    low = (flat >> np.uint64(32)).astype(np.uint32)
-    for j in range(trees * labels):
-        out[some, j] = np.minimum.reduceat((low ^ b[j]) * a[j], begins)
+    if some.any():
+        begins = (np.cumsum(counts) - counts)[some]
+        low = (flat >> np.uint64(32)).astype(np.uint32)
+        for j in range(trees * labels):
+            least = np.minimum.reduceat((low ^ b[j]) * a[j], begins)
+            out[some, j] = (least ^ (least >> np.uint32(16))) & np.uint32(0xFFFF)
+    return [row.tobytes() for row in out]
+
+
+def _prefixes(signatures: pa.Array, trees: int, labels: int, depth: int) -> np.ndarray:
+    """Prefixes of ``depth`` labels, packed into 64-bit numbers: members x trees x numbers."""
+    paths = np.frombuffer(b"".join(signatures.to_pylist()), ">u2").reshape(-1, trees, labels)[:, :, :depth]
+    out = np.zeros((*paths.shape[:2], (depth + 3) // 4), np.uint64)
+    for k in range(depth):
+        out[:, :, k // 4] |= paths[:, :, k].astype(np.uint64) << np.uint64(16 * (k % 4))
     return out
 
 
-def _node_keys(signature: np.ndarray, trees: int, labels: int, depth: int) -> np.ndarray:
-    """A hash per tree of the first ``depth`` labels."""
-    s = signature.reshape(len(signature), trees, labels).astype(np.uint64)
-    key = np.broadcast_to(np.arange(1, trees + 1, dtype=np.uint64), s.shape[:2])
-    for i in range(depth):
-        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + s[:, :, i])
-    return key.view(np.int64)
-
-
-def sketch(docs: DataFrame, text: str, words: int, trees: int, labels: int, depth: int) -> DataFrame:
-    """Whole rows as ``doc``, with ``row``, ``body`` (text), ``n`` (shingles), ``set`` (its hash) and ``keys`` (a node per tree)."""
+def sketch(docs: DataFrame, text: str, words: int, trees: int, labels: int) -> DataFrame:
+    """Whole rows as ``doc``, with ``row``, ``body`` (text), ``n`` (shingles), ``set`` (its hash) and ``signature``."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in pieces(batches, "body"):
             flat, counts = shingles(texts_of(batch.column("body")), words)
-            keys = _node_keys(_signatures(flat, counts, trees, labels), trees, labels, depth)
+            signatures = _signatures(flat, counts, trees, labels)
             total = np.zeros((len(counts), 2), np.uint64)
             if len(flat):
                 owner = np.repeat(np.arange(len(counts)), counts)
@@ -91,16 +100,13 @@ def sketch(docs: DataFrame, text: str, words: int, trees: int, labels: int, dept
                 np.add.at(total[:, 1], owner, mixed(flat + np.uint64(99)))
             sets = [f"{a:016x}{b:016x}{n:x}" for (a, b), n in zip(total.tolist(), counts.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns, pa.array(row + np.arange(len(counts))), pa.array(counts), pa.array(sets),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * trees), pa.array(keys.ravel())),
-                ],
-                names=["doc", "body", "row", "n", "set", "keys"],
+                [*batch.columns, pa.array(row + np.arange(len(counts))), pa.array(counts), pa.array(sets), pa.array(signatures, pa.binary())],
+                names=["doc", "body", "row", "n", "set", "signature"],
             )
             row += len(counts)
 
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{text}`").alias("body"))
-    more = "row long, n long, set string, keys array<long>"
+    more = "row long, n long, set string, signature binary"
     return packed.mapInArrow(released(run), T.StructType([*packed.schema.fields, *T.StructType.fromDDL(more).fields]))
 
 
@@ -123,10 +129,16 @@ def _groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _owned_pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of a node that meet in no earlier tree, in runs of equal distance."""
+#: Trees and labels of the forest, and the length of its prefixes.
+Shape = tuple[int, int, int]
+
+
+def _owned_pairs(batch: pa.RecordBatch, shape: Shape) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a node that meet in no earlier tree and at no longer prefix, in runs of equal distance."""
+    trees, labels, depth = shape
     node, cell, part, tree = (batch.column(c).to_numpy() for c in ("node", "cell", "part", "tree"))
-    keys = batch.column("keys").flatten().to_numpy().reshape(batch.num_rows, -1)
+    prefix = _prefixes(batch.column("signature"), trees, labels, depth)
+    longer = _prefixes(batch.column("signature"), trees, labels, depth + 1) if depth < labels else None
     # in a cell of two different parts only pairs across them count
     across = (cell >> 20) != (cell & 0xFFFFF)
     start = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (cell[1:] != cell[:-1])])
@@ -138,32 +150,39 @@ def _owned_pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray
         ok = ~across[i] | (part[i] != part[j])
         i, j = i[ok], j[ok]
         if len(i):
-            first = (keys[i] == keys[j]).argmax(1)
-            own = first == tree[i]
-            yield i[own], j[own]
+            equal = (prefix[i] == prefix[j]).all(2)
+            own = equal[np.arange(len(i)), tree[i]] & (equal.argmax(1) == tree[i])
+            i, j = i[own], j[own]
+            if longer is not None and len(i):
+                new = ~(longer[i] == longer[j]).all(2).any(1)
+                i, j = i[new], j[new]
+            yield i, j
         offset += 1
 
 
-def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _groups(batches, 1 << 14):
-        marked = np.zeros(batch.num_rows, bool)
-        for i, j in _owned_pairs(batch):
-            marked[i] = marked[j] = True
-        yield batch.filter(pa.array(marked))
+def _owners(shape: Shape):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _groups(batches, 1 << 14):
+            marked = np.zeros(batch.num_rows, bool)
+            for i, j in _owned_pairs(batch, shape):
+                marked[i] = marked[j] = True
+            yield batch.filter(pa.array(marked))
 
+    return run
 
-def _verify(words: int, similarity: float):
+
+def _verify(words: int, similarity: float, shape: Shape):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(pieces(batches, "body", GROUPED), GROUPED):
             flat, counts = shingles(texts_of(batch.column("body")), words)
             ends = np.cumsum(counts)
             ids, copies = batch.column("id").to_numpy(), batch.column("copies").to_numpy()
-            links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+            links, root, least = np.zeros(len(ids), np.int64), np.arange(len(ids)), np.ones(len(ids))
             node, cell = (batch.column(c).to_numpy() for c in ("node", "cell"))
             start = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (cell[1:] != cell[:-1])])
             for a, b in zip(start.tolist(), [*start[1:].tolist(), len(ids)], strict=True):
                 part = batch.slice(a, b - a)
-                pairs = [p for p in _owned_pairs(part) if len(p[0])]
+                pairs = [p for p in _owned_pairs(part, shape) if len(p[0])]
                 if not pairs:
                     continue
                 i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
@@ -183,7 +202,9 @@ def _verify(words: int, similarity: float):
                     x, y = i[k : k + step], j[k : k + step]
                     both = np.bitwise_count(bits[x] & bits[y]).sum(1, dtype=np.int64)
                     ok = both >= similarity * (n[x] + n[y] - both) - 1e-9
+                    alike = (both / (n[x] + n[y] - both))[ok]
                     x, y = x[ok] + a, y[ok] + a
+                    np.minimum.at(least, x, alike)
                     np.add.at(links, x, copies[y])
                     np.add.at(links, y, copies[x])
                     while len(x):  # hang the larger root below the smaller one until all pairs agree
@@ -200,25 +221,82 @@ def _verify(words: int, similarity: float):
                             root = up
             linked = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[linked]), pa.array(ids[root[linked]]), pa.array(links[linked])], names=["id", "to", "links"]
+                [pa.array(ids[linked]), pa.array(ids[root[linked]]), pa.array(links[linked]), pa.array(least[linked])],
+                names=["id", "to", "links", "least"],
             )
 
     return run
 
 
+def forest(
+    sets: DataFrame, docs: DataFrame, words: int, similarity: float, trees: int, labels: int, recall: float
+) -> DataFrame:
+    """Links of the classes: ``id``, ``to`` (a member it is connected with), ``links`` and ``least`` (lowest similarity), several rows each."""
+    floor, width = depth_for(similarity, trees, labels, recall), 2 * labels
+    paths = F.expr(f"transform(sequence(0, {trees - 1}), t -> substring(signature, t * {width} + 1, {width}))")
+    filled = sets.where("n > 0")
+    total = filled.count() * trees
+    every = filled.select("id", F.posexplode(paths).alias("tree", "path"))
+
+    def in_nodes(rows: DataFrame, depth: int, rows_at_most: int) -> DataFrame:
+        """The rows that are not alone in their node of that depth, with the node and the ``count`` of its rows."""
+        placed = rows.withColumn("node", F.xxhash64("tree", F.substring("path", 1, 2 * depth)))
+        shared = placed.groupBy("node").count().where("count > 1")
+        return join_counted(placed, shared, "node", "count", rows_at_most, F.col("id")).where("count IS NOT NULL")
+
+    tries = store(in_nodes(every, floor, total).select("id", "tree", "path"), "tries")
+    size = tries.count()
+    inside = tries.select("id").distinct()
+    bodies = docs.select(F.col("row").alias("id"), "body")
+    members = store(sets.select("id", "copies", "signature").join(inside, "id").join(bodies, "id"), "members")
+
+    def layout(df: DataFrame) -> DataFrame:
+        return df.repartition("node", "cell").sortWithinPartitions("node", "cell", "id")
+
+    result = "id long, to long, links long, least double"
+    found, lowest = docs.sparkSession.createDataFrame([], result), None
+    for depth in range(labels, floor - 1, -1) if size else ():
+        shape, parts = (trees, labels, depth), F.ceil(F.col("count") * 2 / CELL)
+        dealt = (
+            in_nodes(tries, depth, size)
+            .withColumn("parts", F.when(F.col("count") > CELL, parts).otherwise(F.lit(1)))
+            .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+            .select("node", "id", "tree", "part", (F.shiftleft(F.least("part", "other"), 20) + F.greatest("part", "other")).alias("cell"))
+        )
+        met = layout(dealt.join(members.drop("body"), "id").select("node", "cell", "part", "tree", "id", "copies", "signature"))
+        owners = store(met.mapInArrow(released(_owners(shape)), met.schema), "owners")
+        texts = layout(owners.join(members.select("id", "body"), "id"))
+        links = store(texts.mapInArrow(released(_verify(words, similarity, shape)), result), "links")
+        found = found.union(links)
+        lowest = min((x for x in (lowest, links.agg(F.min("least")).first()[0]) if x is not None), default=None)
+        if lowest is not None and meeting(lowest, depth, trees) >= recall:
+            break
+    return found
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """``id`` and ``comp``, the least id it is connected with, for all ids on edges (``id``, ``to``)."""
+    """``id`` and ``comp``, the least id it is connected with, for all ids on edges (``id``, ``to``).
+
+    An id may have most of the edges, and a component most of the ids: both are met with their counts.
+    """
     pairs = edges.select("id", "to").where("id <> to")
     both = store(pairs.union(pairs.select(F.col("to").alias("id"), F.col("id").alias("to"))).distinct(), "edges")
-    label = store(both.groupBy("id").agg(F.least("id", F.min("to")).alias("comp")), "labels")
+    total = both.count()
+    label = store(both.groupBy("id").agg(F.least("id", F.min("to")).alias("comp"), F.count(F.lit(1)).alias("degree")), "labels")
+    ids = label.count()
     while True:
-        near = both.join(label.select(F.col("id").alias("to"), "comp"), "to").groupBy("id").agg(F.min("comp").alias("near"))
-        step = label.join(near, "id").select("id", F.least("comp", "near").alias("next"), F.col("comp").alias("was"))
+        far = label.select(F.col("id").alias("to"), "comp", "degree")
+        near = join_counted(both, far, "to", "degree", total, F.col("id")).groupBy("id").agg(F.min("comp").alias("near"))
+        step = label.join(near, "id").select("id", F.least("comp", "near").alias("next"), F.col("comp").alias("was"), "degree")
+        step = store(step, "steps")
         up = label.select(F.col("id").alias("next"), F.col("comp").alias("up"))
-        new = store(step.join(up, "next").select("id", F.least("next", "up").alias("comp"), "was"), "labels")
+        up = step.groupBy("next").agg(F.count(F.lit(1)).alias("below")).join(up, "next")
+        new = join_counted(step, up, "next", "below", ids, F.col("id"))
+        new = store(new.select("id", F.least("next", "up").alias("comp"), "was", "degree"), "labels")
         if new.where("comp <> was").isEmpty():
             return new.select("id", "comp")
-        label = new.select("id", "comp")
+        label = new.select("id", "comp", "degree")
 
 
 def near_duplicates(
@@ -229,43 +307,27 @@ def near_duplicates(
 
     ``class_id`` is the least id of the component, ``n_links`` the number of other documents at that similarity.
     """
-    depth = depth_for(similarity, trees, labels, recall)
-    docs = store(sketch(docs, text, words, trees, labels, depth), "sketch")
+    docs = store(sketch(docs, text, words, trees, labels), "sketch")
     total = docs.count()
     name = F.col(f"doc.`{key}`")
     first = F.struct(name.isNull().alias("none"), name.alias("key"), F.col("row").alias("row"))
     sets = store(
         docs.groupBy("set").agg(
-            F.min("row").alias("id"), F.count(F.lit(1)).alias("copies"), F.min(first).alias("first"), F.max("n").alias("n"), F.min("keys").alias("keys")
+            F.min("row").alias("id"), F.count(F.lit(1)).alias("copies"), F.min(first).alias("first"), F.max("n").alias("n"), F.min("signature").alias("signature")
         ),
         "sets",
     )
-    nodes = sets.where("n > 0").select("id", F.posexplode("keys").alias("tree", "node"))
-    shared = nodes.groupBy("node").count().where("count > 1")
-    parts = F.ceil(F.col("count") * 2 / CELL)
-    dealt = (
-        nodes.join(shared, "node")
-        .withColumn("parts", F.when(F.col("count") > CELL, parts).otherwise(F.lit(1)))
-        .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        .select("node", "id", "tree", "part", (F.shiftleft(F.least("part", "other"), 20) + F.greatest("part", "other")).alias("cell"))
-    )
-    keyed = sets.select("id", "keys", "copies")
-    layout = lambda df: df.repartition("node", "cell").sortWithinPartitions("node", "cell", "id")
-    met = layout(dealt.join(keyed, "id").select("node", "cell", "part", "tree", "id", "copies", "keys"))
-    owners = store(met.mapInArrow(released(_owners), met.schema), "owners")
-    wanted = owners.select(F.col("id").alias("row")).distinct()
-    bodies = docs.select("row", "body").join(wanted, "row").withColumnRenamed("row", "id")
-    found = layout(owners.join(bodies, "id")).mapInArrow(released(_verify(words, similarity)), "id long, to long, links long")
-    found = store(found, "links")
+    found = forest(sets, docs, words, similarity, trees, labels, recall)
     comps = components(found)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     rows = sets.join(comps, "id", "left").join(links, "id", "left").select(
         "set", "copies", "first", F.coalesce("comp", "id").alias("comp"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
-    least = rows.groupBy("comp").agg(F.min("first").alias("least"), F.sum("copies").alias("class_size"))
-    named = rows.join(least, "comp").select(
+    least = rows.groupBy("comp").agg(
+        F.min("first").alias("least"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("sets")
+    )
+    named = join_counted(rows, least, "comp", "sets", sets.count(), F.col("set")).select(
         "set", "copies", F.col("least.key").alias("class_id"), F.col("least.row").alias("keep"), "class_size", "n_links"
     )
     out = join_counted(docs.select("doc", "row", "set"), named, "set", "copies", total, F.col("row"))

@@ -242,6 +242,33 @@ def test_templates_of_one_leaf(spark):
     assert all(not got[i] for i in range(len(lost), len(lost) + len(kept)))
 
 
+def test_long_lines_group_like_short_ones(spark, monkeypatch):
+    """Two frequent names are left out of lines of any length, and both ways of finding them agree."""
+    def rows(tokens):
+        made = []
+        for i in range(24):
+            line = [f"word{k}" for k in range(tokens)]
+            line[9], line[tokens - 6] = f"name{'abcde'[i % 5]}", f"city{'abcde'[i // 5]}"
+            made.append((i, " ".join(line) + f"\nalone{chr(97 + i)} here"))
+        # lines of the same leaf that differ in three places, or stand alone
+        made += [(100 + i, " ".join("other" + chr(97 + i) if k in (7, 11, 15 + i) else f"word{k}" for k in range(tokens))) for i in range(12)]
+        made += [(200 + i, " ".join(f"word{k}" if k < 4 else f"x{chr(97 + i)}y" + chr(97 + k % 26) for k in range(tokens))) for i in range(8)]
+        return made
+
+    def dropped(tokens, pairs, min_docs=4):
+        monkeypatch.setattr(lines, "PAIRS", pairs)
+        docs = spark.createDataFrame(rows(tokens), "doc_id long, text string")
+        return sorted((r.doc_id, r.n_dropped, r.text) for r in lines.drop_recurring_lines(docs, min_docs).collect())
+
+    def counts(result):
+        return [(i, n) for i, n, _ in result]
+
+    direct = dropped(81, 1000)
+    assert dropped(81, 64) == direct and dropped(81, 4) == direct
+    assert sum(n for i, n in counts(direct) if i < 100) == 23
+    assert counts(dropped(60, 64)) == counts(direct)
+
+
 def test_near_copies_leave_one_text(spark):
     """Lines that recur because a document has near copies stay in one of them."""
     base = [[f"{a}{b}{c}" for c in "stuvwxyz"] for a in "abc" for b in "klm"]

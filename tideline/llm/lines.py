@@ -6,7 +6,8 @@ hold many templates with further variable tokens. A token that fewer than ``min_
 left out of a line; the line then stands in the group of its other tokens, and in the groups that arise when
 one or two more places are left out, so names that are frequent by themselves are found too. Only the places behind the
 leading tokens count: at least ``SIMILAR`` of them must stay, so none is left out of a line with up to three of them. Lines
-with more than ``PAIRS`` places at which their leaf differs have no two frequent tokens left out. A template or group recurs when
+with more than ``PAIRS`` such places don't try all pairs of places but find those that another line shares (``pairs_of_places``),
+with the same groups as a result. A template or group recurs when
 ``min_docs`` different texts hold a line of it, and its lines go but for the first one of the row with the least id (missing
 last): near copies of a document make its lines recur, and so its text stays in one of them. Copies of one text count once, so
 that a document isn't emptied by its own copies. Rows equal in id and text keep that line each.
@@ -27,8 +28,10 @@ from tideline.llm.common import join_counted, store
 DEPTH = 4
 #: Share of the places behind the leading tokens that the lines of a group have in common.
 SIMILAR = 0.75
-#: Places at which a line's leaf differs, at most, for two frequent tokens to be left out.
+#: Places behind the leading tokens up to which all pairs of places are tried; the groups are the same either way.
 PAIRS = 64
+#: Open places of a set that are paired without further halving.
+FEW = 8
 #: Leaves or templates that go to every executor with another look at the lines: 16 bytes each.
 BROADCAST = 500_000
 
@@ -98,9 +101,9 @@ def generalised(lines: DataFrame, docs: DataFrame, counted: DataFrame, min_docs:
     # A group's number is the xor of its tokens' hashes, so leaving one out costs no look at the others.
     constant = F.col("with") >= min_docs
     differs = F.col("known").bitwiseXOR(F.col("wild"))
+    placed = join_counted(places, tokens, "known", "n", places.count(), F.struct("template", "wild"))
     parts = (
-        join_counted(places, tokens, "known", "n", places.count(), F.struct("template", "wild"))
-        .groupBy("template").agg(
+        placed.groupBy("template").agg(
             F.min("size").alias("size"), F.min("texts").alias("texts"), F.min("bits").alias("bits"),
             F.bit_xor(F.when(constant, F.col("known")).otherwise(F.col("wild"))).alias("group"),
             (F.min(free) - F.count_if(~constant)).alias("free"),
@@ -113,9 +116,17 @@ def generalised(lines: DataFrame, docs: DataFrame, counted: DataFrame, min_docs:
     two = F.flatten(F.transform("more", lambda a, i: F.transform(
         F.slice("more", i + 2, F.size("more") - i - 1), lambda b: F.col("group").bitwiseXOR(a).bitwiseXOR(b)
     )))
-    several = F.when((F.col("free") >= 2) & (F.size("more") <= PAIRS), two).otherwise(none)
+    several = F.when((F.col("free") >= 2) & (F.col("size") <= DEPTH + PAIRS), two).otherwise(none)
     groups = F.concat(F.array("group"), F.when(F.col("free") >= 1, one).otherwise(none), several)
-    members = store(parts.select("template", "texts", "bits", F.explode(groups).alias("group")), "members")
+    members = parts.select("template", "texts", "bits", F.explode(groups).alias("group"))
+    long = F.col("size") > DEPTH + PAIRS
+    if not places.where(long).isEmpty():
+        cells = placed.where(long).select(
+            "template", "size", "texts", "bits", "wild", F.when(constant, F.col("known")).otherwise(F.col("wild")).alias("cell"),
+            F.when(constant & (F.col("n") < F.col("of")), differs).alias("open"),
+        )
+        members = members.union(pairs_of_places(store(cells, "cells"), free))
+    members = store(members, "members")
     found = (
         members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("texts").alias("all"), F.max("texts").alias("most"), F.bit_or("bits").alias("bits"))
         .where((F.col("n") > 1) & (F.col("all") >= min_docs))
@@ -133,6 +144,53 @@ def generalised(lines: DataFrame, docs: DataFrame, counted: DataFrame, min_docs:
     return sure.union(doubtful.join(reach.select("group"), "group", "left_semi").select("template", "group", "all"))
 
 
+def pairs_of_places(cells: DataFrame, free: Column) -> DataFrame:
+    """``template``, ``texts``, ``bits`` and ``group`` for pairs of open places that a template can leave out to meet another one.
+
+    ``cells`` has a row per place of a template. Templates that meet with two places left out agree in all others. So the places
+    of a leaf are dealt into eight sets by their hash, and a pair of sets stays if another template agrees outside of both;
+    sets are halved until they hold few open places. What is left is linear in the places for each template that meets others.
+    """
+    heads = store(cells.groupBy("template").agg(
+        F.min("texts").alias("texts"), F.min("bits").alias("bits"), F.bit_xor("cell").alias("whole"),
+        (F.min(free) - F.count_if(F.col("cell") == F.col("wild"))).alias("free"),
+    ).where("free >= 0"), "heads")
+    level, most = 3, None
+
+    def dealt(level: int) -> DataFrame:
+        return cells.withColumn("set", F.shiftrightunsigned("wild", 64 - level))
+
+    sets = dealt(level).groupBy("template").agg(F.array_sort(F.collect_set("set")).alias("sets"))
+    state = heads.join(sets, "template").select(*heads.columns, F.explode("sets").alias("a"), "sets")
+    state = state.select(*heads.columns, "a", F.explode(F.filter("sets", lambda b: b >= F.col("a"))).alias("b"))
+    while True:
+        sums = store(dealt(level).groupBy("template", "set").agg(F.bit_xor("cell").alias("sum"), F.count("open").alias("open")), "sums")
+        one = sums.select("template", F.col("set").alias("a"), F.col("sum").alias("sum_a"), F.col("open").alias("open_a"))
+        two = sums.select("template", F.col("set").alias("b"), F.col("sum").alias("sum_b"), F.col("open").alias("open_b"))
+        inner = F.col("sum_a").bitwiseXOR(F.when(F.col("a") == F.col("b"), F.lit(0)).otherwise(F.col("sum_b")))
+        able = (F.col("open_a") > 0) & (F.col("open_b") > 0) & ((F.col("a") != F.col("b")) | (F.col("open_a") > 1))
+        keyed = store(
+            state.join(one, ["template", "a"]).join(two, ["template", "b"]).select(
+                *heads.columns, "a", "b", "open_a", "open_b", F.xxhash64("a", "b", F.col("whole").bitwiseXOR(inner)).alias("key"),
+                (able & (F.col("free") >= 2)).alias("able"),
+            ), "keyed",
+        )
+        good = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("able").alias("any")).where((F.col("n") > 1) & F.col("any"))
+        met = store(join_counted(keyed, good, "key", "n", keyed.count(), F.col("template")).where("n IS NOT NULL").drop("key", "n", "any"), "met")
+        most = met.where("able").agg(F.max(F.greatest("open_a", "open_b"))).first()[0]
+        if most is None or most <= FEW or level == 62:
+            break
+        level += 1
+        state = met.select(*heads.columns, F.explode(F.expr("array(2 * a, 2 * a + 1)")).alias("a"), "b")
+        state = state.select(*heads.columns, "a", F.explode(F.expr("array(2 * b, 2 * b + 1)")).alias("b")).where("a <= b")
+    able = met.where("able").select(*heads.columns, "a", "b")
+    opened = dealt(level).where("open IS NOT NULL").select("template", "set", "open")
+    first = able.join(opened.select("template", F.col("set").alias("a"), F.col("open").alias("x")), ["template", "a"])
+    both = first.join(opened.select("template", F.col("set").alias("b"), F.col("open").alias("y")), ["template", "b"])
+    both = both.where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+    return both.select("template", "texts", "bits", F.col("whole").bitwiseXOR(F.col("x")).bitwiseXOR(F.col("y")).alias("group"))
+
+
 def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", key: str = "doc_id", counts: bool = True) -> DataFrame:
     """All rows and columns with recurring lines taken out of the text, plus ``n_lines`` and ``n_dropped`` unless ``counts`` is false.
 

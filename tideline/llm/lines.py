@@ -6,8 +6,9 @@ hold many templates with further variable tokens. A token that fewer than ``min_
 left out of a line; the line then stands in the group of its other tokens, and in the groups that arise when
 one or two more places are left out, so names that are frequent by themselves are found too. Only the places behind the
 leading tokens count: at least ``SIMILAR`` of them must stay, so none is left out of a line with up to three of them. Lines
-with more than ``PAIRS`` such places don't try all pairs of places but find those that another line shares (``pairs_of_places``),
-with the same groups as a result. A template or group recurs when
+with more than ``PAIRS`` such places don't try all pairs of places but find those that can make a group recur (``pairs_of_places``),
+with the same result. A line in several such groups counts in that with most texts, and of equal ones in that with the fewest
+places left out. A template or group recurs when
 ``min_docs`` different texts hold a line of it, and its lines go but for the first one of the row with the least id (missing
 last): near copies of a document make its lines recur, and so its text stays in one of them. Copies of one text count once, so
 that a document isn't emptied by its own copies. Rows equal in id and text keep that line each.
@@ -76,13 +77,14 @@ def recurring(lines: DataFrame, docs: DataFrame, min_docs: int) -> DataFrame:
         )
     )
     counted = store(counted, "templates")
-    alike = generalised(lines, docs, counted, min_docs).groupBy("template").agg(F.max_by("group", F.struct("all", "group")).alias("group"))
+    best = F.struct("all", -F.col("out"), "group")
+    alike = generalised(lines, docs, counted, min_docs).groupBy("template").agg(F.max_by("group", best).alias("group"))
     alone = counted.where(F.col("texts") >= min_docs).select("template", F.col("template").alias("group"), "lines")
     return alone.union(counted.where(F.col("texts") < min_docs).join(alike, "template").select("template", "group", "lines"))
 
 
 def generalised(lines: DataFrame, docs: DataFrame, counted: DataFrame, min_docs: int) -> DataFrame:
-    """``template``, ``group`` and ``all`` (its size) of the groups that recur; a template may be in several."""
+    """``template``, ``group``, ``all`` (its size) and ``out`` (places left out) of the groups that recur; a template may be in several."""
     free = F.floor((F.col("size") - DEPTH) * (1 - SIMILAR))
     # Leaves that recur although some of their templates don't.
     leaves = (
@@ -106,7 +108,7 @@ def generalised(lines: DataFrame, docs: DataFrame, counted: DataFrame, min_docs:
         placed.groupBy("template").agg(
             F.min("size").alias("size"), F.min("texts").alias("texts"), F.min("bits").alias("bits"),
             F.bit_xor(F.when(constant, F.col("known")).otherwise(F.col("wild"))).alias("group"),
-            (F.min(free) - F.count_if(~constant)).alias("free"),
+            F.count_if(~constant).cast("int").alias("out"), (F.min(free) - F.count_if(~constant)).alias("free"),
             F.collect_list(F.when(constant & (F.col("n") < F.col("of")), differs)).alias("more"),
         )
         .where("free >= 0")
@@ -118,41 +120,46 @@ def generalised(lines: DataFrame, docs: DataFrame, counted: DataFrame, min_docs:
     )))
     several = F.when((F.col("free") >= 2) & (F.col("size") <= DEPTH + PAIRS), two).otherwise(none)
     groups = F.concat(F.array("group"), F.when(F.col("free") >= 1, one).otherwise(none), several)
-    members = parts.select("template", "texts", "bits", F.explode(groups).alias("group"))
+    members = parts.select("template", "texts", "bits", "out", F.size("more").alias("ones"), F.posexplode(groups).alias("at", "group"))
+    more = F.when(F.col("at") == 0, 0).when(F.col("at") <= F.col("ones"), 1).otherwise(2)
+    members = members.select("template", "texts", "bits", (F.col("out") + more).alias("out"), "group")
     long = F.col("size") > DEPTH + PAIRS
     if not places.where(long).isEmpty():
         cells = placed.where(long).select(
             "template", "size", "texts", "bits", "wild", F.when(constant, F.col("known")).otherwise(F.col("wild")).alias("cell"),
             F.when(constant & (F.col("n") < F.col("of")), differs).alias("open"),
         )
-        members = members.union(pairs_of_places(store(cells, "cells"), free))
+        members = members.union(pairs_of_places(store(cells, "cells"), free, min_docs))
     members = store(members, "members")
     found = (
-        members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("texts").alias("all"), F.max("texts").alias("most"), F.bit_or("bits").alias("bits"))
+        members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("texts").alias("all"), F.max("texts").alias("most"), F.bit_or("bits").alias("bits"), F.min("out").alias("out"))
         .where((F.col("n") > 1) & (F.col("all") >= min_docs))
         # texts with different bits are different texts
-        .select("group", "n", "all", ((F.col("most") >= min_docs) | (F.bit_count("bits") >= min_docs)).alias("sure"))
+        .select("group", "n", "all", "out", ((F.col("most") >= min_docs) | (F.bit_count("bits") >= min_docs)).alias("sure"))
     )
     held = store(join_counted(members.select("template", "group"), found, "group", "n", members.count(), F.col("template")).where("n IS NOT NULL"), "groups")
-    sure = held.where("sure").select("template", "group", "all")
+    sure = held.where("sure").select("template", "group", "all", "out")
     # A text may hold several templates of a group: count the texts themselves where that isn't settled.
-    doubtful = held.where("NOT sure").select("template", "group", "all")
+    doubtful = held.where("NOT sure").select("template", "group", "all", "out")
     asked = store(doubtful.select("template").distinct(), "asked")
     asked = F.broadcast(asked) if asked.count() <= BROADCAST else asked
     bodies = lines.join(asked, "template").select("template", "body").distinct()
     reach = doubtful.join(bodies, "template").groupBy("group").agg(F.count_distinct("body").alias("texts")).where(F.col("texts") >= min_docs)
-    return sure.union(doubtful.join(reach.select("group"), "group", "left_semi").select("template", "group", "all"))
+    return sure.union(doubtful.join(reach.select("group"), "group", "left_semi").select("template", "group", "all", "out"))
 
 
-def pairs_of_places(cells: DataFrame, free: Column) -> DataFrame:
-    """``template``, ``texts``, ``bits`` and ``group`` for pairs of open places that a template can leave out to meet another one.
+def pairs_of_places(cells: DataFrame, free: Column, min_docs: int) -> DataFrame:
+    """``template``, ``texts``, ``bits``, ``out`` and ``group`` for pairs of open places that may make a group recur when they are left out.
 
     ``cells`` has a row per place of a template. Templates that meet with two places left out agree in all others. So the places
-    of a leaf are dealt into eight sets by their hash, and a pair of sets stays if another template agrees outside of both;
-    sets are halved until they hold few open places. What is left is linear in the places for each template that meets others.
+    of a leaf are dealt into eight sets by their hash, and sets are halved until they hold few open places. On the way a pair of sets
+    stays as long as the templates that agree outside of both have ``min_docs`` texts, and are more than those that agree
+    outside of one of the sets alone: otherwise the group with a single place left out has the same lines. Either holds for all
+    pairs of places within the sets, so no group is missed.
     """
     heads = store(cells.groupBy("template").agg(
         F.min("texts").alias("texts"), F.min("bits").alias("bits"), F.bit_xor("cell").alias("whole"),
+        F.count_if(F.col("cell") == F.col("wild")).cast("int").alias("out"),
         (F.min(free) - F.count_if(F.col("cell") == F.col("wild"))).alias("free"),
     ).where("free >= 0"), "heads")
     level, most = 3, None
@@ -164,19 +171,27 @@ def pairs_of_places(cells: DataFrame, free: Column) -> DataFrame:
     state = heads.join(sets, "template").select(*heads.columns, F.explode("sets").alias("a"), "sets")
     state = state.select(*heads.columns, "a", F.explode(F.filter("sets", lambda b: b >= F.col("a"))).alias("b"))
     while True:
-        sums = store(dealt(level).groupBy("template", "set").agg(F.bit_xor("cell").alias("sum"), F.count("open").alias("open")), "sums")
-        one = sums.select("template", F.col("set").alias("a"), F.col("sum").alias("sum_a"), F.col("open").alias("open_a"))
-        two = sums.select("template", F.col("set").alias("b"), F.col("sum").alias("sum_b"), F.col("open").alias("open_b"))
+        sums = dealt(level).groupBy("template", "set").agg(F.bit_xor("cell").alias("sum"), F.count("open").alias("open"))
+        sums = sums.join(heads.select("template", "whole"), "template")
+        sums = store(sums.withColumn("rest", F.xxhash64("set", F.col("whole").bitwiseXOR(F.col("sum")))), "sums")
+        alike = sums.groupBy("rest").agg(F.count(F.lit(1)).alias("n"))
+        sums = store(join_counted(sums, alike, "rest", "n", sums.count(), F.col("template")).drop("rest", "whole"), "alike")
+        one = sums.select("template", F.col("set").alias("a"), F.col("sum").alias("sum_a"), F.col("open").alias("open_a"), F.col("n").alias("n_a"))
+        two = sums.select("template", F.col("set").alias("b"), F.col("sum").alias("sum_b"), F.col("open").alias("open_b"), F.col("n").alias("n_b"))
         inner = F.col("sum_a").bitwiseXOR(F.when(F.col("a") == F.col("b"), F.lit(0)).otherwise(F.col("sum_b")))
         able = (F.col("open_a") > 0) & (F.col("open_b") > 0) & ((F.col("a") != F.col("b")) | (F.col("open_a") > 1))
         keyed = store(
             state.join(one, ["template", "a"]).join(two, ["template", "b"]).select(
-                *heads.columns, "a", "b", "open_a", "open_b", F.xxhash64("a", "b", F.col("whole").bitwiseXOR(inner)).alias("key"),
-                (able & (F.col("free") >= 2)).alias("able"),
+                *heads.columns, "a", "b", "open_a", "open_b", F.when(F.col("a") == F.col("b"), 1).otherwise(F.greatest("n_a", "n_b")).alias("single"),
+                F.xxhash64("a", "b", F.col("whole").bitwiseXOR(inner)).alias("key"),
+                (able & (F.col("free") >= 2)).alias("able"), (able & (F.col("free") >= 2) & (F.col("texts") < min_docs)).alias("asks"),
             ), "keyed",
         )
-        good = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("able").alias("any")).where((F.col("n") > 1) & F.col("any"))
-        met = store(join_counted(keyed, good, "key", "n", keyed.count(), F.col("template")).where("n IS NOT NULL").drop("key", "n", "any"), "met")
+        good = keyed.groupBy("key").agg(
+            F.count(F.lit(1)).alias("n"), F.max("asks").alias("any"), F.sum("texts").alias("all"),
+        ).where((F.col("n") > 1) & F.col("any") & (F.col("all") >= min_docs)).select("key", "n")
+        met = join_counted(keyed, good, "key", "n", keyed.count(), F.col("template")).where("n > single")
+        met = store(met.drop("key", "n", "single", "asks"), "met")
         most = met.where("able").agg(F.max(F.greatest("open_a", "open_b"))).first()[0]
         if most is None or most <= FEW or level == 62:
             break
@@ -188,7 +203,7 @@ def pairs_of_places(cells: DataFrame, free: Column) -> DataFrame:
     first = able.join(opened.select("template", F.col("set").alias("a"), F.col("open").alias("x")), ["template", "a"])
     both = first.join(opened.select("template", F.col("set").alias("b"), F.col("open").alias("y")), ["template", "b"])
     both = both.where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
-    return both.select("template", "texts", "bits", F.col("whole").bitwiseXOR(F.col("x")).bitwiseXOR(F.col("y")).alias("group"))
+    return both.select("template", "texts", "bits", (F.col("out") + 2).alias("out"), F.col("whole").bitwiseXOR(F.col("x")).bitwiseXOR(F.col("y")).alias("group"))
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, text: str = "text", key: str = "doc_id", counts: bool = True) -> DataFrame:

@@ -126,6 +126,31 @@ def test_tiles_are_found_in_any_order():
     assert sum(n for *_, n in decontaminate.tile([b"a"] * 50, [b"a"] * 12)) == 12
 
 
+def test_tiles_don_t_list_the_pairs_of_places():
+    import tracemalloc
+
+    tracemalloc.start()
+    assert decontaminate.tile([b"a"] * 3000, [b"a"] * 60) == [(0, 0, 60)]
+    at_most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert at_most < 3 << 20  # a list of its 173,521 pairs of places took 12 MB
+
+
+def test_pairs_of_texts_and_items_go_on_text_by_text(monkeypatch):
+    import pyarrow as pa
+
+    shared = " ".join(f"w{i}" for i in range(8))
+    items = [(k, f"{shared} own{k}".encode()) for k in range(30)]
+    find = decontaminate._finder(items, 5)([shared.encode()] * 20 + [b"none"])
+    assert next(iter(find)) == (0, list(range(30)))  # nothing is listed ahead of the first text
+    monkeypatch.setattr(decontaminate, "PAIRS", 7)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(21)), "body": [shared] * 20 + ["none"]})
+    got = list(decontaminate._tiler(items, 5, pa.int64())(iter([batch])))
+    assert max(b.num_rows for b in got) == 7
+    rows = sorted((r["doc_id"], r["item_id"], r["matched"], r["tokens"]) for b in got for r in b.to_pylist())
+    assert rows == [(i, k, 8, 9) for i in range(20) for k in range(30)]
+
+
 def test_decontamination(spark, odd, nothing):
     item = [f"t{i}" for i in range(30)]
     rows = [

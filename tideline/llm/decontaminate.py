@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tideline.llm.common import pieces, texts_of
+from tideline.llm.common import pieces, released, texts_of
 from tideline.llm.hashing import run_hashes, word_hashes
 from tideline.shipping import ship_package
 
@@ -34,6 +34,8 @@ SEED = 5
 THRESHOLD = 0.6
 #: Tokens of the benchmark that may go to every executor at once.
 BROADCAST = 1_000_000
+#: Pairs of texts and items that a task gathers before it sends them on.
+PAIRS = 10_000
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -51,37 +53,37 @@ def tile(doc: list[bytes], item: list[bytes], seed: int = SEED) -> list[tuple[in
     for j, h in enumerate(run_hashes(word_hashes([b" ".join(item)])[0], least).tolist()):
         where[h].append(j)
     here = run_hashes(word_hashes([b" ".join(doc)])[0], least)
-    known = np.flatnonzero(np.isin(here, np.fromiter(where, np.uint64, len(where))))
-    starts = [(i, j) for i in known.tolist() for j in where[int(here[i])]]
+    known = [(i, int(here[i])) for i in np.flatnonzero(np.isin(here, np.fromiter(where, np.uint64, len(where)))).tolist()]
     taken_doc, taken_item = bytearray(len(doc)), bytearray(len(item))
+
+    def matches() -> Iterator[tuple[int, int, int]]:
+        """Length and places of the matches by place, as they stand when asked for: pairs of places are not listed."""
+        reach = {}
+        for i, h in known:  # of each diagonal in order, so a match is found from its first place
+            for j in where[h]:
+                if reach.get(i - j, -1) > i:
+                    continue
+                n = 0
+                while i + n < len(doc) and j + n < len(item) and not taken_doc[i + n] and not taken_item[j + n] and doc[i + n] == item[j + n]:
+                    n += 1
+                if n >= least:
+                    reach[i - j] = i + n - least + 1
+                    yield n, i, j
+
     tiles = []
-    while True:
-        matches, reach = [], {}
-        for i, j in starts:  # of each diagonal in order, so a match is found from its first place
-            if reach.get(i - j, -1) > i:
-                continue
-            n = 0
-            while i + n < len(doc) and j + n < len(item) and not taken_doc[i + n] and not taken_item[j + n] and doc[i + n] == item[j + n]:
-                n += 1
-            if n >= least:
-                matches.append((n, i, j))
-                reach[i - j] = i + n - least + 1
-        if not matches:
-            return tiles
-        matches.sort(key=lambda m: (-m[0], m[1], m[2]))
-        longest = matches[0][0]
-        for n, i, j in matches:
-            # of the longest matches all that don't overlap; shorter ones may have been cut and come in the next round
-            if n < longest:
-                break
-            if not any(taken_doc[i : i + n]) and not any(taken_item[j : j + n]):
+    while longest := max((n for n, _, _ in matches()), default=0):
+        # of the longest matches all that don't overlap; those that marks cut are shorter now and come in a later round
+        for n, i, j in matches():
+            if n == longest:
                 taken_doc[i : i + n] = taken_item[j : j + n] = b"\1" * n
                 tiles.append((i, j, n))
-        starts = [(i, j) for i, j in starts if not taken_doc[i] and not taken_item[j]]
+        known = [(i, h) for i, h in known if not taken_doc[i]]
+        where = {h: [j for j in places if not taken_item[j]] for h, places in where.items()}
+    return tiles
 
 
 def _finder(items: list[tuple[object, bytes]], seed: int):
-    """A function that lists (place of the text, number of the item) of the pairs that share a seed."""
+    """A function that goes through the texts that share a seed with items: place of the text and the items' numbers."""
     seeds = defaultdict(set)
     for number, (_, text) in enumerate(items):
         words = word_hashes([text])[0]
@@ -93,18 +95,22 @@ def _finder(items: list[tuple[object, bytes]], seed: int):
         known = np.array(sorted(h for m, h in seeds if m == n), np.uint64)
         tables[n] = known
 
-    def find(texts: list[bytes]) -> list[tuple[int, int]]:
+    def find(texts: list[bytes]) -> Iterator[tuple[int, list[int]]]:
         words, _, _, counts, _ = word_hashes(texts)
-        ends, out = np.cumsum(counts), set()
+        ends, met = np.cumsum(counts), [np.empty((3, 0), np.uint64)]
         for n, known in tables.items():
             h = run_hashes(words, n)
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
             hit = np.flatnonzero(known[at] == h)
             owner = np.searchsorted(ends, hit, "right")
-            for i, place in zip(owner.tolist(), hit.tolist(), strict=True):
-                if place + n <= ends[i]:
-                    out.update((i, number) for number in seeds[n, int(h[place])])
-        return sorted(out)
+            hit, owner = (x[hit + n <= ends[owner]] for x in (hit, owner))
+            met.append(np.array([owner, np.full(len(hit), n), h[hit]], np.uint64))
+        owner, size, h = np.concatenate(met, 1)
+        order = np.argsort(owner, kind="stable")
+        # the items of one text at a time: a common seed pairs all texts with all items that hold it
+        for part in np.split(order, np.flatnonzero(np.diff(owner[order])) + 1) if len(order) else ():
+            keys = set(zip(size[part].tolist(), h[part].tolist(), strict=True))
+            yield int(owner[part[0]]), sorted(set().union(*(seeds[key] for key in keys)))
 
     return find
 
@@ -170,16 +176,25 @@ def _tiler(items: list[tuple[object, bytes]], seed: int, kind: pa.DataType):
         for batch in pieces(batches, "body"):
             texts = [cleaned(t) for t in texts_of(batch.column("body"))]
             at, which, matched = [], [], []
-            for i, number in find(texts):
-                at.append(i)
-                which.append(number)
-                matched.append(sum(n for _, _, n in tile(texts[i].split(), tokens[number], seed)))
+
+            def told() -> pa.RecordBatch:
+                total = pa.array([len(tokens[n]) for n in which], pa.int64())  # noqa: B023  called at once
+                cols = [batch.column("doc_id").take(pa.array(at)), ids.take(pa.array(which)), pa.array(matched, pa.int64()), total]  # noqa: B023
+                return pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "matched", "tokens"])
+
+            for i, numbers in find(texts):
+                words = texts[i].split()
+                for number in numbers:
+                    at.append(i)
+                    which.append(number)
+                    matched.append(sum(n for _, _, n in tile(words, tokens[number], seed)))
+                    if len(at) == PAIRS:
+                        yield told()
+                        at, which, matched = [], [], []
             if at:
-                total = pa.array([len(tokens[n]) for n in which], pa.int64())
-                cols = [batch.column("doc_id").take(pa.array(at)), ids.take(pa.array(which)), pa.array(matched, pa.int64()), total]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "matched", "tokens"])
+                yield told()
 
-    return run
+    return released(run)
 
 
 def _cleaner(items: list[tuple[object, bytes]], place: int, seed: int, threshold: float):
@@ -189,10 +204,9 @@ def _cleaner(items: list[tuple[object, bytes]], place: int, seed: int, threshold
         for batch in pieces(batches, place):
             texts = [cleaned(t) for t in texts_of(batch.column(place))]
             kept = np.ones(len(texts), bool)
-            for i, number in find(texts):
-                if kept[i]:
-                    matched = sum(n for _, _, n in tile(texts[i].split(), tokens[number], seed))
-                    kept[i] = matched / len(tokens[number]) < threshold
+            for i, numbers in find(texts):
+                words = texts[i].split()
+                kept[i] = all(sum(n for _, _, n in tile(words, tokens[k], seed)) / len(tokens[k]) < threshold for k in numbers)
             yield batch.filter(pa.array(kept))
 
-    return run
+    return released(run)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tideline.llm import bpe, decontaminate, exactdup, lines, lm, neardup, quality, recurrent, sharding, substrings, warc
+from tideline.llm.common import join_matching
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -75,6 +76,30 @@ def test_large_nodes(spark, monkeypatch):
     assert {(r.class_id, r.class_size, r.n_links) for r in got} == {(0, 40, 39)}
 
 
+def test_lone_rows_come_out_of_no_join(spark, monkeypatch):
+    plans, store = [], neardup.store
+
+    def kept(df, tag):
+        if tag == "tries":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return store(df, tag)
+
+    monkeypatch.setattr(neardup, "store", kept)
+    word = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(i, word(i)) for i in range(60)] + [(100 + i, f"{word(0)} more{i}") for i in range(8)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.class_size for r in got) == [1] * 59 + [9] * 9
+    assert len(plans) == 1 and "Join Inner" in plans[0] and "LeftOuter" not in plans[0]
+
+
+@pytest.mark.parametrize("often", [0, 5, 40])
+def test_matching_with_hot_keys(spark, often):
+    left = spark.createDataFrame([(k, i) for i, k in enumerate([7] * often + list(range(3000)))], "k long, i long")
+    right = spark.createDataFrame([(7, often + 1, "hot"), (8, 1, "cold"), (-1, 0, "none")], "k long, n long, what string")
+    got = sorted(map(tuple, join_matching(left, right, "k", "n", left.count()).select("k", "i", "n", "what").collect()))
+    assert got == sorted((k, i, n, w) for k, i in map(tuple, left.collect()) for j, n, w in map(tuple, right.collect()) if j == k)
+
+
 def test_recall_decides_the_depth():
     assert neardup.depth_for(0.8, 16, 6, 0.9999) == 3 and neardup.depth_for(0.99, 16, 6, 0.9999) == 6
 

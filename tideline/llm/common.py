@@ -73,6 +73,19 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, rows: str, total:
     return both.select(*left.columns, *[got[c].alias(c) for c in out])
 
 
+def join_matching(left: DataFrame, right: DataFrame, key: str, rows: str, total: int) -> DataFrame:
+    """Inner join with a stored table that is unique on ``key`` and knows in ``rows`` how many left rows each key has.
+
+    The keys with more than a thousandth of the ``total`` left rows, fewer than 1,000, are named in a filter: only their rows
+    meet the broadcast, only the others are shuffled, and rows without a partner come out of no join.
+    """
+    hot = [r[0] for r in right.where(F.col(rows) * 1000 > F.lit(total)).select(key).collect()]
+    if not hot:
+        return left.join(right, key)
+    often = F.col(key).isin(hot)
+    return left.where(often).join(F.broadcast(right.where(often)), key).unionByName(left.where(~often).join(right.where(~often), key))
+
+
 def text_size(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """Rows and UTF-8 bytes of the texts."""
     rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import join_counted, pieces, released, store, texts_of
+from tideline.llm.common import join_counted, join_matching, pieces, released, store, texts_of
 from tideline.llm.hashing import mixed, shingles
 from tideline.shipping import ship_package
 
@@ -241,8 +241,8 @@ def forest(
     def in_nodes(rows: DataFrame, depth: int, rows_at_most: int) -> DataFrame:
         """The rows that are not alone in their node of that depth, with the node and the ``count`` of its rows."""
         placed = rows.withColumn("node", F.xxhash64("tree", F.substring("path", 1, 2 * depth)))
-        shared = placed.groupBy("node").count().where("count > 1")
-        return join_counted(placed, shared, "node", "count", rows_at_most, F.col("id")).where("count IS NOT NULL")
+        shared = store(placed.groupBy("node").count().where("count > 1"), "nodes")
+        return join_matching(placed, shared, "node", "count", rows_at_most)
 
     tries = store(in_nodes(every, floor, total).select("id", "tree", "path"), "tries")
     size = tries.count()

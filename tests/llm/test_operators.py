@@ -94,10 +94,11 @@ def test_lone_rows_come_out_of_no_join(spark, monkeypatch):
 
 @pytest.mark.parametrize("often", [0, 5, 40])
 def test_matching_with_hot_keys(spark, often):
-    left = spark.createDataFrame([(k, i) for i, k in enumerate([7] * often + list(range(3000)))], "k long, i long")
-    right = spark.createDataFrame([(7, often + 1, "hot"), (8, 1, "cold"), (-1, 0, "none")], "k long, n long, what string")
-    got = sorted(map(tuple, join_matching(left, right, "k", "n", left.count()).select("k", "i", "n", "what").collect()))
-    assert got == sorted((k, i, n, w) for k, i in map(tuple, left.collect()) for j, n, w in map(tuple, right.collect()) if j == k)
+    rows = [(k, i) for i, k in enumerate([7] * often + list(range(3000)))]
+    few = [(7, often + 1, "hot"), (8, 1, "cold"), (-1, 0, "none")]
+    left, right = spark.createDataFrame(rows, "k long, i long"), spark.createDataFrame(few, "k long, n long, what string")
+    got = sorted(map(tuple, join_matching(left, right, "k", "n", len(rows)).select("k", "i", "n", "what").collect()))
+    assert got == sorted((k, i, n, w) for k, i in rows for j, n, w in few if j == k)
 
 
 def test_recall_decides_the_depth():
@@ -275,6 +276,18 @@ def test_lines(spark, nothing):
     assert lines.drop_recurring_lines(nothing).count() == 0
 
 
+def test_masking_takes_long_tokens_once(spark):
+    import time
+
+    long = "x" * 200_000  # trying each of its characters as a start takes 4e10 steps
+    rows = ["a1 b www.c d", f"{long} 7 {long}", "mail a@b http://c x:y  9 www", "www.", " 1", "ab1cd ef"]
+    began = time.time()
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i long, line string").select("i", lines.masked(F.col("line")).alias("m"))
+    got = [r.m for r in made.orderBy("i").collect()]
+    assert time.time() - began < 30
+    assert got == ["<*> b <*> d", f"{long} <*> {long}", "mail <*> <*> x:y <*> www", "<*>", "<*>", "<*> ef"]
+
+
 def test_templates_of_one_leaf(spark):
     """Several templates under the same leading tokens, names that are frequent by themselves, and lines that only start alike."""
     word = lambda i: "abcdefghijklmnop"[i % 16] * (i // 16 + 2)

@@ -47,7 +47,7 @@ def masked(line: Column) -> Column:
     for c in "\t\r\x0b\f":
         odd = odd | line.contains(c)
     single = F.trim(F.when(odd, F.regexp_replace(line, r"[ \t\r\x0B\f]+", " ")).otherwise(line))
-    token = r"[^ ]*(\d|@|://|www\.)[^ ]*"
+    token = r"(?<![^ ])[^ ]*(\d|@|://|www\.)[^ ]*"  # tried at the first character of a token only
     variable = single.rlike("[0-9@]") | single.contains("://") | single.contains("www.")
     return F.when(variable, F.regexp_replace(single, token, "<*>")).otherwise(single)
 

@@ -443,6 +443,63 @@ def test_recurrent_gradient_and_windows():
             assert abs((loss[0] - loss[1]) / 2e-3 - kept[name][at]) < 2e-3, (name, at)
 
 
+def test_texts_are_numbered_once(spark, odd, odd_rows):
+    docs = odd.select("doc_id", "text").withColumn("held_out", F.lit(False)).coalesce(1)
+    blocks = lm.numbered(docs, 1, 2000)
+    assert "text" not in blocks.columns
+    got, learned = [], Counter()
+    for src in {r.src for r in blocks.select("src").collect()}:
+        rows = blocks.where(F.col("src") == src).toArrow()
+        kept, flat, sizes, words = lm._read(rows)
+        ids, said = kept["doc_id"].to_pylist(), [words[n] for n in flat]
+        assert len(kept) == len(rows) - 1 and len(set(words)) == len(words) and words[0] == b""
+        cuts = np.cumsum([0, *sizes])
+        got += [(i, said[a:b]) for i, a, b in zip(ids, cuts[:-1], cuts[1:], strict=True)]
+        learned.update(w for w in said if w)
+    want = [(i, [*(t or "").encode().lower().split(), b""]) for i, t, *_ in odd_rows]
+    assert sorted(got, key=str) == sorted(want, key=str) and blocks.select("src").distinct().count() > 5
+    # the counts of numbered blocks and of blocks with their text
+    sums = lm.Sums(lm.count(blocks, 3, 5000), len(got))
+    plain = docs.withColumn("src", F.lit(7).cast("long"))
+    other = lm.Sums(lm.count(plain, 3, 5000), len(got))
+    assert sums.tokens == other.tokens == sum(learned.values()) + len(got)
+    assert sums.symbol == other.symbol and (sums.other == other.other).all()
+
+
+@pytest.mark.parametrize("size", [0.3, 12.0])
+def test_scores_are_those_of_one_token_after_the_other(monkeypatch, size):
+    counts = np.array([40, 30, 20, 10, 5, 5, 2], np.int64)
+    layout = recurrent.Layout(counts, 3, np.array([9, 4]))
+    random = np.random.default_rng(11)
+    m = {k: (v + random.standard_normal(v.shape) * size).astype(np.float32) for k, v in layout.start().items()}
+    sizes = np.array([1, 130, 7, 90, 300])
+    symbols = random.integers(0, 9, sizes.sum())
+    monkeypatch.setattr(recurrent, "TILE", 50)
+    calls, output = [], recurrent.output
+    monkeypatch.setattr(recurrent, "output", lambda *a: calls.append(len(a[3])) or output(*a))
+    got, k = recurrent.score(m, layout, symbols, sizes, 2), recurrent.HIDDEN
+    assert len(calls) <= 6 and sum(calls) == len(symbols)  # longest lane: 300 steps, 64 at a time
+    w = {n: v.astype(np.float64) for n, v in m.items()}
+    with np.errstate(over="ignore"):
+        sigmoid = lambda x: 1 / (1 + np.exp(-np.maximum(x, -recurrent.LARGE)))
+        at = 0
+        for n in sizes:
+            h, x = np.zeros(k), 9
+            for s in symbols[at : at + n]:
+                e, u = w["E"][x], h @ w["U"]
+                z, r = sigmoid(e[:k] + u[:k]), sigmoid(e[k : 2 * k] + u[k : 2 * k])
+                h = (1 - z) * np.tanh(e[2 * k :] + r * (u[2 * k :] + w["b"])) + z * h
+                a, c = np.minimum(h @ w["C"] + w["c"], recurrent.LARGE), layout.of[s]
+                want = a[c] - np.log(np.exp(a).sum())
+                if c < layout.first:
+                    lo, hi = layout.bounds[c], layout.bounds[c + 1]
+                    a = np.minimum(w["W"][lo:hi] @ h + w["w"][lo:hi], recurrent.LARGE)
+                    want += a[s - lo] - np.log(np.exp(a).sum())
+                assert size > 1 or abs(got[at] - want) < 1e-4
+                at, x = at + 1, s
+    assert np.isfinite(got).all()
+
+
 def test_learning_lowers_the_loss():
     layout = recurrent.Layout(np.array([100, 100, 100, 100], np.int64), 4, np.array([0]))
     symbols = np.tile([0, 1, 2, 3], 2000)

@@ -121,9 +121,15 @@ def to_blocks(
 
     shape = T.StructType.fromDDL("src long, place long")
     shape = T.StructType([*shape.fields, *(schema or docs.schema).fields])
+    return bucketed(docs.mapInArrow(cut, shape), tag, buckets)
+
+
+def bucketed(rows: DataFrame, tag: str, buckets: int) -> DataFrame:
+    """Write ``rows`` once to the shared folder, bucketed by ``src``, and read them back."""
+    spark = rows.sparkSession
     path, name = scratch(spark, tag), f"blocks_{uuid.uuid4().hex}"
     (
-        docs.mapInArrow(cut, shape).write.bucketBy(buckets, "src").option("compression", "zstd")
+        rows.write.bucketBy(buckets, "src").option("compression", "zstd")
         .option("path", path).format("parquet").saveAsTable(name)
     )
     blocks = spark.table(name)

@@ -1,7 +1,8 @@
 """Language-model scores of whole texts: a unigram base and a gated recurrent model, both learned from the corpus.
 
-Tokens are words in lower case (A to Z only) and one end per text. Every block of documents counts its different words and
-sends them, packed, to the buckets that own them; buckets add the counts and answer each block with the counts of its
+Tokens are words in lower case (A to Z only) and one end per text. The words of a text are numbered once, in the order in which its
+block of documents meets them; all later steps read the numbers and, once per block, its different words. Every block counts
+these and sends them, packed, to the buckets that own them; buckets add the counts and answer each block with the counts of its
 words, so no table of all words is gathered anywhere. The vocabulary of frequent words grows with the square root of the
 training tokens (``vocabulary``); its words, found from the tops of all buckets by a count threshold, and the sums of the
 others by kind go to the driver. The output has about the square root of the vocabulary in classes, so a token costs the
@@ -20,15 +21,20 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import Codes, crc_of_id, store, text_size, texts_of, to_blocks
+from tideline.llm.common import Codes, bucketed, crc_of_id, lengths, pieces, store, text_size, texts_of
 from tideline.llm.hashing import word_hashes
 from tideline.llm.recurrent import WINDOW, Layout, Trainer, score
+from tideline.shipping import ship_package
 
 #: Frequent words at the least.
 FREQUENT = 1024
@@ -59,12 +65,13 @@ def kinds_of(words: list[bytes]) -> np.ndarray:
     """Kind of each word: three lengths, three endings, ASCII or not."""
     if not words:
         return np.empty(0, np.int64)
-    _, starts, ends, _, data = word_hashes([b" ".join(words)])
-    raw = np.frombuffer(data, np.uint8)
-    wide = np.add.reduceat((raw >= 128).astype(np.int64), starts) > 0
+    raw = np.frombuffer(b"".join(words), np.uint8)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(size)
+    wide = np.add.reduceat((raw >= 128).astype(np.int64), ends - size) > 0
     last = raw[ends - 1]
     ending = np.where((last == ord(".")), 1, np.where(np.isin(last, np.frombuffer(b",;:!?%#$*&|", np.uint8)), 2, 0))
-    length = np.digitize(ends - starts, (7, 11))
+    length = np.digitize(size, (7, 11))
     return length * 6 + ending * 2 + wide
 
 
@@ -110,16 +117,66 @@ def _most_frequent(answers: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return [(bytes(r.word), r.n) for r in found]
 
 
-def _numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Tokens as numbers in the order they are first met (0: the end), tokens of each text, and the words."""
-    number = Codes({b"": 0})
-    flat: list[int] = []
-    ends = []
-    for t in texts:
-        flat += map(number.__getitem__, words_of(t))
-        flat.append(0)
-        ends.append(len(flat))
-    return np.array(flat, np.int64), np.diff(ends, prepend=0), list(number)
+def _numbers(text: bytes, number: Codes) -> np.ndarray:
+    """Tokens of a text as numbers in the order they are first met (0: the end)."""
+    words = words_of(text)
+    words.append(b"")
+    return np.fromiter(map(number.__getitem__, words), np.int32, len(words))
+
+
+def numbered(docs: DataFrame, size: int, block_bytes: int = BLOCK) -> DataFrame:
+    """Cut each partition into blocks of about ``block_bytes`` of ``text`` and write their tokens as numbers, bucketed by block.
+
+    The rows of block ``src`` have their other columns and their ``tokens`` (packed numbers); one more row has only its ``words``,
+    in the order of their numbers. A block holds whole documents, at least one. ``size`` is the text in all.
+    """
+    ship_package(docs.sparkSession)
+    kept = [f for f in docs.schema.fields if f.name != "text"]
+    shape = T.StructType.fromDDL("src long, tokens binary, words binary").fields
+    shape = T.StructType([*shape, *(T.StructField(f.name, f.dataType) for f in kept)])  # all may be missing
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        src, filled, number, kinds = TaskContext.get().partitionId() << 32, 0, Codes({b"": 0}), None
+
+        def words() -> pa.RecordBatch:
+            cells = [pa.array([src], pa.int64()), pa.array([None], pa.binary()), pa.array([_pack(b"\n".join(number))], pa.binary())]
+            return pa.RecordBatch.from_arrays([*cells, *(pa.nulls(1, k) for k in kinds.types)], names=shape.names)
+
+        def rows(batch: pa.RecordBatch, tokens: list[bytes], to: int) -> pa.RecordBatch:
+            n = len(tokens)
+            cells = [pa.array([src] * n, pa.int64()), pa.array(tokens, pa.binary()), pa.nulls(n, pa.binary())]
+            return pa.RecordBatch.from_arrays([*cells, *(c.slice(to - n, n) for c in batch.columns)], names=shape.names)
+
+        for batch in pieces(batches, "text"):
+            text, batch = batch.column("text"), batch.select(shape.names[3:])
+            kinds, tokens = batch.schema, []
+            for i, (t, n) in enumerate(zip(texts_of(text), lengths(text), strict=True)):
+                n += 64  # a row is never free
+                if filled and filled + n > block_bytes:
+                    yield rows(batch, tokens, i)
+                    yield words()
+                    src, filled, number, tokens = src + 1, 0, Codes({b"": 0}), []
+                tokens.append(_numbers(t, number).tobytes())
+                filled += n
+            yield rows(batch, tokens, batch.num_rows)
+        if filled:
+            yield words()
+
+    return bucketed(docs.mapInArrow(cut, shape), "texts", max(2, math.ceil(2 * size / block_bytes)))
+
+
+def _read(block: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, list[bytes]]:
+    """Rows of a block's texts, their tokens as numbers, tokens of each text, and the block's words."""
+    if "text" in block.column_names:  # not numbered before
+        number = Codes({b"": 0})
+        tokens, words = [_numbers(t, number) for t in texts_of(block["text"].combine_chunks())], list(number)
+    else:
+        listed = pc.is_valid(block["words"])
+        words = [w for row in block.filter(listed)["words"].to_pylist() for w in zlib.decompress(row).split(b"\n")]
+        words = words or [b""]
+        block = block.filter(pc.invert(listed))
+        tokens = [np.frombuffer(t, np.int32) for t in block["tokens"].to_pylist()]
+    return block, np.concatenate([*tokens, np.empty(0, np.int32)]), np.array([len(t) for t in tokens], np.int64), words
 
 
 def _symbol_of(words: list[bytes], symbol: dict[bytes, int]) -> np.ndarray:
@@ -130,11 +187,18 @@ def _symbol_of(words: list[bytes], symbol: dict[bytes, int]) -> np.ndarray:
     return of
 
 
+def _tokens_of(blocks: DataFrame) -> list[str]:
+    return ["text"] if "text" in blocks.columns else ["tokens", "words"]
+
+
 def count(blocks: DataFrame, buckets: int, most: int) -> DataFrame:
-    """Rows for each block and bucket (counts of the block's words, in its order) and one per bucket (``src`` -1: sums and its ``most`` top words)."""
+    """Rows for each block and bucket (counts of the block's words, in its order) and one per bucket (``src`` -1: sums and its ``most`` top words).
+
+    ``blocks`` are ``numbered``, or have their ``text``.
+    """
 
     def send(block: pa.Table) -> pa.Table:
-        flat, sizes, words = _numbered(texts_of(block["text"].combine_chunks()))
+        block, flat, sizes, words = _read(block)
         learned = np.repeat(~np.array(block["held_out"].to_pylist(), bool), sizes)
         n = np.bincount(flat[learned], minlength=len(words))[1:]
         parts = _parts(words[1:], buckets)
@@ -172,7 +236,7 @@ def count(blocks: DataFrame, buckets: int, most: int) -> DataFrame:
             "top": pa.array([*[None] * len(parts), [{"word": w, "n": c} for w, c in top]], kinds),
         })
 
-    lists = blocks.select("src", "text", "held_out").groupBy("src").applyInArrow(send, "bucket int, src long, words binary, counts binary")
+    lists = blocks.select("src", "held_out", *_tokens_of(blocks)).groupBy("src").applyInArrow(send, "bucket int, src long, words binary, counts binary")
     shape = "src long, bucket int, counts binary, sums array<long>, top array<struct<word: binary, n: long>>"
     return store(lists.groupBy("bucket").applyInArrow(add, shape), "word-counts")
 
@@ -189,10 +253,11 @@ def _parts(words: list[bytes], buckets: int) -> list[tuple[int, np.ndarray, list
 
 def _learner(model: dict[str, np.ndarray], layout: Layout, symbol: dict[bytes, int]):
     def learn(block: pa.Table) -> pa.Table:
-        texts = [t for t, out in zip(texts_of(block["text"].combine_chunks()), block["held_out"].to_pylist(), strict=True) if not out]
+        block, flat, sizes, words = _read(block)
+        learned = ~np.array(block["held_out"].to_pylist(), bool)
         rows: dict[str, list] = {"chunk": [], "part": [], "tokens": [], "weights": []}
-        if texts:
-            number, sizes, words = _numbered(texts)
+        if learned.any():
+            number, sizes = flat[np.repeat(learned, sizes)], sizes[learned]
             learner = Trainer(model, layout)
             # enough lanes for speed, and enough steps to learn from a small block
             learner.learn(_symbol_of(words, symbol)[number], sizes, int(np.clip(len(number) // (WINDOW * 200), 4, 512)))
@@ -225,7 +290,7 @@ def train(blocks: DataFrame, sums: Sums, rounds: int = ROUNDS) -> dict[str, np.n
         flat = np.concatenate([v.ravel() for v in model.values()])
 
         shape = "chunk int, part long, tokens long, weights binary"
-        share = blocks.where(F.pmod(F.hash("src"), F.lit(rounds)) == turn).select("src", "text", "held_out")
+        share = blocks.where(F.pmod(F.hash("src"), F.lit(rounds)) == turn).select("src", "held_out", *_tokens_of(blocks))
         parts = share.groupBy("src").applyInArrow(_learner(model, layout, symbol), shape).groupBy("chunk", "part").applyInArrow(_merged, shape)
         done = parts.groupBy("chunk").applyInArrow(_merged, shape).collect()  # the size of one model
         if not done:
@@ -243,7 +308,7 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """Per row the key, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` (both log10)."""
     rows, size = text_size(docs, f"`{text}`")
     named = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    blocks = to_blocks(named.withColumn("held_out", held_out()), "texts", size, BLOCK)
+    blocks = numbered(named.withColumn("held_out", held_out()), size)
     buckets = max(8, -(-size // BUCKET))
     answers = count(blocks, buckets, vocabulary(size // 2 + 2 * rows))  # no text has more words than half its bytes, rounded up
     sums = Sums(answers, blocks.where("NOT held_out").count())
@@ -252,7 +317,7 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     shape = T.StructType([named.schema["key"], *T.StructType.fromDDL(OUT).fields])
 
     def rate(block: pa.Table, counts: pa.Table) -> pa.Table:
-        flat, sizes, words = _numbered(texts_of(block["text"].combine_chunks()))
+        block, flat, sizes, words = _read(block)
         got = dict(zip(counts["bucket"].to_pylist(), counts["counts"].to_pylist(), strict=True))
         c = np.zeros(len(words), np.int64)
         c[0] = sums.texts

@@ -16,6 +16,10 @@ HIDDEN = 16
 #: Bound of what goes into an exponential: sums of such stay within single precision.
 LARGE = 60.0
 WINDOW = 16
+#: Steps whose outputs are computed together when texts are only scored.
+SCORED = 64
+#: Rows of outputs worked on at a time, and numbers of a model moved at a time: both stay in the processor's cache.
+TILE, MOVED = 1024, 1 << 13
 
 
 class Layout:
@@ -70,46 +74,70 @@ def step(m: dict, e: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return new, z, r, n, un
 
 
+def _may_pass(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether a state, whose numbers lie in -1 to 1, can be given more than ``LARGE``; ``weights`` has a row for each output."""
+    return bool(len(bias)) and not (np.abs(weights).sum(1) + bias).max() < LARGE - 1
+
+
 def output(m: dict, layout: Layout, states: np.ndarray, symbols: np.ndarray, grads: dict | None = None):
     """Log-probabilities of symbols after states; with ``grads`` also the gradient by the states."""
+    size = len(symbols)
     cls = layout.of[symbols]
-    rows = np.arange(len(symbols))
-    a = states @ m["C"]
-    a += m["c"]
-    np.minimum(a, np.float32(LARGE), out=a)
-    picked = a[rows, cls]
-    np.exp(a, out=a)
-    total = a @ np.ones(layout.classes, np.float32)
+    picked, total = np.empty((2, size), states.dtype)
+    ones = np.ones(max(layout.classes, layout.words), np.float32)
+    cut, all_rows = _may_pass(m["C"].T, m["c"]), np.arange(min(size, TILE))
+    back = None if grads is None else np.empty_like(states)
+    a = np.empty((size if back is not None else min(size, TILE), layout.classes), states.dtype)
+    for lo in range(0, size, TILE):
+        s, c = states[lo : lo + TILE], cls[lo : lo + TILE]
+        rows = all_rows[: len(s)]
+        tile = a[: len(s)] if back is None else a[lo : lo + TILE]
+        np.matmul(s, m["C"], out=tile)
+        tile += m["c"]
+        if cut:
+            np.minimum(tile, np.float32(LARGE), out=tile)
+        picked[lo : lo + TILE] = tile[rows, c]
+        np.exp(tile, out=tile)
+        total[lo : lo + TILE] = sums = tile @ ones[: layout.classes]
+        if back is not None:
+            tile /= sums[:, None]
+            tile[rows, c] -= 1
+            np.matmul(tile, m["C"].T, out=back[lo : lo + TILE])
     logp = picked - np.log(total)
-    back = None
-    if grads is not None:
-        a /= total[:, None]
-        a[rows, cls] -= 1
+    if back is not None:
         grads["C"] += states.T @ a
         grads["c"] += a.sum(0)
-        back = a @ m["C"].T
-    order = np.argsort(cls.astype(np.int16), kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(layout.first + 1))
+    # within the classes of frequent words, in the order of the classes
+    order = np.argsort(cls.astype(np.uint16) if layout.classes < 1 << 16 else cls, kind="stable")
+    cuts = np.searchsorted(cls[order], np.arange(layout.first + 1)).tolist()
+    order = order[: cuts[-1]]
+    s, target = states.take(order, 0), symbols[order]
+    picked, total = np.zeros(len(order), states.dtype), np.ones(len(order), states.dtype)
+    more = None if back is None else np.zeros_like(s)
+    cut = _may_pass(m["W"], m["w"])
+    bounds, places = layout.bounds.tolist(), np.arange(max(np.diff(cuts), default=0))
     for i in range(layout.first):
-        lo, hi = layout.bounds[i], layout.bounds[i + 1]
-        at = order[cuts[i] : cuts[i + 1]]
-        if hi - lo < 2 or not len(at):
+        lo, hi, first, last = bounds[i], bounds[i + 1], cuts[i], cuts[i + 1]
+        if hi - lo < 2 or first == last:
             continue
-        s = states[at]
-        a = s @ m["W"][lo:hi].T
+        part, weights = s[first:last], m["W"][lo:hi]
+        a = part @ weights.T
         a += m["w"][lo:hi]
-        np.minimum(a, np.float32(LARGE), out=a)
-        target, rows = symbols[at] - lo, np.arange(len(at))
-        picked = a[rows, target]
+        if cut:
+            np.minimum(a, np.float32(LARGE), out=a)
+        at = places[: last - first], target[first:last] - lo
+        picked[first:last] = a[at]
         np.exp(a, out=a)
-        total = a @ np.ones(hi - lo, np.float32)
-        logp[at] += picked - np.log(total)
-        if grads is not None:
-            a /= total[:, None]
-            a[rows, target] -= 1
-            grads["W"][lo:hi] += a.T @ s
+        total[first:last] = sums = a @ ones[: hi - lo]
+        if back is not None:
+            a /= sums[:, None]
+            a[at] -= 1
+            grads["W"][lo:hi] += a.T @ part
             grads["w"][lo:hi] += a.sum(0)
-            back[at] += a @ m["W"][lo:hi]
+            np.matmul(a, weights, out=more[first:last])
+    logp[order] += picked - np.log(total)
+    if back is not None:
+        back[order] += more
     return logp, back
 
 
@@ -127,22 +155,20 @@ def lanes_of(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 def arrange(symbols: np.ndarray, sizes: np.ndarray, most: int, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Inputs, targets and places of the tokens, time x lanes, longest lane first, and the lanes alive at each time.
 
-    The input of a text's first token is the symbol ``start``. Places are -1 where a lane has ended.
+    The input of a text's first token is the symbol ``start``. Places are -1 where a lane has ended; its inputs and targets say nothing there.
     """
     lane, place = lanes_of(sizes, most)
     filled = np.bincount(lane, sizes, minlength=int(lane.max()) + 1).astype(np.int64)
     rank = np.empty(len(filled), np.int64)
     rank[np.argsort(-filled, kind="stable")] = np.arange(len(filled))
     begins = np.cumsum(sizes) - sizes
-    inside = np.arange(len(symbols)) - np.repeat(begins, sizes)
-    time, row = np.repeat(place, sizes) + inside, np.repeat(rank[lane], sizes)
+    at = np.repeat((place - begins) * len(filled) + rank[lane], sizes)
+    at += np.arange(len(symbols)) * len(filled)
     token = np.full((int(filled.max()), len(filled)), -1, np.int64)
-    token[time, row] = np.arange(len(symbols))
+    token.ravel()[at] = np.arange(len(symbols))
     before = np.r_[start, symbols[:-1]]
     before[begins] = start
-    inputs, targets = np.full(token.shape, start), np.zeros(token.shape, np.int64)
-    inputs[time, row], targets[time, row] = before, symbols
-    return inputs, targets, token, (token >= 0).sum(1)
+    return before.take(token, mode="wrap"), symbols.take(token, mode="wrap"), token, (token >= 0).sum(1)
 
 
 def score(m: dict, layout: Layout, symbols: np.ndarray, sizes: np.ndarray, lanes: int = 512) -> np.ndarray:
@@ -153,13 +179,13 @@ def score(m: dict, layout: Layout, symbols: np.ndarray, sizes: np.ndarray, lanes
     start = layout.words + layout.kinds
     inputs, targets, token, alive = arrange(symbols, sizes, lanes, start)
     h = np.zeros((token.shape[1], HIDDEN), np.float32)
-    for t0 in range(0, len(token), WINDOW):
+    for t0 in range(0, len(token), SCORED):
         states, where, wanted = [], [], []
-        for t in range(t0, min(t0 + WINDOW, len(token))):
+        for t in range(t0, min(t0 + SCORED, len(token))):
             n = alive[t]
             x = inputs[t, :n]
             h = h[:n] * (x != start)[:, None]
-            h = step(m, m["E"][x], h)[0]
+            h = step(m, m["E"].take(x, 0), h)[0]
             states.append(h)
             where.append(token[t, :n])
             wanted.append(targets[t, :n])
@@ -198,7 +224,7 @@ class Trainer:
             x = inputs[t, :n]
             fresh = (x != start)[:, None].astype(np.float32)
             before = h[:n] * fresh
-            h, z, r, new, un = step(m, m["E"][x], before)
+            h, z, r, new, un = step(m, m["E"].take(x, 0), before)
             kept.append((x, fresh, before, z, r, new, un))
             states.append(h)
             wanted.append(targets[t, :n])
@@ -207,26 +233,35 @@ class Trainer:
         _, back = output(m, self.layout, np.concatenate(states), np.concatenate(wanted), grads)
         cuts = np.cumsum([0, *sizes])
         carried = np.zeros((0, k), np.float32)
-        inner = []
+        d_all, x_all, at = np.empty((cuts[-1], 3 * k), back.dtype), np.empty(cuts[-1], np.int64), 0
         for i in range(len(kept) - 1, -1, -1):
             x, fresh, before, z, r, new, un = kept[i]
             g = back[cuts[i] : cuts[i + 1]]
             g[: len(carried)] += carried
-            d_new = g * (1 - z) * (1 - new * new)
-            d_z = g * (before - new) * z * (1 - z)
-            d_r = d_new * un * r * (1 - r)
-            d_un = d_new * r
-            d = np.concatenate([d_z, d_r, d_un], 1)
+            d = d_all[at : at + len(x)]
+            x_all[at : at + len(x)] = x
+            at += len(x)
+            not_z = 1 - z
+            d_new = g * not_z
+            d_new *= 1 - new * new
+            d_z = before - new
+            d_z *= g
+            d_z *= z
+            np.multiply(d_z, not_z, out=d[:, :k])
+            d_r = d_new * un
+            d_r *= r
+            np.multiply(d_r, 1 - r, out=d[:, k : 2 * k])
+            np.multiply(d_new, r, out=d[:, 2 * k :])
             grads["U"] += before.T @ d
-            grads["b"] += d_un.sum(0)
-            carried = (d @ m["U"].T + g * z) * fresh
+            grads["b"] += d[:, 2 * k :].sum(0)
+            carried = d @ m["U"].T
+            carried += g * z
+            carried *= fresh
             d[:, 2 * k :] = d_new
-            inner.append((x, d))
-        x, d = np.concatenate([a for a, _ in inner]), np.concatenate([b for _, b in inner])
-        order = np.argsort(x, kind="stable")
-        x = x[order]
-        begins = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-        grads["E"][x[begins]] = np.add.reduceat(d[order], begins, axis=0)
+        order = np.argsort(x_all.astype(np.uint16) if len(m["E"]) <= 1 << 16 else x_all, kind="stable")
+        x_all = x_all[order]
+        begins = np.flatnonzero(np.r_[True, x_all[1:] != x_all[:-1]])
+        grads["E"][x_all[begins]] = np.add.reduceat(d_all.take(order, 0), begins, axis=0)
         self._move(grads, cuts[-1])
         return h
 
@@ -234,8 +269,17 @@ class Trainer:
         self.t += 1
         rate = self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
         for name, g in grads.items():
-            g /= n
-            first, second = self.first[name], self.second[name]
-            first += 0.1 * (g - first)
-            second += 0.01 * (g * g - second)
-            self.m[name] -= rate * first / (np.sqrt(second) + 1e-7)
+            parts = [v.reshape(-1) for v in (g, self.first[name], self.second[name], self.m[name])]
+            for lo in range(0, g.size, MOVED):
+                g, first, second, weights = (v[lo : lo + MOVED] for v in parts)
+                g /= n
+                move = g - first
+                move *= 0.1
+                first += move
+                np.multiply(g, g, out=move)
+                move -= second
+                move *= 0.01
+                second += move
+                np.sqrt(second, out=move)
+                move += 1e-7
+                weights -= rate * first / move

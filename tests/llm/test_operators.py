@@ -476,7 +476,7 @@ def test_scores_are_those_of_one_token_after_the_other(monkeypatch, size):
     symbols = random.integers(0, 9, sizes.sum())
     monkeypatch.setattr(recurrent, "TILE", 50)
     calls, output = [], recurrent.output
-    monkeypatch.setattr(recurrent, "output", lambda *a: calls.append(len(a[3])) or output(*a))
+    monkeypatch.setattr(recurrent, "output", lambda *a, **k: calls.append(len(a[3])) or output(*a, **k))
     got, k = recurrent.score(m, layout, symbols, sizes, 2), recurrent.HIDDEN
     assert len(calls) <= 6 and sum(calls) == len(symbols)  # longest lane: 300 steps, 64 at a time
     w = {n: v.astype(np.float64) for n, v in m.items()}

@@ -201,24 +201,23 @@ def count(blocks: DataFrame, buckets: int, most: int) -> DataFrame:
         block, flat, sizes, words = _read(block)
         learned = np.repeat(~np.array(block["held_out"].to_pylist(), bool), sizes)
         n = np.bincount(flat[learned], minlength=len(words))[1:]
-        parts = _parts(words[1:], buckets)
+        words = words[1:]
+        parts = _parts(words, buckets)
         src = block["src"][0].as_py()
         return pa.table({
-            "bucket": pa.array([b for b, _, _ in parts], pa.int32()), "src": pa.array([src] * len(parts), pa.int64()),
-            "words": pa.array([_pack(b"\n".join(w)) for _, _, w in parts], pa.binary()),
-            "counts": pa.array([_pack(n[at].tobytes()) for _, at, _ in parts], pa.binary()),
+            "bucket": pa.array([b for b, _ in parts], pa.int32()), "src": pa.array([src] * len(parts), pa.int64()),
+            "words": pa.array([_pack(b"\n".join(map(words.__getitem__, at.tolist()))) for _, at in parts], pa.binary()),
+            "counts": pa.array([_pack(n[at].tobytes()) for _, at in parts], pa.binary()),
         })
 
     def add(lists: pa.Table) -> pa.Table:
-        total: dict[bytes, int] = {}
-        parts = []
-        for words, counts in zip(lists["words"].to_pylist(), lists["counts"].to_pylist(), strict=True):
+        number, parts = Codes(), []
+        for words in lists["words"].to_pylist():
             words = zlib.decompress(words).split(b"\n")
-            parts.append(words)
-            for w, n in zip(words, np.frombuffer(zlib.decompress(counts), np.int64).tolist(), strict=True):
-                total[w] = total.get(w, 0) + n
-        names = list(total)
-        n = np.fromiter(total.values(), np.int64, len(total))
+            parts.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+        names, n = list(number), np.zeros(len(number), np.int64)
+        for at, counts in zip(parts, lists["counts"].to_pylist(), strict=True):
+            n[at] += np.frombuffer(zlib.decompress(counts), np.int64)  # a block names a word once
         kind = kinds_of(names)
         sums = np.r_[np.bincount(kind, n, KINDS), np.bincount(kind[n > 0], minlength=KINDS)].astype(np.int64)
         order = np.lexsort((np.arange(len(n)), -n))
@@ -226,7 +225,7 @@ def count(blocks: DataFrame, buckets: int, most: int) -> DataFrame:
         least = n[order[min(most, len(n)) - 1]]
         top = sorted(((names[i], int(n[i])) for i in np.flatnonzero(n >= max(1, least))), key=lambda x: (-x[1], x[0]))[:most]
         bucket = lists["bucket"][0].as_py()
-        answers = [_pack(np.fromiter(map(total.__getitem__, p), np.int64, len(p)).tobytes()) for p in parts]
+        answers = [_pack(n[at].tobytes()) for at in parts]
         kinds = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
         return pa.table({
             "src": pa.concat_arrays([lists["src"].combine_chunks(), pa.array([-1], pa.int64())]),
@@ -241,14 +240,14 @@ def count(blocks: DataFrame, buckets: int, most: int) -> DataFrame:
     return store(lists.groupBy("bucket").applyInArrow(add, shape), "word-counts")
 
 
-def _parts(words: list[bytes], buckets: int) -> list[tuple[int, np.ndarray, list[bytes]]]:
-    """Per bucket in turn: places of its words, and the words."""
+def _parts(words: list[bytes], buckets: int) -> list[tuple[int, np.ndarray]]:
+    """Per bucket in turn: places of its words."""
     if not words:
         return []
     bucket = (word_hashes([b" ".join(words)])[0] % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    return [(int(bucket[p[0]]), p, [words[i] for i in p.tolist()]) for p in np.split(order, cuts)]
+    return [(int(bucket[p[0]]), p) for p in np.split(order, cuts)]
 
 
 def _learner(model: dict[str, np.ndarray], layout: Layout, symbol: dict[bytes, int]):
@@ -321,7 +320,7 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         got = dict(zip(counts["bucket"].to_pylist(), counts["counts"].to_pylist(), strict=True))
         c = np.zeros(len(words), np.int64)
         c[0] = sums.texts
-        for bucket, at, _ in _parts(words[1:], buckets) if block.num_rows else []:
+        for bucket, at in _parts(words[1:], buckets) if block.num_rows else []:
             c[1 + at] = np.frombuffer(zlib.decompress(got[bucket]), np.int64)
         of = _symbol_of(words, symbol)
         kind = of - len(symbol)

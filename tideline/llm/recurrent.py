@@ -152,23 +152,18 @@ def lanes_of(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return lane, place
 
 
-def arrange(symbols: np.ndarray, sizes: np.ndarray, most: int, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, targets and places of the tokens, time x lanes, longest lane first, and the lanes alive at each time.
-
-    The input of a text's first token is the symbol ``start``. Places are -1 where a lane has ended; its inputs and targets say nothing there.
-    """
+def arrange(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens in the order of time, at each time those of the longest lane first, and where each time begins (and the last one ends)."""
     lane, place = lanes_of(sizes, most)
     filled = np.bincount(lane, sizes, minlength=int(lane.max()) + 1).astype(np.int64)
     rank = np.empty(len(filled), np.int64)
     rank[np.argsort(-filled, kind="stable")] = np.arange(len(filled))
-    begins = np.cumsum(sizes) - sizes
-    at = np.repeat((place - begins) * len(filled) + rank[lane], sizes)
-    at += np.arange(len(symbols)) * len(filled)
-    token = np.full((int(filled.max()), len(filled)), -1, np.int64)
-    token.ravel()[at] = np.arange(len(symbols))
-    before = np.r_[start, symbols[:-1]]
-    before[begins] = start
-    return before.take(token, mode="wrap"), symbols.take(token, mode="wrap"), token, (token >= 0).sum(1)
+    ended = np.bincount(filled, minlength=int(filled.max()) + 1).cumsum()[:-1]  # lanes that are shorter or as long
+    begins = np.r_[0, np.cumsum(len(filled) - ended)]
+    time = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - place, sizes)
+    order = np.empty(len(time), np.int64)
+    order[begins[time] + np.repeat(rank[lane], sizes)] = np.arange(len(time))
+    return order, begins
 
 
 def score(m: dict, layout: Layout, symbols: np.ndarray, sizes: np.ndarray, lanes: int = 512) -> np.ndarray:
@@ -177,19 +172,21 @@ def score(m: dict, layout: Layout, symbols: np.ndarray, sizes: np.ndarray, lanes
     if not len(symbols):
         return out
     start = layout.words + layout.kinds
-    inputs, targets, token, alive = arrange(symbols, sizes, lanes, start)
-    h = np.zeros((token.shape[1], HIDDEN), np.float32)
-    for t0 in range(0, len(token), SCORED):
-        states, where, wanted = [], [], []
-        for t in range(t0, min(t0 + SCORED, len(token))):
-            n = alive[t]
-            x = inputs[t, :n]
-            h = h[:n] * (x != start)[:, None]
+    order, begins = arrange(sizes, lanes)
+    before = np.r_[start, symbols[:-1]]
+    before[np.cumsum(sizes) - sizes] = start  # what the first token of a text follows
+    inputs, targets, begins = before[order], symbols[order], begins.tolist()
+    h = np.zeros((begins[1], HIDDEN), np.float32)
+    for t0 in range(0, len(begins) - 1, SCORED):
+        states = []
+        ends = begins[t0 : t0 + SCORED + 1]
+        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+            x = inputs[lo:hi]
+            h = h[: hi - lo] * (x != start)[:, None]
             h = step(m, m["E"].take(x, 0), h)[0]
             states.append(h)
-            where.append(token[t, :n])
-            wanted.append(targets[t, :n])
-        out[np.concatenate(where)] = output(m, layout, np.concatenate(states), np.concatenate(wanted))[0]
+        window = slice(ends[0], ends[-1])
+        out[order[window]] = output(m, layout, np.concatenate(states), targets[window])[0]
     return out
 
 
@@ -272,7 +269,7 @@ class Trainer:
             parts = [v.reshape(-1) for v in (g, self.first[name], self.second[name], self.m[name])]
             for lo in range(0, g.size, MOVED):
                 g, first, second, weights = (v[lo : lo + MOVED] for v in parts)
-                g /= n
+                g /= float(n)  # a numpy integer would make it double precision
                 move = g - first
                 move *= 0.1
                 first += move
